@@ -8,9 +8,11 @@ words are runs of characters other than ASCII white space; a text of fewer words
    which two sets differ. Texts with equal sets become one representative.
 2. Members of a bucket are compared with its least member only (a star, never all pairs). Of the
    members whose odd sketches are near enough, each takes its nearest one, and the full sets decide.
-3. Buckets whose members then still belong to several components get the exact treatment: members
-   outside the bucket's largest component meet the members of other components, with set sizes and
-   odd sketches checked inside the join, so that only plausible pairs leave it; full sets decide.
+3. Buckets whose members then still belong to several components get the exact treatment. Their
+   members are dealt into blocks of about ``BLOCK`` rows; every pair of a bucket's blocks is looked at
+   in one task, in memory, without emitting pairs: odd sketches tell which members have a plausible
+   partner in another component, and of those the full sets' intersections are counted at once by a
+   matrix product. Only links that join two components leave the task (fewer than its rows).
    A pair that shares a bucket is thus either in one component already or is compared.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^28, below 4e-7, and is
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, append_columns, materialize, mix, release, text_bytes, windows
+from .common import WordHash, append_columns, materialize, mix, release, small_batches, text_bytes, windows
 from .components import connected_components
 
 BANDS, ROWS, WORDS64 = 28, 4, 8
 SAMPLES, BITS = BANDS * ROWS, 64 * WORDS64
+#: Rows in a block, on average.
+BLOCK = 256
+#: Bits of the filter that thins the documents before a join with ids: for each id, and at most.
+ID_BITS, MOST_ID_BITS = 16, 1 << 27
 BAND_COLS = [f"b{i}" for i in range(BANDS)]
 SKETCH_COLS = [f"s{i}" for i in range(WORDS64)]
 
@@ -118,32 +124,165 @@ def sketch_documents(docs: DataFrame, text_col: str, width: int, seed: int) -> D
     return append_columns(docs, [text_bytes(text_col)], fields, make)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, x): the full shingle sets of the documents in ``ids``, as bytes.
+
+    A bitmap of the ids' hashes, of bounded size, is broadcast and lets pass the wanted documents and
+    a few others before anything is shuffled; the join then decides. Of an id's several texts the
+    greatest set by bytes counts."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    n = ids.count()
+    m = min(MOST_ID_BITS, 1 << max(16, (ID_BITS * n).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(m))
+    words = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(m // 64, np.uint64)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for b in batches:
+            at = b.column(2).to_numpy()
+            some = np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            sets = [shingle_set(b.column(1)[i].as_py().lower().split(), width, hasher).tobytes() for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(sets, pa.binary())], names=["id", "x"])
+
+    found = docs.where("id is not null").select("id", text_bytes("text").alias("text"), place.alias("at"))
+    found = found.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("x", T.BinaryType())]))
+    return materialize(found.join(ids, "id", "left_semi").groupBy("id").agg(F.max("x").alias("x")), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the threshold."""
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
+    left = sets.select(F.col("id").alias("u"), F.col("x").alias("xu"))
+    right = sets.select(F.col("id").alias("v"), F.col("x").alias("xv"))
+    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "xu", "xv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, last_set = WordHash(), None, None
         for b in batches:
             keep = []
-            for tu, tv in zip(b.column(2), b.column(3), strict=True):
-                tv = tv.as_py()
-                if last != tv:
-                    last, last_set = tv, shingle_set(tv.lower().split(), width, hasher)
-                x = shingle_set(tu.as_py().lower().split(), width, hasher)
-                common = len(np.intersect1d(x, last_set, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(last_set) - common))
+            for xu, xv in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(xu.as_buffer(), np.uint64), np.frombuffer(xv.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, T.StructType([pairs.schema["u"], pairs.schema["v"]]))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(text_col).alias("text"))
-    return materialize(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (bk, rep, ...) once for each pair of blocks (gi <= gj) of their bucket that they take part in, with their block."""
+    sizes = materialize(members.groupBy("bk").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = members.join(sizes, "bk").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keyed = paired.withColumn("gi", F.least("block", "other")).withColumn("gj", F.greatest("block", "other")).drop("other")
+    return keyed.repartition("bk", "gi", "gj").sortWithinPartitions("bk", "gi", "gj")
+
+
+def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema: T.StructType) -> DataFrame:
+    """``fn`` over the rows of each (bk, gi, gj) of a table from ``_in_blocks``; groups have a bounded size."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            keys = np.column_stack([b.column(b.schema.get_field_index(k)).to_numpy() for k in ("bk", "gi", "gj")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and tuple(keys[lo]) != key:
+                        yield from done(held)
+                        held = []
+                    key = tuple(keys[lo])
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from done(held)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = fn(pa.Table.from_batches(held))
+        if out is not None:
+            yield from out.to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def _pairs_of_interest(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and a matrix of the pairs to look at: other component, and other block unless the group is one block."""
+    label, block = rows.column("label").to_numpy(), rows.column("block").to_numpy()
+    wanted = label[:, None] != label[None, :]
+    if rows.column("gi")[0].as_py() != rows.column("gj")[0].as_py():
+        wanted &= block[:, None] != block[None, :]
+    return label, wanted
+
+
+def plausible_members(rows: pa.Table, percent: int) -> pa.Table | None:
+    """The members with a partner of another component whose set size and odd sketch are near enough."""
+    _, wanted = _pairs_of_interest(rows)
+    if not wanted.any():
+        return None
+    n = rows.column("n_shingles").to_numpy()
+    wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    apart = np.zeros(wanted.shape, np.int64)
+    for c in SKETCH_COLS:
+        s = rows.column(c).to_numpy().view(np.uint64)
+        apart += np.bitwise_count(s[:, None] ^ s[None, :])
+    wanted &= apart <= most_xor_bits(percent)
+    return rows.filter(pa.array(wanted.any(axis=1))).select(["bk", "rep", "label"])
+
+
+def joining_links(rows: pa.Table, percent: int) -> pa.Table | None:
+    """Links between members of different components, confirmed on full sets; of several that join the same components, one."""
+    label, wanted = _pairs_of_interest(rows)
+    if not wanted.any():
+        return None
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("x").combine_chunks()]
+    n = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    common = np.zeros((len(n), len(n)), np.float32)
+    step = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, (lo, lo + step))
+        x = np.zeros((len(n), step), np.float32)
+        x[row[i:j], column[i:j] - lo] = 1
+        common += x @ x.T
+    wanted &= (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+    parent: dict = {}
+
+    def root(a):
+        while parent.get(a, a) != a:
+            a = parent[a]
+        return a
+
+    rep, u, v = rows.column("rep").to_numpy(), [], []
+    for i, j in np.argwhere(np.triu(wanted)).tolist():
+        a, b = root(label[i]), root(label[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            u.append(rep[i])
+            v.append(rep[j])
+    return pa.table({"u": pa.array(u, rows.schema.field("rep").type), "v": pa.array(v, rows.schema.field("rep").type)}) if u else None
+
+
+def _one_of_equal(members: DataFrame, condition) -> DataFrame:
+    """The buckets (bk) that meet ``condition``, one of those with equal members (compared by count, sum and XOR of hashes)."""
+    h = F.xxhash64("rep")
+    signed = members.groupBy("bk").agg(
+        F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("total"), F.bit_xor(h).alias("parity"), condition.alias("wanted")
+    )
+    return materialize(signed.where("wanted").groupBy("n", "total", "parity").agg(F.min("bk").alias("bk")).select("bk"), "one_of_equal")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
 
 
 def near_duplicates(
@@ -154,7 +293,7 @@ def near_duplicates(
     component_id is the least id reachable over links of at least ``percent`` / 100 similarity,
     itself included; kept is true where that is the row's own id.
     Null and empty texts, and texts without words, have no shingle and link with nothing. Rows that
-    repeat an id are one document (links are confirmed on the greatest of its texts). A row with a
+    repeat an id are one document (links are confirmed on the greatest of its sets). A row with a
     null id takes the component of the rows with an equal set and is else kept with a null
     component. An empty table gives an empty table. Input columns named like an output column are replaced.
     """
@@ -170,9 +309,8 @@ def near_duplicates(
     buckets = materialize(
         banded.groupBy("bk").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("bk", "pivot"), "buckets"
     )
-    stars = materialize(
-        banded.join(buckets, "bk").where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct(), "stars"
-    )
+    shared = materialize(banded.join(buckets, "bk"), "shared")
+    stars = materialize(shared.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
     one = reps.select(F.col("rep").alias("u"), F.col("n_shingles").alias("nu"), *[F.col(c).alias(f"u{c}") for c in SKETCH_COLS])
     two = reps.select(F.col("rep").alias("v"), F.col("n_shingles").alias("nv"), *[F.col(c).alias(f"v{c}") for c in SKETCH_COLS])
     apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SKETCH_COLS), F.lit(0))
@@ -182,43 +320,35 @@ def near_duplicates(
         stars.join(one, "u").join(two, "v").where(plausible).groupBy("u").agg(F.min(F.struct(apart.alias("d"), "v")).alias("x")).select("u", "x.v"),
         "nearest",
     )
-    texts = _texts_of(nearest, narrow, "id", "text")
-    links = materialize(_confirm(nearest, texts, width, percent), "links")
+    sets = _sets_of(_ids(nearest), narrow, width)
+    links = materialize(_confirm(nearest, sets, percent), "links")
     labels = connected_components(links)
-    release(stars, nearest, texts)
+    release(stars, nearest, sets)
 
     named = labels.select(F.col("id").alias("rep"), "label")
-    members = materialize(
-        banded.join(buckets.select("bk"), "bk").join(named, "rep", "left").select("bk", "rep", F.coalesce("label", "rep").alias("label")), "members"
-    )
-    mixed = materialize(
-        members.groupBy("bk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bk"), "mixed"
-    )
+    members = materialize(shared.join(named, "rep", "left").select("bk", "rep", F.coalesce("label", "rep").alias("label")), "members")
+    apart = F.min("label") < F.max("label")
+    mixed = _one_of_equal(members, apart)
     if not mixed.isEmpty():
-        open_members = materialize(members.join(mixed, "bk"), "open")
-        main = materialize(
-            open_members.groupBy("bk", "label").count().groupBy("bk").agg(F.max(F.struct("count", F.col("label").alias("main"))).alias("x")).select("bk", "x.main"),
-            "main",
-        )
-        wide = materialize(
-            open_members.join(main, "bk").join(reps.select("rep", "n_shingles", *SKETCH_COLS), "rep"), "wide"
-        )
-        a = wide.where("label <> main").select("bk", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("n_shingles").alias("nu"), *[F.col(c).alias(f"u{c}") for c in SKETCH_COLS])
-        b = wide.select("bk", F.col("rep").alias("v"), (F.col("label") == F.col("main")).alias("central"), F.col("label").alias("lv"), F.col("n_shingles").alias("nv"), *[F.col(c).alias(f"v{c}") for c in SKETCH_COLS])
-        met = a.join(b, (a.bk == b.bk) & (F.col("lu") != F.col("lv")) & (F.col("central") | (F.col("u") < F.col("v"))) & plausible)
-        more = materialize(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "more")
-        texts = _texts_of(more, narrow, "id", "text")
-        late = materialize(_confirm(more, texts, width, percent), "late")
+        rep_type = reps.schema["rep"].dataType
+        near = T.StructType([T.StructField("bk", T.LongType()), T.StructField("rep", rep_type), T.StructField("label", rep_type)])
+        open_members = materialize(members.join(mixed, "bk").join(reps.select("rep", "n_shingles", *SKETCH_COLS), "rep"), "open")
+        found = materialize(_by_group(_in_blocks(open_members), lambda t: plausible_members(t, percent), near).distinct(), "plausible")
+        found = found.join(_one_of_equal(found, F.count("*") > 1), "bk")
+        sets = _sets_of(found.select(F.col("rep").alias("id")).distinct(), narrow, width)
+        whole = materialize(found.join(sets.withColumnRenamed("id", "rep"), "rep"), "whole")
+        pair = T.StructType([T.StructField("u", rep_type), T.StructField("v", rep_type)])
+        late = materialize(_by_group(_in_blocks(whole), lambda t: joining_links(t, percent), pair), "late")
         if not late.isEmpty():
             labels = connected_components(links.union(late))
-        release(open_members, main, wide, texts, more)
+        release(open_members, found, sets, whole)
     release(members, mixed)
 
     components = materialize(
         reps.select("fa", "fb", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("fa", "fb", F.coalesce("label", "rep").alias("label")),
         "components",
     )
-    release(reps, buckets, links)
+    release(reps, buckets, shared, links)
     found = sketches.select("id", "n_shingles", "fa", "fb").join(components, ["fa", "fb"], "left")
     component = F.coalesce("label", "id")
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

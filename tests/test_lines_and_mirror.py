@@ -1,0 +1,148 @@
+import json
+import os
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import jsonwalk, text
+from tidemark.functions.redaction import Redactor
+from tidemark.operators import mirror
+from tidemark.sources import corpus
+from tidemark.streaming import watch
+
+R = Redactor()
+KEY = "sk-" + "ant-" + "a1" * 12
+
+
+def line(value):
+    return json.dumps(value, ensure_ascii=False)
+
+
+def redact(value):
+    stats = Counter()
+    return json.loads(jsonwalk.redact_line(line(value), R, stats)), stats
+
+
+def test_profiles_by_path():
+    mail = "jo@site.example"
+    out, _ = redact({"message": {"content": [{"type": "text", "text": mail}, {"type": "r", "content": mail}]}})
+    assert out["message"]["content"][0]["text"] == "[EMAIL_ADDRESS]" and out["message"]["content"][1]["content"] == mail
+    assert redact({"message": {"content": mail}})[0]["message"]["content"] == mail
+    assert redact({"content": mail, "title": mail, "other": mail})[0] == {"content": "[EMAIL_ADDRESS]", "title": "[EMAIL_ADDRESS]", "other": mail}
+
+
+def test_kept_keys_at_any_depth_and_unknown_ones_read():
+    out, stats = redact({"usage": {"x": KEY}, "deep": {"id": KEY, "extra": [KEY]}, KEY: 1})
+    assert out == {"usage": {"x": KEY}, "deep": {"id": KEY, "extra": ["[ANTHROPIC_API_KEY]"]}, KEY: 1}
+    assert stats["ANTHROPIC_API_KEY"] == 1
+
+
+def test_line_separators_stay():
+    out, n = jsonwalk.redact_lines(line({"content": "a b c\x85"}) + "\n", R, Counter())
+    assert n == 1 and json.loads(out[0])["content"] == "a b c\x85"
+
+
+def test_malformed_lines():
+    good, bad = line({"a": 1}), '{"a": '
+    assert jsonwalk.redact_lines(f"{good}\n{bad}", R, Counter(), True)[0] == [good]
+    with pytest.raises(jsonwalk.MalformedLineError):
+        jsonwalk.redact_lines(f"{good}\n{bad}", R, Counter())
+    with pytest.raises(jsonwalk.MalformedLineError):
+        jsonwalk.redact_lines(f"{bad}\n{good}\n", R, Counter(), True)
+    assert jsonwalk.redact_lines(f"{good}\n\n{good}\n", R, Counter())[0] == [good, "", good]
+
+
+@pytest.mark.parametrize("data,out,n", [(b"a\nb\nc\n", "a\nb\nc\n", 3), (b"", "", 0), (b"a\r\nb\r\n", "a\r\nb\r\n", 2)])
+def test_clean_text_is_unchanged(data, out, n):
+    assert mirror.redact_text(data, R, Counter()) == (out, n, n, False)
+
+
+def test_text_cases():
+    secret = b"API_KEY=abc123XYZsuperlonglooooooongsecretvalue1234567890"
+    assert mirror.redact_text(secret + b"\nafter", R, Counter()) == ("[ENV_ASSIGNMENT_SECRET]after", 1, 0, True)
+    assert mirror.redact_text(secret + b"\n", R, Counter())[0] == "[ENV_ASSIGNMENT_SECRET]\n"
+    with pytest.raises(UnicodeDecodeError):
+        mirror.redact_text(b"h\xff", R, Counter())
+    with pytest.raises(mirror.OversizeTextError):
+        mirror.redact_text(b"a" * (mirror.MOST_TEXT_BYTES + 1), R, Counter())
+    far = "-----BEGIN PRIVATE " + "KEY-----\n" + "x" * 70_000 + "\n-----END PRIVATE " + "KEY-----"
+    with pytest.raises(mirror.AnomalousRedactionSpanError):
+        mirror.redact_text(far.encode(), R, Counter())
+
+
+def write(root, rel, data):
+    at = os.path.join(root, rel)
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    with open(at, "wb") as f:
+        f.write(data)
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = str(tmp_path / "source")
+    write(root, "a/clean.jsonl", (line({"x": 1}) + "\n" + line({"x": KEY}) + "\n").encode())
+    write(root, ".dot/_hidden.txt", b"")
+    write(root, "b/mail.txt", b"jo@site.example\n")
+    write(root, "b/bad.txt", b"h\xff")
+    write(root, "b/skip.md", b"no")
+    write(root, "live.jsonl", (line({"x": 1}) + '\n{"x": ').encode())
+    return root
+
+
+def test_corpus_source(spark, tree):
+    files = corpus.read_corpus(spark, tree)
+    assert [r.relpath for r in files.orderBy("relpath").collect()] == [".dot/_hidden.txt", "a/clean.jsonl", "b/bad.txt", "b/mail.txt", "live.jsonl"]
+    assert files.where("relpath = 'a/clean.jsonl'").first().mtime_ns == os.stat(os.path.join(tree, "a/clean.jsonl")).st_mtime_ns
+    lines = corpus.jsonl_lines(files)
+    assert lines.count() == 4 and corpus.tolerant_lines(files).count() == 3
+    assert watch.live_json_lines(lines).count() == 3
+    assert {bytes(r.line) for r in corpus.byte_lines(files.where("relpath = 'b/bad.txt'")).collect()} == {b"h\xff"}
+
+
+def test_mirror_run(spark, tree, tmp_path):
+    target = str(tmp_path / "mirror")
+    write(target, "old.txt", b"stale")
+    write(target, "left.jsonl.tmp", b"x")
+    results, summary, failed = mirror.build_mirror(spark, tree, target)
+    s = summary.first()
+    assert (s.files_in_snapshot, s.files_processed, s.files_skipped_decode, s.unchanged_count, failed) == (5, 4, 1, 5, False)
+    assert sorted(r[0] for r in corpus.list_files(target)) == [".dot/_hidden.txt", "a/clean.jsonl", "b/mail.txt", "live.jsonl"]
+    with open(os.path.join(target, "a/clean.jsonl")) as f:
+        assert f.read().splitlines()[1] == line({"x": "[ANTHROPIC_API_KEY]"})
+    assert {(r.entity_type, r.n) for r in mirror.corpus_totals(results).collect()} == {("ANTHROPIC_API_KEY", 1), ("EMAIL_ADDRESS", 1)}
+    assert [r.relpath for r in mirror.hash_mismatches(corpus.read_corpus(spark, target), corpus.read_corpus(spark, tree)).collect()]
+    with pytest.raises(corpus.UnsafeTargetError):
+        mirror.build_mirror(spark, tree, os.path.join(tree, "inside"))
+
+
+def test_summary_ceiling(spark):
+    rows = [(f"{i}.txt", ".txt", e, False) for i, e in enumerate(["OversizeTextError: x", "LineGrowthError: x", "PermissionError: x", "UnicodeDecodeError: x"])]
+    s = mirror.summarize(spark.createDataFrame(rows, "relpath string, suffix string, error string, collapsed boolean"), spark.range(0)).first()
+    assert s.skip_ceiling_exceeded and s.files_skipped_os_error_txt == 1 and not s.any_jsonl_error
+    assert mirror.gates(a=True, b=None, c=False) == (False, ["b", "c"])
+    assert mirror.session_gate(10, 1, 1, 8, 8) == {"discovered": True, "committed": True}
+
+
+def test_atomic_write_leaves_nothing(tmp_path):
+    at = str(tmp_path / "x.txt")
+
+    def fail(_):
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        corpus.write_file_atomically(at, b"x", fail)
+    assert os.listdir(tmp_path) == []
+
+
+def test_text_expressions(spark):
+    texts = ["", "a", "a\n", "a\nb", "a\r\nb\x85c ", "\n\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.lf_count(F.col("t")).alias("lf"), text.splitlines_count(F.col("t")).alias("n")).collect()
+    assert all((r.lf, r.n) == (r.t.count("\n"), len(r.t.splitlines())) for r in got)
+    said = ['ok {"flagged": true}', '{"flagged": "true"}', "none", '{"flagged": false, "x": {"y": 1}} ', "{bad"]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in said], "t string").select(text.verdict(F.col("t")).alias("v")).collect()]
+    assert got == [True, None, None, False, None]
+    one = spark.createDataFrame([(bytearray(range(32)), "Nov 26 10:00:00 host sshd[12]: hi")], "b binary, l string")
+    r = one.select(text.u32_le(F.col("b"), 24).alias("u"), text.log_identifier(F.col("l")).alias("i")).first()
+    assert r.u == int.from_bytes(bytes(range(24, 28)), "little") and r.i == "sshd"

@@ -16,6 +16,7 @@ keep below it, applied one after the other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize
+from .common import MASK, append_columns, materialize, mix, small_batches
 
 #: Bits per key and probes of the first level and of the later ones.
 FIRST, LATER = (12.0, 8), (2.9, 2)
@@ -47,9 +48,9 @@ class Level:
 
 
 def probe_at(a: np.ndarray, b: np.ndarray, i: int, level: int, m: np.uint64) -> np.ndarray:
-    # non-negative 62-bit halves, so that the same sum can be formed in SQL without overflow rules
-    mask = np.uint64((1 << 55) - 1)
-    return ((a & mask) + np.uint64(i + 7 * level) * ((b & mask) >> np.uint64(7))) % m
+    """The i-th bit of a key in a level of m bits; levels hash independently of one another."""
+    salt = np.uint64((level * 0x9E3779B97F4A7C15) & MASK)
+    return (mix(a + salt) + np.uint64(i) * (mix(b ^ salt) | np.uint64(1))) % m
 
 
 def depth(cascade: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,12 +72,16 @@ def _build_level(keys: DataFrame, n: int, level: int, max_bytes: int) -> Level:
     words = max(1, int(np.ceil(n * per_key / 64)))
     if words * 8 > max_bytes:
         raise ValueError(f"a level of {words * 8} bytes exceeds {max_bytes}")
-    low = (1 << 55) - 1
-    a, b = F.col("a").bitwiseAND(F.lit(low)), F.shiftright(F.col("b").bitwiseAND(F.lit(low)), 7)
-    at = F.explode(F.array(*[(a + F.lit(i + 7 * level) * b) % F.lit(64 * words) for i in range(probes)]))
-    set_bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")
-    )
+    small_batches(keys.sparkSession)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.asarray(x).view(np.uint64) for x in batch.columns)
+            at = np.concatenate([probe_at(a, b, i, level, np.uint64(64 * words)) for i in range(probes)])
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64))], names=["at"])
+
+    at = keys.select("a", "b").mapInArrow(places, "at long")
+    set_bits = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     bits = np.zeros(words, np.uint64)
     rows = set_bits.collect()  # at most one row for each word of the level, whose size is checked above
     if rows:

@@ -111,7 +111,7 @@ def plan_mixture(
     names = [r[0] for r in totals]
     targets = water_fill([r[1] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most_repeats)
     plan_schema = "__source string, source_size long, target double"
-    per_source = spark.createDataFrame([(r[0], r[1], t) for r, t in zip(totals, targets, strict=True)], plan_schema)
+    per_source = spark.createDataFrame([(r[0], r[1], float(t)) for r, t in zip(totals, targets, strict=True)], plan_schema)
 
     # passes: whole ones over all blocks, then the permuted prefix whose words come nearest to the rest
     goal = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -153,9 +153,9 @@ def plan_mixture(
 
 
 def shards_for(docs: DataFrame) -> int:
-    """Output shards from the input's stored size, as the planner knows it without reading."""
+    """Output shards from the input's stored size, as the planner knows it without reading; LEAST_SHARDS if it does not."""
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(LEAST_SHARDS, min(100_000, stored // SHARD_BYTES))
+    return max(LEAST_SHARDS, stored // SHARD_BYTES) if stored < 1 << 60 else LEAST_SHARDS
 
 
 def mix(planned: DataFrame) -> DataFrame:

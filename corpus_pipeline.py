@@ -51,9 +51,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to the target weights: a row for each time a document is taken, with copy, shard and rank."""
-    columns = docs.columns
-    planned = mixture.plan_mixture(docs.drop("size", "source_size", "target", "copies", "copy", "shard", "rank"), keep_text=True)
-    out = mixture.mix(planned.drop("size", "source_size", "target"))
+    columns, shards = docs.columns, mixture.shards_for(docs)
+    planned = mixture.plan_mixture(docs.drop("size", "source_size", "target", "copies", "copy", "shard", "rank"), shards=shards, keep_text=True)
+    out = mixture.mix(planned.drop("size", "source_size", "target"), shards)
     return out.select(*[c for c in columns if c in out.columns and c not in ("copy", "shard", "rank")], "copy", "shard", "rank")
 
 

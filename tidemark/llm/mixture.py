@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, unit_hash
 
-LEAST_BLOCKS, LEAST_SHARDS = 1024, 16
+LEAST_BLOCKS, LEAST_SHARDS = 1024, 4
 #: Input bytes (as stored) for each output shard; a task sorts a shard.
-SHARD_BYTES = 128_000_000
+SHARD_BYTES = 32_000_000
+#: Shards whose quotas (one number for each source) the driver plans at most; beyond, shards grow.
+MOST_SHARDS = 20_000
 #: Rows of the block plan up to which it is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 WEIGHTS = (5, 2, 1)
@@ -155,13 +157,14 @@ def plan_mixture(
 def shards_for(docs: DataFrame) -> int:
     """Output shards from the input's stored size, as the planner knows it without reading; LEAST_SHARDS if it does not."""
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(LEAST_SHARDS, stored // SHARD_BYTES) if stored < 1 << 60 else LEAST_SHARDS
+    return max(LEAST_SHARDS, min(MOST_SHARDS, stored // SHARD_BYTES)) if stored < 1 << 60 else LEAST_SHARDS
 
 
-def mix(planned: DataFrame) -> DataFrame:
+def mix(planned: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix itself: one row per copy (columns of ``planned`` but copies, with copy, shard and rank),
     a shard's rows together and in shuffled order. A shard holds whole blocks of all sources, so no
     source or document makes one shard large."""
+    shards = shards or shards_for(planned)
     one = planned.select("*", F.explode("copies").alias("__c")).drop("copies")
     rows = one.select("*", "__c.copy", "__c.shard", "__c.rank").drop("__c")
-    return rows.repartition("shard").sortWithinPartitions("shard", "rank")
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "rank")

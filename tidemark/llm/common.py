@@ -94,6 +94,7 @@ def append_columns(
                 new = fn(*b.columns[n_kept:])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(new, arrow_types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], *arrays], names=out_names)
+        pa.default_memory_pool().release_unused()  # workers are used again by later tasks
 
     return wide.mapInArrow(run, schema)
 

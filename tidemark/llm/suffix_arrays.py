@@ -243,7 +243,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    shard_words: int = 1_500_000,
+    shard_words: int = 600_000,
     block_bytes: int = 4_000_000,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted strings) and longest (words, item_id, item_at, doc_at).

@@ -82,6 +82,8 @@ def test_entropy(spark):
     texts = ["", "abcd", "1234567890", "aab", "é😀é"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.entropy(F.col("t")).alias("h")).collect()
     assert all(math.isclose(r.h, rules.shannon_entropy(r.t), abs_tol=1e-9) for r in got)
+    whole = rules.text_entropy(spark.createDataFrame([(t,) for t in [*texts, None]], "t string"), "t", "h").collect()
+    assert all(r.h is None if r.t is None else math.isclose(r.h, rules.shannon_entropy(r.t), abs_tol=1e-9) for r in whole)
 
 
 def test_dataframe_agrees_with_python(spark):
@@ -93,3 +95,10 @@ def test_dataframe_agrees_with_python(spark):
         else:
             want = R.redact(r.t, "broad_pii")
             assert (r.redacted, [f.entity_type for f in r.findings], [(f.start, f.end) for f in r.findings]) == want
+
+
+def test_hints_never_hide_a_match():
+    for rule, pattern in R.rules:
+        for text in [*POSITIVES.values(), PEM, "jo@site.example", "AſIA" + "ABCDEFGH12345678", "TOKEN = 'Zx9kQ2mNv7Lp4Rt8'", "10.1.2.3"]:
+            if pattern.search(text) and rule.entity in rules.HINTS:
+                assert any(h in rules.folded(text) for h in rules.HINTS[rule.entity])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.rules import CREDENTIALS, PROFILES, build_rules, entities_for_profile, may_match
+from tidemark.functions.rules import CREDENTIALS, HINTS, PROFILES, build_rules, entities_for_profile, folded, may_match
 from tidemark.shipping import ship
 
 Finding = tuple[str, int, int, float]
@@ -37,9 +37,11 @@ class Redactor:
     def analyze(self, text: str, profile: str) -> list[Finding]:
         """All detections of the profile, overlapping ones included, in order of place."""
         wanted = set(entities_for_profile(profile))
+        low = folded(text)
         found: dict[tuple[str, int, int], float] = {}
         for rule, pattern in self.rules:
-            if rule.entity in wanted:
+            hints = HINTS.get(rule.entity)
+            if rule.entity in wanted and (hints is None or any(h in low for h in hints)):
                 for m in pattern.finditer(text):
                     if m[0] and m[0] not in OWN_PLACEHOLDERS and (rule.accepts is None or rule.accepts(m[0])):
                         key = (rule.entity, m.start(), m.end())

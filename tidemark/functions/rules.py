@@ -7,9 +7,13 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shipping import ship
+
 # Patterns and scores of the rules, in the order in which they are registered.
 PATTERNS = [
     ("ANTHROPIC_API_KEY", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b", 0.9),
@@ -43,6 +47,22 @@ ENTROPY_FLOOR = 3.0
 # Fixed value: prefixes that mark a file as holding credentials.
 CREDENTIAL_PREFIX = "|".join(p for _, p, _ in (PATTERNS[0], PATTERNS[1], PATTERNS[2], PATTERNS[5], PATTERNS[8], PATTERNS[3], PATTERNS[9]))
 
+# What a text must hold, in lower case, for a rule to match; a rule without a hint is always tried.
+HINTS = {
+    "ANTHROPIC_API_KEY": ("sk-ant-",),
+    "OPENROUTER_API_KEY": ("sk-or-",),
+    "GITHUB_OAUTH_TOKEN": ("gho_", "ghp_", "ghs_", "ghu_", "ghr_"),
+    "GCP_API_KEY": ("aiza", "aq."),
+    "GROQ_API_KEY": ("gsk_",),
+    "PRIVATE_KEY": ("private key",),
+    "PEM_MARKER_LITERAL": ("private key",),
+    "AWS_ACCESS_TOKEN": ("akia", "asia"),
+    "STRIPE_ACCESS_TOKEN": ("sk_", "rk_"),
+    "AZURE_AD_CLIENT_SECRET": ("q~",),
+    "ENV_ASSIGNMENT_SECRET": ("access", "auth", "api", "credential", "creds", "key", "passw", "secret", "token"),
+    "EMAIL_ADDRESS": ("@",),
+}
+
 CREDENTIALS = tuple(dict.fromkeys(e for e, _, _ in PATTERNS))
 PROFILES = {
     "narrow": (*CREDENTIALS, "EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS"),
@@ -93,11 +113,38 @@ def spark_pattern(pattern: str) -> str:
     return "(?imsU)" + pattern.replace("(?i)", "")
 
 
+def folded(text: str) -> str:
+    """Lower case as the hints need it: the long s matches s where case is ignored."""
+    return text.lower().replace("\u017f", "s")
+
+
+def hinted(text: Column, entity: str) -> Column:
+    """Whether the text holds a hint of the rule; searched as bytes in the JVM."""
+    low = F.translate(F.lower(text), "\u017f", "s")
+    tests = [low.contains(h) for h in HINTS.get(entity, ())]
+    out = tests[0] if tests else F.lit(True)
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def suspect(text: Column, entity: str, pattern: str) -> Column:
+    """A cheap test for one rule: hints, then the pattern without what may be empty before an assignment's
+    keyword (that part makes it slow)."""
+    short = pattern.replace(r"[\w.-]{0,50}?", "", 1) if entity in VALIDATED else pattern
+    return hinted(text, entity) & text.rlike(spark_pattern(short))
+
+
 def may_match(text: Column, profile: str) -> Column:
-    """A cheap test in the JVM; texts that fail it have no finding in the profile."""
+    """A cheap test in the JVM; texts that fail it have no finding in the profile.
+
+    Hints come first; a pattern is tried only where they are met."""
     wanted = set(entities_for_profile(profile))
-    parts = [p.replace("(?i)", "") for e, p, _ in (*PATTERNS, *PERSONAL) if e in wanted and e != "PRIVATE_KEY"]  # a block holds a marker
-    return F.coalesce(text.rlike("(?imsU)" + "|".join(f"(?:{p})" for p in parts)), F.lit(False))
+    out = F.lit(False)
+    for e, p, _ in (*PATTERNS, *PERSONAL):
+        if e in wanted and e != "PRIVATE_KEY":  # a block holds a marker
+            out = out | suspect(text, e, p)
+    return F.coalesce(out, F.lit(False))
 
 
 def entropy(text: Column) -> Column:
@@ -109,6 +156,24 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, bits).otherwise(F.lit(0.0))
 
 
+def text_entropy(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the Shannon entropy of whole texts; Arrow batches, as the expression above is meant for
+    short strings and visits a text once for each of its characters. Null stays null."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> float | None:
+            if t is None:
+                return None
+            n = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)[1] / max(1, len(t))
+            return float(-(n * np.log2(n)).sum()) + 0.0
+
+        return texts.map(one)
+
+    return df.withColumn(name, of(F.col(text_col)))
+
+
 def accepted(match: Column) -> Column:
     """The check of assignment matches as a built-in expression."""
     return ~match.rlike(f"(?i){PLACEHOLDER}") & (entropy(match) >= ENTROPY_FLOOR)

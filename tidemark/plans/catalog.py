@@ -49,11 +49,13 @@ _FOUND = f"""
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, entity_type, m): matches of the e-mail, IPv4 and assignment rules, in the JVM."""
+    three = (("EMAIL_ADDRESS", rules.EMAIL), ("IP_ADDRESS", rules.IPV4), ("ENV_ASSIGNMENT_SECRET", _ENV))
     docs = table(spark, sf_dir, "documents")
+    docs = docs.where(rules.suspect(docs.text, *three[0]) | rules.suspect(docs.text, *three[1]) | rules.suspect(docs.text, *three[2]))
     parts = F.array(
         *[
             F.struct(F.lit(e).alias("entity_type"), F.regexp_extract_all("text", F.lit(rules.spark_pattern(p)), F.lit(0)).alias("ms"))
-            for e, p in (("EMAIL_ADDRESS", rules.EMAIL), ("IP_ADDRESS", rules.IPV4), ("ENV_ASSIGNMENT_SECRET", _ENV))
+            for e, p in three
         ]
     )
     each = docs.select("doc_id", "source", "lang", F.explode(parts).alias("p")).select("doc_id", "source", "lang", "p.entity_type", F.explode("p.ms").alias("m"))
@@ -110,7 +112,8 @@ def placeholder_documents(spark, sf_dir):
 
 @query("SELECT doc_id, round((SELECT sum(-(n / t) * log2(n / t)) FROM (SELECT count(*) AS n, length(text) AS t FROM (SELECT unnest(string_split(text, '')) AS c) GROUP BY c)), 6) AS bits FROM documents")
 def text_entropy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(rules.entropy(F.col("text")), 6).alias("bits"))
+    docs = rules.text_entropy(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "bits")
+    return docs.select("doc_id", F.round("bits", 6).alias("bits"))
 
 
 @query("""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS lf,

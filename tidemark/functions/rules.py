@@ -118,21 +118,26 @@ def folded(text: str) -> str:
     return text.lower().replace("\u017f", "s")
 
 
-def hinted(text: Column, entity: str) -> Column:
-    """Whether the text holds a hint of the rule; searched as bytes in the JVM."""
+def hinted(text: Column, entity: str, in_filter: bool = True) -> Column:
+    """Whether the text holds a hint of the rule. A filter shares no subexpressions, so there the text is
+    folded once, for one pattern; a projection folds it once for all rules and searches bytes."""
+    hints = HINTS.get(entity)
+    if hints is None:
+        return F.lit(True)
     low = F.translate(F.lower(text), "\u017f", "s")
-    tests = [low.contains(h) for h in HINTS.get(entity, ())]
-    out = tests[0] if tests else F.lit(True)
-    for t in tests[1:]:
-        out = out | t
+    if in_filter and len(hints) > 1:
+        return low.rlike("|".join(map(re.escape, hints)))
+    out = low.contains(hints[0])
+    for h in hints[1:]:
+        out = out | low.contains(h)
     return out
 
 
-def suspect(text: Column, entity: str, pattern: str) -> Column:
+def suspect(text: Column, entity: str, pattern: str, in_filter: bool = True) -> Column:
     """A cheap test for one rule: hints, then the pattern without what may be empty before an assignment's
     keyword (that part makes it slow)."""
     short = pattern.replace(r"[\w.-]{0,50}?", "", 1) if entity in VALIDATED else pattern
-    return hinted(text, entity) & text.rlike(spark_pattern(short))
+    return hinted(text, entity, in_filter) & text.rlike(spark_pattern(short))
 
 
 def may_match(text: Column, profile: str) -> Column:
@@ -143,7 +148,7 @@ def may_match(text: Column, profile: str) -> Column:
     out = F.lit(False)
     for e, p, _ in (*PATTERNS, *PERSONAL):
         if e in wanted and e != "PRIVATE_KEY":  # a block holds a marker
-            out = out | suspect(text, e, p)
+            out = out | suspect(text, e, p, in_filter=False)
     return F.coalesce(out, F.lit(False))
 
 

@@ -54,7 +54,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.where(rules.suspect(docs.text, *three[0]) | rules.suspect(docs.text, *three[1]) | rules.suspect(docs.text, *three[2]))
     parts = F.array(
         *[
-            F.struct(F.lit(e).alias("entity_type"), F.regexp_extract_all("text", F.lit(rules.spark_pattern(p)), F.lit(0)).alias("ms"))
+            F.struct(F.lit(e).alias("entity_type"), F.when(rules.suspect(docs.text, e, p), F.regexp_extract_all("text", F.lit(rules.spark_pattern(p)), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("ms"))
             for e, p in three
         ]
     )

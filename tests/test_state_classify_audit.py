@@ -160,3 +160,15 @@ def test_streams(spark, tmp_path):
     assert watch.sessions(batch, "host", "20 minutes").count() == 2
     check = audit.growth_check(batch, F.lit(datetime.datetime(2026, 1, 1, 10, 1)), 5.0, 2, 10).first()
     assert check.entries == 3 and check.flagged
+
+
+def test_metric_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    names = corpus.METRICS.replace(" string", "").split(", ")
+    (tmp_path / "in" / "a.tsv").write_text("\t".join(names) + "\n2024-05-01T10:00:00\t71\tunknown\n2024-05-02T11:00:00\t93\t40\n")
+    got = []
+    peaks = watch.daily_peak(corpus.stream_metrics(spark, str(tmp_path / "in")), "disk_pct")
+    stream = peaks.writeStream.outputMode("complete").foreachBatch(lambda df, _: got.append({(r.day.day, r.peak) for r in df.collect()}))
+    q = stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert got[-1] == {(1, 71.0), (2, 93.0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,11 @@ def is_own_placeholder(text: str) -> bool:
     return text.strip() in OWN_PLACEHOLDERS
 
 
+def own_placeholder(text: Column) -> Column:
+    """Whether a text is one of our placeholders and nothing else."""
+    return F.trim(text).isin(*sorted(OWN_PLACEHOLDERS))
+
+
 class Redactor:
     """All rules, compiled once."""
 

@@ -98,6 +98,17 @@ def top_identifiers(entries: DataFrame, name: str, k: int = 5) -> DataFrame:
     return entries.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k)
 
 
+def keyword_blocks(blocks: DataFrame, kinds: tuple[str, ...], pattern: str) -> DataFrame:
+    """The content blocks (kind, text, ...) of the given kinds whose text meets the pattern."""
+    return blocks.where(F.col("kind").isin(*kinds) & F.col("text").rlike(pattern))
+
+
+def last_with_change(metrics: DataFrame, order: str, value: str, k: int = 2) -> DataFrame:
+    """The last ``k`` rows of a metric series, each with its change against the one before (null for the first of them)."""
+    last = metrics.orderBy(F.desc(order)).limit(k)
+    return last.select("*", (F.col(value) - F.lag(value).over(W.orderBy(order))).alias("change"))  # k rows
+
+
 def findings_report(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """By rule, by extension, and the number of distinct .jsonl files and all findings."""
     ext = F.regexp_extract("File", r"(\.[^./]*)$", 1)

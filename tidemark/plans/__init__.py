@@ -1 +1,3 @@
+"""Named queries; importing any of them registers all."""
 
+from tidemark.plans import catalog, files  # noqa: F401

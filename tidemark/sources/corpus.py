@@ -143,6 +143,12 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return df.select("timestamp", *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in df.columns[1:]])
 
 
+def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The metric log as a stream of the files of a folder, with ts, the time as a timestamp."""
+    rows = spark.readStream.schema(METRICS).option("sep", "\t").option("header", True).csv(folder)
+    return rows.select(F.expr("try_to_timestamp(timestamp)").alias("ts"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in rows.columns[1:]])
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("RuleID string, File string").option("multiLine", True).json(path)
 
@@ -192,3 +198,8 @@ def assert_safe_target(path: str, protected_root: str) -> None:
 def retain(lines: DataFrame, keep: int, order_col: str = "line_no") -> DataFrame:
     """The last ``keep`` lines of a log."""
     return lines.orderBy(F.desc(order_col)).limit(keep)
+
+
+def expired(files: DataFrame, now_ns: int, days: int = 30) -> DataFrame:
+    """Files last changed more than ``days`` before ``now_ns``."""
+    return files.where(F.col("mtime_ns") < F.lit(now_ns - days * 86_400 * 1_000_000_000))

@@ -106,6 +106,13 @@ def test_mixture(spark):
     assert mixture.plan_mixture(docs.where("false")).count() == 0
 
 
+def test_many_sources_leave_fewer_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MOST_QUOTAS", 50)
+    docs = documents(spark, [(i, "a b c " * (1 + i % 3), f"s{i % 10}") for i in range(200)], "doc_id long, text string, source string")
+    mixed = mixture.mix(mixture.plan_mixture(docs, shards=64, keep_text=True), 64).collect()
+    assert {r.shard for r in mixed} <= set(range(5)) and mixed
+
+
 def test_splits_are_exact():
     tree = mixture.split_quotas(np.array([100, 7, 0, 1000]), 6, 1)
     assert tree.sum(axis=0).tolist() == [100, 7, 0, 1000] and tree.min() >= 0
@@ -279,6 +286,27 @@ def test_quality_query(spark):
     assert (held.predicted == held.quality).mean() > 0.9
 
 
+def test_quality_edges(spark):
+    prose = "the quick brown fox said that all of the good people in town would come. "
+    rows = [(i, prose * (1 + i % 4) if i % 2 else "#$%& ### buy now!!! " * (1 + i % 4), 0.5) for i in range(80)]
+    rows += [(100, None, None), (101, "", 0.1), (102, "x", 0.2), (None, prose, 0.3), (1, rows[1][1], 0.5), (103, prose * 30_000, 0.4)]
+    docs = documents(spark, rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(1, 1), (None, 1), (100, None)], "doc_id long, quality int")
+    net = byte_cnn.train_quality(docs, labels)
+    got = byte_cnn.score_quality(docs, net)
+    assert got.columns == ["doc_id", "text", "score"]
+    got = got.collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    same = collections.defaultdict(set)
+    for r in got:
+        same[r.text or ""].add(r.score)
+    assert all(len(x) == 1 for x in same.values())
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None and r.doc_id < 80)
+    assert byte_cnn.score_quality(docs.where("false"), net).count() == 0
+    untrained = byte_cnn.train_quality(docs, labels.where("false"))
+    assert {r.score for r in byte_cnn.score_quality(docs, untrained).collect()} == {0.5}
+
+
 def test_language_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
     got = registry.op7_language_id(spark, SF).toPandas().merge(docs, on="doc_id")

@@ -28,6 +28,8 @@ LEAST_BLOCKS, LEAST_SHARDS = 1024, 4
 SHARD_BYTES = 32_000_000
 #: Shards whose quotas (one number for each source) the driver plans at most; beyond, shards grow.
 MOST_SHARDS = 20_000
+#: Quotas (a number for each source and shard) that the driver plans at most; with many sources there are fewer shards.
+MOST_QUOTAS = 2_000_000
 #: Rows of the block plan up to which it is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 WEIGHTS = (5, 2, 1)
@@ -111,6 +113,7 @@ def plan_mixture(
     totals = blocks.groupBy("__source").agg(F.sum("words").alias("source_size")).collect()  # one row per source
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
     names = [r[0] for r in totals]
+    shards = min(shards, max(LEAST_SHARDS, MOST_QUOTAS // max(1, len(names))))
     targets = water_fill([r[1] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most_repeats)
     plan_schema = "__source string, source_size long, target double"
     per_source = spark.createDataFrame([(r[0], r[1], float(t)) for r, t in zip(totals, targets, strict=True)], plan_schema)

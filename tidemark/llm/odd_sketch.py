@@ -288,14 +288,14 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 7
 ) -> DataFrame:
-    """One row per row of ``docs``: its columns but the text, n_shingles, component_id and kept.
+    """One row per row of ``docs``: its id, n_shingles, component_id and kept.
 
     component_id is the least id reachable over links of at least ``percent`` / 100 similarity,
     itself included; kept is true where that is the row's own id.
     Null and empty texts, and texts without words, have no shingle and link with nothing. Rows that
     repeat an id are one document (links are confirmed on the greatest of its sets). A row with a
     null id takes the component of the rows with an equal set and is else kept with a null
-    component. An empty table gives an empty table. Input columns named like an output column are replaced.
+    component. An empty table gives an empty table. Other input columns are left out, whatever their names.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sketches = materialize(sketch_documents(narrow, "text", width, seed).drop("text"), "sketches")

@@ -411,6 +411,23 @@ def test_log_bloom_counts():
     assert (f.count(rng.integers(0, 1 << 63, 20000, dtype=np.uint64), 5) > 0).mean() < 0.02
 
 
+def test_lm_counts_have_no_floor(spark, monkeypatch):
+    monkeypatch.setattr(log_bloom, "BLOCK_TEXT", 400_000)
+    monkeypatch.setattr(log_bloom, "GROUP", 30_000)
+    common = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, common) for i in range(4000)] + [(5000 + i, "seldom pair") for i in range(3)] + [(6000 + i, w) for i in range(3) for w in ("seldom", "pair")]
+    model, table = log_bloom.train(documents(spark, rows))
+    assert model.filter.blocks > 1
+    test = documents(spark, [(1, "seldom pair"), (2, "pair seldom"), (3, "never met"), (4, common)])
+    got = {r.doc_id: r.score for r in log_bloom.score(test, model, table).collect()}
+    n = sum(len(t.split()) + 1 for _, t in rows)
+    # a pair met 3 times of 6: far likelier than its words apart; its words far likelier than unmet ones
+    assert got[1] > got[2] + 2 and got[2] > got[3] + 0.5
+    near = lambda p: math.log10(p)
+    rough = near(0.7 * 6 / len(rows)) + near(0.7 * 3 / 6) + near(0.7 * 6 / 6)
+    assert abs(got[1] - rough) < 1 and got[3] < 2 * near(2 / n) and got[4] > -30
+
+
 # --- 9
 
 

@@ -1,18 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-1. Token counts of the training texts are pre-aggregated within tasks and summed by token hash.
-2. Tokens of relative frequency ``FLOOR`` or more are at most 1 / FLOOR by arithmetic, so they and
-   their exact counts may be broadcast; the same holds for word pairs among words of
-   ``PAIR_WORD_FLOOR`` that reach ``PAIR_FLOOR``.
-3. The filter holds each such n-gram's quantised count: for a count of level q it contains the
-   n-gram once for each level up to q. A reader probes level after level until one is missing.
-   The model interpolates the pair estimate with the word estimate; rarer words share the
-   probability mass that is left, evenly.
-4. One pass over all texts scores them with the filter, adds up the exact base score over frequent
-   tokens, and writes each text's rarer tokens with their numbers. Those alone are joined with the
-   full count table to complete the base score; the table itself is never broadcast.
-
-Tokens are known by 64-bit hashes.
+1. Words and word pairs of the training texts are counted in one pass: pre-aggregated within tasks,
+   then brought together by block (a remainder of the key's hash) and summed there.
+2. The filter holds the quantised count of every word and every pair: for a count of level q it
+   contains the n-gram once for each level up to q. A reader probes level after level until one is
+   missing. Each block has a filter of its own, sized by its n-grams, in the shared scratch folder.
+3. One pass over all texts scores them: a task gathers the tokens of many texts and reads block after
+   block, one in memory at a time. The model interpolates the pair estimate with the word estimate;
+   words that training never met share the mass of one token.
+4. The same pass adds up the exact base score over frequent tokens (relative frequency ``FLOOR`` or
+   more, at most 1 / FLOOR by arithmetic, so they may be broadcast) and writes each text's rarer
+   tokens with their numbers. Those alone are joined with the full table of word counts to complete
+   the base score; the table itself is never broadcast.
+
+Keys are 64-bit hashes whose last bit tells words (0) from pairs (1).
 """
 
 from __future__ import annotations
@@ -22,51 +23,101 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MASK, WordHash, append_columns, materialize, mix, small_batches, text_bytes
+from .common import MASK, WordHash, materialize, mix, small_batches, text_bytes, to_arrow
 
-FLOOR, PAIR_WORD_FLOOR, PAIR_FLOOR = 2e-7, 1e-5, 1e-6
+FLOOR = 2e-7
 #: Ratio of neighbouring count levels; probes of a level; bits of the filter for each entry of a level.
 RATIO, PROBES, BITS_PER_ENTRY = 1.5, 8, 12
 PAIR_WEIGHT = 0.7
-#: Tokens that a task gathers before it hands on their counts.
-FLUSH = 2_000_000
-END = xxhash.xxh64_intdigest(b"\n")  # no word is a line feed
+#: Tokens that a task gathers before it hands on their counts, and before it reads the filter.
+FLUSH, GROUP = 2_000_000, 1_500_000
+#: Training text for each block of the filter; size of the files the blocks lie in.
+BLOCK_TEXT, FILE_BYTES = 32_000_000, 128_000_000
+END = xxhash.xxh64_intdigest(b"\n") & ~1  # no word is a line feed
 
 
 def token_hashes(text: bytes, hasher: WordHash) -> np.ndarray:
-    return np.append(hasher.of(text.lower().split()), np.uint64(END))
+    return np.append(hasher.of(text.lower().split()), np.uint64(END)) & np.uint64(MASK - 1)
 
 
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(mix(first) + second)
+    return mix(mix(first) + second) | np.uint64(1)
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(h, n): numbers of the keys that ``keys_of(hasher)`` gives for a text, summed over ``docs`` (column __text)."""
-    small_batches(docs.sparkSession)
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = keys_of(WordHash()), [], 0
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    h, k = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(h)
+    h, k = h[order], k[order]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[head], np.add.reduceat(k, head) if len(h) else k
+
+
+def _counted(texts: DataFrame, blocks: int) -> DataFrame:
+    """(h, n) of all words of ``texts`` (column __text), and (block, bits): each block's filter of all words and pairs."""
+    small_batches(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = WordHash(), [], 0
         for b in batches:
             for t in b.column(0):
-                held.append(keys(t.as_py()))
+                held.append(token_hashes(t.as_py(), hasher))
                 size += len(held[-1])
             if size >= FLUSH:
                 yield from flush(held)
                 held, size = [], 0
-        yield from flush(held)
+        if held:
+            yield from flush(held)
+        pa.default_memory_pool().release_unused()
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        for s in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[s : s + 100_000].view(np.int64)), pa.array(n[s : s + 100_000])], names=["h", "n"])
-
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        words = np.concatenate(held)
+        before = np.append(words[-1:], words[:-1])  # a text's end precedes the next text, the last one's the first
+        for keys in (words, pair_hashes(before, words)):
+            h, n = np.unique(keys, return_counts=True)
+            for s in range(0, len(h), 100_000):
+                part = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(_block(h[part], blocks).astype(np.int32)), pa.array(h[part].view(np.int64)), pa.array(n[part])], names=["block", "h", "n"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, size, least = [], [], 0, FLUSH
+        for b in batches:
+            keys.append(np.array(b.column(1)).view(np.uint64))
+            n.append(np.array(b.column(2)))
+            size += b.num_rows
+            if size >= least:
+                h, k = _summed(keys, n)
+                keys, n, size, least = [h], [k], len(h), max(FLUSH, 2 * len(h))
+        if not size:
+            return
+        h, k = _summed(keys, n)
+        keys, n = [], []
+        word = np.flatnonzero(h & np.uint64(1) == 0)
+        for s in range(0, len(word), 100_000):
+            at = word[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
+        of = _block(h, blocks)
+        for block in np.unique(of):  # one, unless tasks were given several
+            mine = of == block
+            bloom = LogBloom(int(LogBloom.levels(k[mine], 1).sum()))
+            bloom.add(h[mine], k[mine], 1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([bloom.bits.tobytes()], pa.binary())], names=names)
+        pa.default_memory_pool().release_unused()
+
+    names = ["h", "n", "block", "bits"]
+    counts = texts.mapInArrow(count, "block int, h long, n long").repartitionById(blocks, F.col("block"))
+    return counts.mapInArrow(build, "h long, n long, block int, bits binary")
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +143,13 @@ class LogBloom:
         self.m = np.uint64(64 * max(1, int(np.ceil(entries * BITS_PER_ENTRY / 64))))
         self.bits = np.zeros(int(self.m) // 64, np.uint64)
 
+    @classmethod
+    def of(cls, bits: bytes) -> LogBloom:
+        bloom = cls(0)
+        bloom.bits = np.frombuffer(bits, np.uint64)
+        bloom.m = np.uint64(64 * len(bloom.bits))
+        return bloom
+
     @staticmethod
     def levels(n: np.ndarray, least: int) -> np.ndarray:
         return 1 + np.floor(np.log(np.maximum(n, least) / least) / np.log(RATIO) + 1e-9).astype(np.int64)
@@ -124,60 +182,68 @@ class LogBloom:
         return np.where(q > 0, least * RATIO ** (q - 0.5), 0.0)
 
 
+@dataclass
+class Filter:
+    """The filter's blocks, in files that all executors can read."""
+
+    path: str
+    blocks: int
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated counts of distinct keys; every block is read once."""
+        of = _block(keys, self.blocks)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(self.blocks + 1))
+        out = np.zeros(len(keys))
+        fs, path = pyarrow.fs.FileSystem.from_uri(self.path)
+        for f in fs.get_file_info(pyarrow.fs.FileSelector(path)):
+            if f.base_name.endswith(".parquet"):
+                with fs.open_input_file(f.path) as source:
+                    for b in pq.ParquetFile(source, buffer_size=1 << 22).iter_batches(1, columns=["block", "bits"], use_threads=False):
+                        for block, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                            at = order[ends[block] : ends[block + 1]]
+                            if len(at):
+                                out[at] = LogBloom.of(bits.as_buffer()).count(keys[at], 1)
+        return out
+
+
 @dataclass
 class Model:
     total: int
     distinct: int
     words: np.ndarray  # hashes of frequent tokens, sorted
     counts: np.ndarray
-    contexts: np.ndarray  # hashes of tokens that pairs are made of, sorted
-    filter: LogBloom
+    filter: Filter
     least: int
-    pair_least: int
-    unknown: float
 
     def log_probabilities(self, u: np.ndarray, now: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it; tokens are given by their places in ``u``."""
-        count = self.filter.count(mix(u ^ np.uint64(0xA5A5A5A5)), self.least)
-        p = np.where(count > 0, np.minimum(1.0, count / max(1, self.total)) * (1 - self.unknown), self.unknown)
-        paired = find(self.contexts, u) >= 0
-        context = paired[before]
-        pairs = np.flatnonzero(context & paired[now])
-        joint = self.filter.count(pair_hashes(u[before[pairs]], u[now[pairs]]), self.pair_least)
-        base = count[before[pairs]]
-        conditional = np.zeros(len(now))
-        conditional[pairs] = np.where(base > 0, np.minimum(1.0, joint / np.maximum(base, 1e-9)), 0.0)
-        return np.log10(np.where(context, PAIR_WEIGHT * conditional + (1 - PAIR_WEIGHT) * p[now], p[now]))
+        pairs, which = np.unique(pair_hashes(u[before], u[now]), return_inverse=True)
+        which = which.astype(np.int32)
+        counts = self.filter.count(np.concatenate([u, pairs]))
+        count, joint = counts[: len(u)], counts[len(u) :]
+        unknown = 1 / (self.total + 1)
+        p = np.where(count > 0, np.minimum(1.0, count / max(1, self.total)) * (1 - unknown), unknown)
+        base = count[before]
+        conditional = np.minimum(1.0, joint[which] / np.maximum(base, 1e-9))
+        return np.log10(np.where(base > 0, PAIR_WEIGHT * conditional + (1 - PAIR_WEIGHT) * p[now], p[now]))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of all texts in ``docs`` and the table (h, n) of all their token counts."""
     texts = docs.select(text_bytes(text_col).alias("__text"))
-    table = materialize(_counted(texts, lambda hasher: lambda t: token_hashes(t, hasher)), "token_counts")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, int(np.ceil(size / BLOCK_TEXT)))
+    counted = materialize(_counted(texts, blocks), "counted")
+    table = counted.where("bits is null").select("h", "n")
+    filters = counted.where("bits is not null").select("block", "bits")
     whole = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
+    bits = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
+    filters = materialize(filters.coalesce(max(1, int(np.ceil(bits / FILE_BYTES)))), "filters")
     total = int(whole.total)
     least = max(1, int(np.ceil(FLOOR * total)))
     words, counts = _arrays(table.where(F.col("n") >= least))  # at most 1 / FLOOR rows
-    contexts = words[counts >= max(1, int(np.ceil(PAIR_WORD_FLOOR * total)))]
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
-
-    def pair_keys(hasher: WordHash):
-        def of(t: bytes) -> np.ndarray:
-            h = token_hashes(t, hasher)
-            known = find(shared.value, h) >= 0
-            before, was = np.append(np.uint64(END), h[:-1]), np.append(True, known[:-1])
-            return pair_hashes(before, h)[known & was]
-
-        return of
-
-    pair_least = max(1, int(np.ceil(PAIR_FLOOR * total)))
-    pairs, pair_counts = _arrays(_counted(texts, pair_keys).where(F.col("n") >= pair_least))  # at most 1 / PAIR_FLOOR rows
-    entries = int(LogBloom.levels(counts, least).sum() + LogBloom.levels(pair_counts, pair_least).sum())
-    bloom = LogBloom(entries)
-    bloom.add(mix(words ^ np.uint64(0xA5A5A5A5)), counts, least)
-    bloom.add(pairs, pair_counts, pair_least)
-    unknown = (total - int(counts.sum()) + 1) / ((int(whole.distinct) - len(words) + 1) * (total + 1))
-    return Model(total, int(whole.distinct), words, counts, contexts, bloom, least, pair_least, unknown), table
+    return Model(total, int(whole.distinct), words, counts, Filter(filters._tidemark_path, blocks), least), table
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text") -> DataFrame:
@@ -195,42 +261,66 @@ def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text
     scale = model.total + 0.1 * (model.distinct + 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        hasher = WordHash()
-
-        def run(texts: pa.Array) -> list:
-            m = shared.value
-            each = [token_hashes(t.as_py(), hasher) for t in texts]
-            n = np.array([len(x) for x in each])
-            h = np.concatenate(each)
-            row = np.repeat(np.arange(len(n)), n)
-            u, inverse = np.unique(h, return_inverse=True)
-            at = find(m.words, u)
-            frequent = (at >= 0)[inverse]
-            logs = np.zeros(len(u))
-            logs[at >= 0] = np.log10((m.counts[at[at >= 0]] + 0.1) / scale)
-            sums = np.bincount(row, logs[inverse], len(n))
-            known = np.bincount(row[frequent], minlength=len(n))
-            before = np.append(inverse[-1], inverse[:-1])  # a text's end precedes the next text, the last one's the first
-            scores = np.bincount(row, m.log_probabilities(u, inverse, before), len(n))
-            rare = np.flatnonzero(~frequent)
-            order = rare[np.lexsort((h[rare], row[rare]))]
-            hr, rr = h[order], row[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (hr[1:] != hr[:-1]) | (rr[1:] != rr[:-1])
-            head = np.flatnonzero(new)
-            offsets = pa.array(np.searchsorted(rr[head], np.arange(len(n) + 1)), pa.int32())
-            keys = pa.ListArray.from_arrays(offsets, pa.array(hr[head].view(np.int64)))
-            times = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(head, len(order))), pa.int64()))
-            return [n, known, sums, scores, keys, times]
-
-        return run
-
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType())]
     fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("__keys", "__times")]
-    slim = docs.select(*[docs[f"`{c}`"] for c in columns], docs[f"`{text_col}`"].alias("__text"))
-    scored = append_columns(slim, [text_bytes("__text")], fields, make).drop("__text")
-    scored = materialize(scored.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    small_batches(docs.sparkSession)
+    slim = docs.select(*[docs[f"`{c}`"] for c in columns], text_bytes(text_col).alias("__text"))
+    schema = T.StructType([*slim.drop("__text").schema.fields, *fields])
+    names, kinds = schema.fieldNames(), [to_arrow(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, kept, held, size = WordHash(), [], [], 0
+        for b in batches:
+            if b.num_rows:
+                kept.append(b.columns[:-1])
+                held.append([token_hashes(t.as_py(), hasher) for t in b.columns[-1]])
+                size += sum(map(len, held[-1]))
+            if size >= GROUP:
+                yield from scores(kept, held)
+                kept, held, size = [], [], 0
+        if held:
+            yield from scores(kept, held)
+        pa.default_memory_pool().release_unused()
+
+    def scores(kept: list[list[pa.Array]], held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        rows = [len(part) for part in held]
+        n = np.array([len(x) for part in held for x in part])
+        h = np.concatenate([x for part in held for x in part])
+        held.clear()
+        u, inverse = np.unique(h, return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        before = np.append(inverse[-1], inverse[:-1])  # a text's end precedes the next text, the last one's the first
+        logs = m.log_probabilities(u, inverse, before)
+        del before
+        at = find(m.words, u)
+        base = np.zeros(len(u))
+        base[at >= 0] = np.log10((m.counts[at[at >= 0]] + 0.1) / scale)
+        token = row = 0
+        for columns_, many in zip(kept, rows, strict=True):
+            of = n[row : row + many]
+            mine = slice(token, token + int(of.sum()))
+            new = batch(of, h[mine], base[inverse[mine]], (at >= 0)[inverse[mine]], logs[mine])
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(new, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns_, *arrays], names=names)
+            token, row = mine.stop, row + many
+
+    def batch(n: np.ndarray, h: np.ndarray, base: np.ndarray, frequent: np.ndarray, logs: np.ndarray) -> list:
+        row = np.repeat(np.arange(len(n)), n)
+        sums = np.bincount(row, base, len(n))
+        known = np.bincount(row[frequent], minlength=len(n))
+        rare = np.flatnonzero(~frequent)
+        order = rare[np.lexsort((h[rare], row[rare]))]
+        hr, rr = h[order], row[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hr[1:] != hr[:-1]) | (rr[1:] != rr[:-1])
+        head = np.flatnonzero(new)
+        offsets = pa.array(np.searchsorted(rr[head], np.arange(len(n) + 1)), pa.int32())
+        keys = pa.ListArray.from_arrays(offsets, pa.array(hr[head].view(np.int64)))
+        times = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(head, len(order))), pa.int64()))
+        return [n, known, sums, np.bincount(row, logs, len(n)), keys, times]
+
+    scored = materialize(slim.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scored")
 
     rare = scored.select("__row", F.explode(F.arrays_zip(F.col("__keys").alias("h"), F.col("__times").alias("k"))).alias("x")).select("__row", F.col("x.h").alias("h"), F.col("x.k").alias("k"))
     met = rare.join(table, "h", "left")

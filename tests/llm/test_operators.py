@@ -226,6 +226,20 @@ def test_site_templates(spark):
     assert site_templates.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_keep_their_text(spark):
+    page = lambda body: f"<html><body>{body}</body></html>"
+    rows = [(i, "http://a.x/1", page("<p>One story.</p><p>Its end.</p>")) for i in range(8)]
+    rows += [(10 + i, f"http://b.x/{i}", f"<html lang='{i}'><body><article><div><p>Long body of a copied story.</p><div>More of it.</div></div><p>{i}</p></article></body></html>") for i in range(6)]
+    rows += [(20 + i, f"http://c.x/{i}", page(f"<div>Top line</div><p>Story {i} of <span>the same</span> <b>kind</b> here.</p>")) for i in range(6)]
+    rows += [(30 + i, f"http://d.x/{i}", f"<html><head><title>{i}</title></head><body><div>Top</div><p>A copied story.</p></body></html>") for i in range(6)]
+    rows += [(40 + i, f"http://d.x/o{i}", page(f"<div>Top</div><p>Story {i}.</p>")) for i in range(6)]
+    got = {r.page_id: r.text for r in site_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One story.\nIts end." for i in range(8))
+    assert all(got[10 + i] == f"Long body of a copied story.\nMore of it.\n{i}" for i in range(6))
+    assert all(got[20 + i] == f"Story {i} of the same kind here." for i in range(6))
+    assert all(got[30 + i] == "A copied story." and got[40 + i] == f"Story {i}." for i in range(6))
+
+
 # --- 5
 
 

@@ -1,13 +1,16 @@
 """HTML extraction with site template removal.
 
 A page is parsed in one pass into elements with a hash of each element's subtree (tag names and text,
-no attributes). Spark counts, for each host, the pages that hold a subtree; subtrees on many of a
-host's pages are its template and are deleted. What is a menu, header, footer, sidebar, notice,
+no attributes). Spark counts, for each host, the different pages that hold a subtree; block elements
+on many of a host's pages are its template and are deleted. What is a menu, header, footer, sidebar, notice,
 advert, form, script, style or comment section by its tag, role, class or id goes as well.
 
 If a page marks its article (article, else main), only that is read, and inside it a recurring
 subtree goes only if it is a generic container: paragraphs, headings and the like that recur
 (copies of an article, common sentences) stay.
+
+A recurring subtree that holds over two thirds of the text is content that was copied: it stays, and inside it
+only what is on more pages than itself goes. A page that would lose all its text keeps its rarest part.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head nav footer aside form button select input label dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("div section ul ol dl table figure details span center".split())
+CONTAINERS = frozenset("div section ul ol dl table figure details center".split())
+WHOLE = frozenset(("html", "body"))
 ENDS_P = BLOCK - {"body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -79,12 +83,12 @@ def is_marked(name: str, attrs: str, inside: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("name", "parts", "marked", "article", "hash")
+    __slots__ = ("name", "parts", "marked", "article", "hash", "size")
 
     def __init__(self, name: str, marked: bool, article: bool) -> None:
         self.name, self.marked, self.article = name, marked, article
         self.parts: list = []  # texts and elements in order
-        self.hash = 0
+        self.hash = self.size = 0  # size: characters of text, white space and marked elements left out
 
 
 def parse(page: str) -> Element:
@@ -152,7 +156,7 @@ def parse(page: str) -> Element:
 
 
 def hash_subtrees(root: Element) -> list[Element]:
-    """Set the hash of every element that is not inside a marked one; those elements, children first."""
+    """Set hash and size of every element that is not inside a marked one; those elements, children first."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -161,6 +165,7 @@ def hash_subtrees(root: Element) -> list[Element]:
     order.reverse()
     for e in order:
         said = [x if isinstance(x, str) else "" if x.marked else f"\0{x.hash}" for x in e.parts]
+        e.size = sum(len("".join(x.split())) if isinstance(x, str) else 0 if x.marked else x.size for x in e.parts)
         e.hash = xxhash.xxh64_intdigest(f"{e.name}\0{' '.join(' '.join(said).split())}") >> 1
     return order[:-1]
 
@@ -180,13 +185,39 @@ def article_roots(root: Element) -> list[Element]:
     return [root]
 
 
-def extract(page: str, template: frozenset | set = frozenset()) -> str:
-    """The page's text without marked elements and subtrees in ``template``: one line for each block."""
+def template_parts(roots: list[Element], template: dict[int, int], names: frozenset) -> dict[int, int]:
+    """Subtrees to delete, by identity, with their numbers of pages."""
+    whole = sum(r.size for r in roots)
+    gone, deleted = {}, 0
+    todo: list[tuple[Element, int]] = [(r, 0) for r in roots]
+    tops = {id(r) for r in roots}
+    while todo:
+        x, least = todo.pop()
+        n = template.get(x.hash, 0)
+        if n > least and x.name in names and id(x) not in tops:
+            if 3 * x.size <= 2 * whole:
+                gone[id(x)] = n
+                deleted += x.size
+                continue
+            least = n
+        elif n > least and x.name in WHOLE:
+            least = n
+        todo += [(p, least) for p in x.parts if isinstance(p, Element) and not p.marked]
+    if gone and deleted == whole:
+        rarest = min(gone.values())
+        gone = {k: n for k, n in gone.items() if n > rarest}
+    return gone
+
+
+def extract(page: str, template: dict[int, int] | None = None) -> str:
+    """The page's text without marked elements and subtrees in ``template`` (hash, number of pages): one line for each block."""
     root = parse(page)
-    if template:
-        hash_subtrees(root)
     roots = article_roots(root)
     explicit = roots[0] is not root
+    gone: dict[int, int] = {}
+    if template:
+        hash_subtrees(root)
+        gone = template_parts(roots, template, CONTAINERS if explicit else BLOCK - WHOLE)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -204,7 +235,7 @@ def extract(page: str, template: frozenset | set = frozenset()) -> str:
             line.append(entities.unescape(x))
         elif x.name == "br":
             line.append(" ")
-        elif not x.marked and not (x.hash in template and (x.name in CONTAINERS or not explicit) and x is not root):
+        elif not x.marked and id(x) not in gone:
             parts = x.parts
             if x.name == "header":  # an article's own header gives its headings
                 parts = [p for p in parts if isinstance(p, Element) and p.name in HEADINGS]
@@ -217,9 +248,9 @@ def extract(page: str, template: frozenset | set = frozenset()) -> str:
 
 
 def find_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: int, least_share: float) -> DataFrame:
-    """(host, template): the hashes of the subtrees on at least ``least_pages`` pages and ``least_share`` of the host's pages.
+    """(host, template): hash and number of pages of the subtrees on at least ``least_pages`` pages and ``least_share`` of the host's pages.
 
-    A page names each of its subtrees once, so a host's list has at most 1 / least_share times as
+    Pages of equal html count once. A page names each of its subtrees once, so a host's list has at most 1 / least_share times as
     many entries as its pages have subtrees on average."""
     host, _ = url_parts(F.col(f"`{url_col}`"))
     some = pages.select(host.alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).where("host <> ''")
@@ -227,18 +258,17 @@ def find_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
-            for host_, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = {e.hash for e in hash_subtrees(parse(page.as_py()))}
-                hosts += [host_] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(hashes, np.int64))], names=["host", "h"])
-
-    counts = some.mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    sizes = some.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of_host")
+            pages_ = b.column(1).to_pylist()
+            own = [sorted({e.hash for e in hash_subtrees(parse(page))}) for page in pages_]
+            prints = [xxhash.xxh3_128_digest(page) for page in pages_]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
+
+    distinct = materialize(some.mapInArrow(run, "host string, page binary, hashes array<long>").dropDuplicates(["host", "page"]), "pages")
+    counts = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of_host")
     sizes, counts = materialize(sizes, "host_sizes"), materialize(counts, "subtrees")
     shared = counts.join(sizes, F.col("host") == F.col("of_host")).where(F.col("n") >= least_share * F.col("pages"))
-    return materialize(shared.groupBy(F.col("host").alias("__thost")).agg(F.collect_list("h").alias("__template")), "templates")
+    return materialize(shared.groupBy(F.col("host").alias("__thost")).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("__template")), "templates")
 
 
 def extract_text(
@@ -248,7 +278,7 @@ def extract_text(
 
     Character references are decoded, white space in a block becomes one space, blocks are joined by
     line feeds in page order. Null and empty html gives an empty text. Pages with a null url or none
-    with "://" have no host and no template. Repeated rows count as pages of their own. An empty
+    with "://" have no host and no template. Repeated rows are extracted one by one but count as one page. An empty
     table stays empty. Input columns named text or n_chars are replaced.
     """
     templates = find_templates(pages, url_col, html_col, least_pages, least_share)
@@ -259,11 +289,11 @@ def extract_text(
     met = slim.join(templates, F.col("__host") == F.col("__thost"), "left").drop("__host", "__thost")
 
     def make():
-        def run(htmls: pa.Array, templates_: pa.Array) -> list:
-            texts = [extract(h.as_py() or "", frozenset(t.as_py() or ())) for h, t in zip(htmls, templates_, strict=True)]
+        def run(htmls: pa.Array, hashes: pa.Array, numbers: pa.Array) -> list:
+            texts = [extract(h.as_py() or "", dict(zip(t[0] or (), t[1] or (), strict=True))) for h, *t in zip(htmls, hashes.to_pylist(), numbers.to_pylist(), strict=True)]
             return [texts, [len(x) for x in texts]]
 
         return run
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return append_columns(met, [F.col("__html"), F.col("__template")], fields, make).drop("__html", "__template")
+    return append_columns(met, [F.col("__html"), F.map_keys("__template"), F.map_values("__template")], fields, make).drop("__html", "__template")

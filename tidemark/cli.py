@@ -42,7 +42,14 @@ def main(argv: list[str] | None = None) -> int:
         print(summary.toJSON().first())
         return int(failed)
     if a.command == "check":
-        for r in mirror.corpus_totals(mirror.redact_files(read_corpus(spark, a.source))).toLocalIterator():
+        results = mirror.check_files(read_corpus(spark, a.source)).persist()
+        for r in results.where("error is not null").orderBy("relpath").toLocalIterator():
+            print(f"skipped\t{r.relpath}\t{r.error}")
+        by_file = mirror.counts_by_file(results)
+        for r in by_file.orderBy("relpath", "entity_type").toLocalIterator():
+            print(f"{r.n}\t{r.entity_type}\t{r.relpath}")
+        print(f"files_with_findings\t{by_file.select('relpath').distinct().count()}")
+        for r in mirror.corpus_totals(results).toLocalIterator():
             print(f"{r.n}\t{r.entity_type}")
         return 0
     files = read_corpus(spark, a.mirror)

@@ -107,6 +107,42 @@ def redact_files(files: DataFrame, tolerate_last: bool = True, target: str | Non
     return files.select("relpath", "suffix", "content").mapInPandas(run, RESULT)
 
 
+def check_text(data: bytes, suffix: str, redactor: Redactor, stats: Counter) -> None:
+    """Count the findings of a file; invalid bytes are replaced, lines of a .jsonl file that are not JSON left out."""
+    if suffix != ".jsonl":
+        if len(data) > MOST_TEXT_BYTES:
+            raise OversizeTextError(f"{len(data)} bytes")
+        stats.update(redactor.redact(data.decode("utf-8", "replace"), "broad_pii")[1])
+        return
+    for line in data.decode("utf-8", "replace").splitlines():
+        try:
+            value = json.loads(line)
+        except json.JSONDecodeError:
+            continue
+        jsonwalk.redact_value(value, redactor, stats)
+
+
+def check_files(files: DataFrame) -> DataFrame:
+    """Dry run: (relpath, error, entity_counts) of every file; only a .txt file over the size limit is not read."""
+    ship(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        redactor = Redactor()
+        for frame in frames:
+            rows = []
+            for rel, suffix, data in zip(frame.relpath, frame.suffix, frame.content, strict=True):
+                stats: Counter = Counter()
+                error = None
+                try:
+                    check_text(bytes(data), suffix, redactor, stats)
+                except OversizeTextError as e:
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((rel, error, dict(stats)))
+            yield pd.DataFrame(rows, columns=["relpath", "error", "entity_counts"])
+
+    return files.select("relpath", "suffix", "content").mapInPandas(run, "relpath string, error string, entity_counts map<string,long>")
+
+
 def summarize(results: DataFrame, unchanged: DataFrame) -> DataFrame:
     """One row: counts by kind, skip buckets, ceilings."""
     ok, txt = F.col("error").isNull(), F.col("suffix") == ".txt"

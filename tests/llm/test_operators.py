@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import html.parser
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import boosted_rules, byte_cnn, components, filter_cascade, language_id, license_scan, log_bloom, mixture, odd_sketch, registry, site_templates, suffix_arrays
 from tidemark.llm.common import WordHash
@@ -240,6 +243,77 @@ def test_copies_keep_their_text(spark):
     assert all(got[30 + i] == "A copied story." and got[40 + i] == f"Story {i}." for i in range(6))
 
 
+class Canonical(html.parser.HTMLParser):
+    """Every block of a well-formed page as one string: tag, text and children, nothing else."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.blocks = [["", []]], set()
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append([tag, []])
+
+    def handle_data(self, data):
+        self.stack[-1][1] += data.split()
+
+    def handle_endtag(self, tag):
+        name, said = self.stack.pop()
+        if said and name in site_templates.BLOCK - site_templates.WHOLE:
+            self.blocks.add(f"{name}({' '.join(said)})")
+        self.stack[-1][1].append(f"{name}({' '.join(said)})")
+
+
+def test_subtrees_are_counted_like_brute_force(spark):
+    rng = random.Random(4)
+    blocks = [f"<div class='c{i}'><p>Block {i} <b>of</b> all</p><ul><li>{i % 3}</li></ul></div>" for i in range(12)]
+    rows = [(i, f"http://{rng.choice('abc')}.test/{i}", f"<html><body>{''.join(rng.sample(blocks, 4))}<p>Page {i % 50}</p></body></html>") for i in range(90)]
+    want = collections.Counter()
+    hosts = collections.defaultdict(dict)
+    for _, url, page in rows:
+        hosts[url[7]][page] = Canonical(page).blocks
+    for host, pages in hosts.items():
+        n = collections.Counter(b for blocks_ in pages.values() for b in blocks_)
+        want.update((f"{host}.test", k) for k in n.values() if k >= 5 and k >= 0.3 * len(pages))
+    found = site_templates.find_templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", 5, 0.3).collect()
+    got = collections.Counter((r["__thost"], k) for r in found for h, k in r["__template"].items() if h & 3 == site_templates.SUBTREE)
+    assert got == want and want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_counts_alone_find_the_article(spark, sf):
+    """With the word lists off, the counts change pages and leave their article, on all hosts with enough pages."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    found = {r["__thost"]: r["__template"] for r in site_templates.find_templates(pages, "url", "html", 5, 0.3).collect()}
+    rows = pages.select(host.alias("host"), "html").collect()
+    decided = [r for r in rows if found.get(r.host)]
+    assert len(decided) > 0.5 * len(rows)
+    changed = 0
+    for r in decided:
+        alone = site_templates.extract(r.html, found[r.host], lists=False)
+        assert alone == site_templates.extract(r.html) == site_templates.extract(r.html, found[r.host])
+        changed += alone != site_templates.extract(r.html, None, lists=False)
+    assert changed > 0.9 * len(decided)
+
+
+HOSTILE = ["<a ", "<div>", '<a ">" ', "<b>", "</script", "<![CDATA[", "< ", "<p class='", "<li>", "<table><tr><td>", "<!--", "<svg><p>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    site_templates.extract(page + "</i>" * 1000 + "'", {1: 1})
+    assert time.perf_counter() - start < 12
+
+
+def test_media_and_menus():
+    assert site_templates.extract("<article><p>a<video src=x><p>b</article>") == "a\nb"
+    assert site_templates.extract("<article><p>a<video>no player</video> b <math><mi>x</mi></math></article>") == "a b x"
+    assert site_templates.extract("<form><div><p>whole page in a form</p></div></form>") == ""
+
+
 # --- 5
 
 

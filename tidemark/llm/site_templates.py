@@ -1,23 +1,31 @@
 """HTML extraction with site template removal.
 
-A page is parsed in one pass into elements with a hash of each element's subtree (tag names and text,
-no attributes). Spark counts, for each host, the different pages that hold a subtree; block elements
-on many of a host's pages are its template and are deleted. What is a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section by its tag, role, class or id goes as well.
-
-If a page marks its article (article, else main), only that is read, and inside it a recurring
-subtree goes only if it is a generic container: paragraphs, headings and the like that recur
-(copies of an article, common sentences) stay.
-
-A recurring subtree that holds over two thirds of the text is content that was copied: it stays, and inside it
-only what is on more pages than itself goes. A page that would lose all its text keeps its rarest part.
+A page is parsed in one pass into elements. Three hashes describe an element: of its subtree with its text
+(tags and text, no attributes), of its outline (the path of tags, classes and ids that leads to it, and
+the outlines below it, without text) and of that path alone. Spark counts, for each host, the different
+pages that hold each hash and the text below it. What recurs on many of a host's pages decides:
+
+- a container path that holds half of the host's text carries the content;
+- a subtree that recurs with its text is template and deleted, and so is a container outside the content
+  whose outline recurs and holds little of the text (menus, adverts and footers whose words change).
+
+What the counts leave open, as on hosts with few pages, the page's own marks decide: its article, else
+its main element, and what is a menu, header, footer, sidebar, notice, advert, form or comment section
+by its tag, role, class or id.
+
+Within the content paragraphs, headings and the like stay even if they recur (copies of an article,
+common sentences); only generic containers go. A recurring subtree with over two thirds of the text
+is content that was copied: it stays, and inside it only what is on more pages than itself goes. A page
+that would lose all its text keeps its rarest part.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +38,28 @@ from .common import append_columns, materialize, small_batches
 from .filter_cascade import url_parts
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: Of a host's text: the share that a content path has at least, and an outline of the template at most.
+CONTENT_SHARE, SLOT_SHARE = 0.5, 0.25
+#: Kinds of hashes, told apart by the last two bits.
+SUBTREE, OUTLINE, PATH = 0, 1, 2
+#: How an element is marked: by the word lists, or as one that never holds text to read.
+LISTED, NO_TEXT = 1, 2
 
 # Names of HTML elements and of what is not article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math canvas object audio video".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+MUTE = frozenset("head noscript template svg canvas object audio video select button input".split())
+MEDIA = frozenset("svg canvas object audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside form button select input label dialog menu fieldset".split())
+DROPPED = frozenset("nav footer aside form label dialog menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section ul ol dl table figure details center".split())
 WHOLE = frozenset(("html", "body"))
+SLOTS = CONTAINERS | DROPPED | {"header", "address"}
+CARRIERS = frozenset("article main div section center table tbody tr td form".split())
 ENDS_P = BLOCK - {"body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -55,121 +73,224 @@ MARKED = frozenset(
 MARKED_OUTSIDE = frozenset("header masthead topbar".split())
 PAIRS = frozenset({("site", "header"), ("page", "header"), ("side", "bar"), ("pop", "up"), ("sign", "up"), ("see", "also"), ("log", "in")})
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+DIGITS = re.compile(r"\d+")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
-def is_marked(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is page furniture by its tag, role, class or id."""
+def mark_of(name: str, attrs: str, inside: bool) -> int:
+    """Whether an element holds no text to read, or is page furniture by its tag, role, class or id; else 0."""
+    if name in MUTE:
+        return NO_TEXT
     if name in DROPPED or (name == "header" and not inside):
-        return True
+        return LISTED
     if not attrs or attrs.isspace():
-        return False
+        return 0
     if name in ("html", "body", "main") or (name == "article" and "comment" not in attrs.lower()):
-        return False
+        return 0
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
-            return True
+            return LISTED
         if key in ("class", "id"):
             words = [w for w in re.split(r"[^a-z]+", value) if w]
             if not MARKED.isdisjoint(words) or (not inside and not MARKED_OUTSIDE.isdisjoint(words)) or any(p in PAIRS for p in zip(words, words[1:])):
-                return True
-    return False
+                return LISTED
+    return 0
 
 
 class Element:
-    __slots__ = ("name", "parts", "marked", "article", "hash", "size")
+    __slots__ = ("name", "key", "parts", "marked", "article", "hash", "outline", "path", "size", "clean")
 
-    def __init__(self, name: str, marked: bool, article: bool) -> None:
-        self.name, self.marked, self.article = name, marked, article
+    def __init__(self, name: str, key: str, marked: int, article: bool) -> None:
+        self.name, self.key, self.marked, self.article = name, key, marked, article
         self.parts: list = []  # texts and elements in order
-        self.hash = self.size = 0  # size: characters of text, white space and marked elements left out
+        self.hash = self.outline = self.path = 0
+        self.size = self.clean = 0  # characters of text without white space, and those outside listed elements
+
+
+def key_of(attrs: str) -> str:
+    """Classes and id without their digits."""
+    if not attrs or attrs.isspace():
+        return ""
+    return " ".join(DIGITS.sub("", m[2].strip("\"'")) for m in ATTR.finditer(attrs) if m[2] and m[1].lower() in ("class", "id"))
+
+
+class Open:
+    """The open elements, with the places of each name, so that no end tag has to search for its start tag."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.articles: list[int] = []  # article and main elements
+        self.inside = 0  # of those and role="main"
+
+    def push(self, e: Element) -> None:
+        at = len(self.stack)
+        self.stack.append(e)
+        self.places[e.name].append(at)
+        if e.name in BLOCK:
+            self.blocks.append(at)
+        if e.name in ("article", "main"):
+            self.articles.append(at)
+        self.inside += e.article
+
+    def close(self, upto: int, by: str = "") -> None:
+        """Close all from the place ``upto``; a media element that lacks its end tag gives its text to the page."""
+        while len(self.stack) > upto:
+            e = self.stack.pop()
+            at = len(self.stack)
+            self.places[e.name].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+            if self.articles and self.articles[-1] == at:
+                self.articles.pop()
+            self.inside -= e.article
+            if e.name in MEDIA and not (at == upto and e.name == by):
+                e.marked = 0
+
+    def last(self, names) -> int:
+        """The innermost open element of one of the names, 0 if none."""
+        return max([self.places[n][-1] for n in names if n in self.places and self.places[n]], default=0)
+
+    def end_tag(self, name: str) -> None:
+        if at := self.last((name,)):
+            if name not in BLOCK and self.blocks and self.blocks[-1] > at:
+                return
+            if name not in ("body", "html", "article", "main") and self.articles and self.articles[-1] > at:
+                return
+            self.close(at, name)
+
+    def implied_ends(self, name: str) -> None:
+        if name in ENDS_P and self.blocks and self.stack[self.blocks[-1]].name == "p":
+            self.close(self.blocks[-1])
+        if name in SIBLINGS and (at := self.last(SIBLINGS[name])) > self.last(SCOPES[name]):
+            self.close(at)
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; missing end tags are implied, stray ones ignored, raw texts skipped."""
-    root = Element("", False, False)
-    stack = [root]
-
-    def close(upto: int) -> None:
-        while len(stack) > upto:
-            stack.pop()
-
-    def open_index(names: set, scope: set) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                return i
-            if stack[i].name in scope:
-                return 0
-        return 0
+    """The tree of a page in linear time; missing end tags are implied, stray ones ignored, raw texts skipped.
 
+    Once a quote in a tag is never closed, quotes no longer hide the end of a tag."""
+    root = Element("", "", 0, False)
+    open_ = Open(root)
+    stack = open_.stack
+    quotes = cdata = True
     at = 0
-    while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].parts.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            stack[-1].parts.append(m["cdata"].replace("&", "&amp;"))
+    while (lt := page.find("<", at)) >= 0:
+        if lt > at:
+            stack[-1].parts.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        name = m["name"] or m["name2"]
-        if name is None:
+        if cdata and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            if cdata := end >= 0:
+                stack[-1].parts.append(page[lt + 9 : end].replace("&", "&amp;"))
+                at = end + 3
+                continue
+        m = TAG.match(page, lt)
+        if m is None:
+            if page.startswith(("<!", "<?"), lt) and (end := page.find(">", lt)) >= 0:
+                at = end + 1
+            else:
+                stack[-1].parts.append("<")
+                at = lt + 1
             continue
-        name = name.lower()
-        if m["close"] or m["close2"]:
-            block = name in BLOCK
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    close(i)
-                    break
-                if (stack[i].name in BLOCK and not block) or stack[i].name in ("article", "main") and name not in ("body", "html", "article", "main"):
-                    break
+        name = m[1].lower()
+        whole = QUOTED.match(page, m.end()) if quotes else None
+        end = whole.end() if whole else page.find(">", m.end()) + 1
+        if not end:
+            at = lt
+            break
+        quotes = whole is not None
+        attrs = page[m.end() : end - 1]
+        at = end
+        if page[lt + 1] == "/":
+            open_.end_tag(name)
             continue
-        attrs = m["attrs"] if m["name"] else m["attrs2"]
         if name in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                closing = re.compile(f"</{name}", re.I | re.A).search(page, at)
+                at = page.find(">", closing.end()) + 1 if closing else 0
+                at = at or len(page)
             continue
         if name in VOID:
-            stack[-1].parts.append(Element(name, False, False))
+            stack[-1].parts.append(Element(name, "", NO_TEXT, False))
             continue
-        if name in ENDS_P and (i := open_index({"p"}, BLOCK - {"p"})):
-            close(i)
-        if name in SIBLINGS and (i := open_index(SIBLINGS[name], SCOPES[name])):
-            close(i)
-        inside = any(e.article for e in stack)
-        marked = is_marked(name, attrs, inside)
-        e = Element(name, marked, name in ("article", "main") or 'role="main"' in attrs)
+        open_.implied_ends(name)
+        e = Element(name, key_of(attrs), mark_of(name, attrs, open_.inside > 0), name in ("article", "main") or 'role="main"' in attrs)
         stack[-1].parts.append(e)
         if not attrs.endswith("/"):
-            stack.append(e)
+            open_.push(e)
+    stack[-1].parts.append(page[at:])
+    open_.close(1)
     return root
 
 
-def hash_subtrees(root: Element) -> list[Element]:
-    """Set hash and size of every element that is not inside a marked one; those elements, children first."""
+def _kind(x: int, kind: int) -> int:
+    return x >> 3 << 2 | kind
+
+
+@cache
+def _empty_hash(name: str) -> int:
+    return xxhash.xxh64_intdigest(f"{name}\0")
+
+
+def measure(root: Element) -> list[Element]:
+    """Set hashes and sizes of every element that may hold text; those elements, children first."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
         order.append(e)
-        todo += [x for x in e.parts if isinstance(x, Element) and not x.marked]
+        for x in e.parts:
+            if isinstance(x, Element) and x.marked != NO_TEXT:
+                x.path = xxhash.xxh64_intdigest(f"{e.path}\0{x.name}\0{x.key}")
+                todo.append(x)
     order.reverse()
     for e in order:
-        said = [x if isinstance(x, str) else "" if x.marked else f"\0{x.hash}" for x in e.parts]
-        e.size = sum(len("".join(x.split())) if isinstance(x, str) else 0 if x.marked else x.size for x in e.parts)
-        e.hash = xxhash.xxh64_intdigest(f"{e.name}\0{' '.join(' '.join(said).split())}") >> 1
+        if not e.parts:
+            e.hash, e.outline = _empty_hash(e.name), e.path
+            continue
+        said, below = [], set()
+        for x in e.parts:
+            if isinstance(x, str):
+                words = x.split()
+                said += words
+                n = sum(map(len, words))
+                e.size += n
+                e.clean += n
+            elif x.marked != NO_TEXT:
+                said.append(f"\0{x.hash}")
+                e.size += x.size
+                e.clean += 0 if x.marked else x.clean
+                if x.name in BLOCK:
+                    below.add(x.outline)
+        e.hash = xxhash.xxh64_intdigest(f"{e.name}\0{' '.join(said)}")
+        e.outline = xxhash.xxh64_intdigest(f"{e.path}\0{sorted(below)}")
     return order[:-1]
 
 
+def named_hashes(elements: list[Element]) -> dict[int, int]:
+    """The hashes of a page that Spark counts, with the characters of text below them."""
+    out: dict[int, int] = {}
+    for e in elements:
+        if e.size:
+            if e.name in BLOCK and e.name not in WHOLE:
+                h = _kind(e.hash, SUBTREE)
+                out[h] = out.get(h, 0) + e.size
+            if e.name in SLOTS:
+                h = _kind(e.outline, OUTLINE)
+                out[h] = out.get(h, 0) + e.size
+            if e.name in CARRIERS and (not e.marked or e.name == "form"):
+                h = _kind(e.path, PATH)
+                out[h] = out.get(h, 0) + e.size
+    return out
+
+
 def article_roots(root: Element) -> list[Element]:
     """The outermost articles that are not marked, else the outermost mains, else the whole page."""
     for names in (("article",), None):
@@ -185,39 +306,65 @@ def article_roots(root: Element) -> list[Element]:
     return [root]
 
 
-def template_parts(roots: list[Element], template: dict[int, int], names: frozenset) -> dict[int, int]:
-    """Subtrees to delete, by identity, with their numbers of pages."""
-    whole = sum(r.size for r in roots)
+def _children(e: Element) -> list[Element]:
+    return [x for x in e.parts if isinstance(x, Element) and x.marked != NO_TEXT]
+
+
+def content_elements(root: Element, template: dict[int, int]) -> set[int]:
+    """The elements, by identity, that lie on a path which carries the host's content, or below one."""
+    found: set[int] = set()
+    todo = [(root, False)]
+    while todo:
+        e, inside = todo.pop()
+        inside = inside or (e.name in CARRIERS and _kind(e.path, PATH) in template)
+        if inside:
+            found.add(id(e))
+        todo += [(x, inside) for x in _children(e)]
+    return found
+
+
+def template_parts(roots: list[Element], template: dict[int, int], content: set[int], explicit: bool, lists: bool) -> set[int]:
+    """Subtrees to delete, by identity."""
+    size = (lambda e: e.clean) if lists else (lambda e: e.size)
+    whole = sum(map(size, roots))
     gone, deleted = {}, 0
     todo: list[tuple[Element, int]] = [(r, 0) for r in roots]
     tops = {id(r) for r in roots}
     while todo:
         x, least = todo.pop()
-        n = template.get(x.hash, 0)
+        n = template.get(_kind(x.hash, SUBTREE), 0)
+        names = CONTAINERS if explicit or id(x) in content else BLOCK - WHOLE
         if n > least and x.name in names and id(x) not in tops:
-            if 3 * x.size <= 2 * whole:
+            if 3 * size(x) <= 2 * whole:
                 gone[id(x)] = n
-                deleted += x.size
+                deleted += size(x)
                 continue
             least = n
         elif n > least and x.name in WHOLE:
             least = n
-        todo += [(p, least) for p in x.parts if isinstance(p, Element) and not p.marked]
+        if content and not explicit and x.name in SLOTS and id(x) not in content and not x.article and (n := template.get(_kind(x.outline, OUTLINE), 0)):
+            gone[id(x)] = n
+            deleted += size(x)
+            continue
+        todo += [(p, least) for p in _children(x) if not (lists and p.marked and id(p) not in content)]
     if gone and deleted == whole:
         rarest = min(gone.values())
         gone = {k: n for k, n in gone.items() if n > rarest}
-    return gone
+    return set(gone)
 
 
-def extract(page: str, template: dict[int, int] | None = None) -> str:
-    """The page's text without marked elements and subtrees in ``template`` (hash, number of pages): one line for each block."""
+def extract(page: str, template: dict[int, int] | None = None, lists: bool = True) -> str:
+    """The page's text, one line for each block, without what ``template`` (hash, number of pages) deletes
+    and, unless ``lists`` is off, without what the page's own marks leave out."""
     root = parse(page)
-    roots = article_roots(root)
-    explicit = roots[0] is not root
-    gone: dict[int, int] = {}
+    content: set[int] = set()
+    gone: set[int] = set()
+    if template:
+        measure(root)
+        content = content_elements(root, template)
+    roots = article_roots(root) if lists else [root]
     if template:
-        hash_subtrees(root)
-        gone = template_parts(roots, template, CONTAINERS if explicit else BLOCK - WHOLE)
+        gone = template_parts(roots, template, content, roots[0] is not root, lists)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -235,9 +382,9 @@ def extract(page: str, template: dict[int, int] | None = None) -> str:
             line.append(entities.unescape(x))
         elif x.name == "br":
             line.append(" ")
-        elif not x.marked and id(x) not in gone:
+        elif x.marked != NO_TEXT and id(x) not in gone and not (lists and x.marked and not (x.name == "form" and id(x) in content)):
             parts = x.parts
-            if x.name == "header":  # an article's own header gives its headings
+            if x.name == "header" and lists:  # an article's own header gives its headings
                 parts = [p for p in parts if isinstance(p, Element) and p.name in HEADINGS]
             if x.name in BLOCK:
                 flush()
@@ -248,26 +395,41 @@ def extract(page: str, template: dict[int, int] | None = None) -> str:
 
 
 def find_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: int, least_share: float) -> DataFrame:
-    """(host, template): hash and number of pages of the subtrees on at least ``least_pages`` pages and ``least_share`` of the host's pages.
+    """(__thost, __template): for each host the hashes that decide, with their numbers of pages.
 
-    Pages of equal html count once. A page names each of its subtrees once, so a host's list has at most 1 / least_share times as
-    many entries as its pages have subtrees on average."""
+    All are on at least ``least_pages`` pages and ``least_share`` of the host's pages. Pages of equal html count
+    once. A page names each of its hashes once, so a host's list has at most 1 / least_share times as many entries
+    as its pages have hashes on average."""
     host, _ = url_parts(F.col(f"`{url_col}`"))
     some = pages.select(host.alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).where("host <> ''")
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages_ = b.column(1).to_pylist()
-            own = [sorted({e.hash for e in hash_subtrees(parse(page))}) for page in pages_]
-            prints = [xxhash.xxh3_128_digest(page) for page in pages_]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
-
-    distinct = materialize(some.mapInArrow(run, "host string, page binary, hashes array<long>").dropDuplicates(["host", "page"]), "pages")
-    counts = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of_host")
+            prints, sizes, hashes, chars = [], [], [], []
+            for page in b.column(1).to_pylist():
+                elements = measure(root := parse(page))
+                own = named_hashes(elements)
+                prints.append(xxhash.xxh3_128_digest(page))
+                sizes.append(root.size)
+                hashes.append(list(own))
+                chars.append(list(own.values()))
+            arrays = [b.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "page", "size", "hashes", "chars"])
+
+    named = some.mapInArrow(run, "host string, page binary, size long, hashes array<long>, chars array<long>")
+    distinct = materialize(named.dropDuplicates(["host", "page"]), "pages")
+    each = distinct.select("host", F.explode(F.arrays_zip("hashes", "chars")).alias("x")).select("host", F.col("x.hashes").alias("h"), F.col("x.chars").alias("c"))
+    counts = each.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where(F.col("n") >= least_pages)
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.sum("size").alias("chars")).withColumnRenamed("host", "of_host")
     sizes, counts = materialize(sizes, "host_sizes"), materialize(counts, "subtrees")
-    shared = counts.join(sizes, F.col("host") == F.col("of_host")).where(F.col("n") >= least_share * F.col("pages"))
+    kind = F.col("h").bitwiseAND(F.lit(3))
+    decides = (
+        F.when(kind == SUBTREE, True)
+        .when(kind == OUTLINE, F.col("c") * F.col("pages") <= SLOT_SHARE * F.col("chars") * F.col("n"))
+        .otherwise(F.col("c") >= CONTENT_SHARE * F.col("chars"))
+    )
+    shared = counts.join(sizes, F.col("host") == F.col("of_host")).where((F.col("n") >= least_share * F.col("pages")) & decides)
     return materialize(shared.groupBy(F.col("host").alias("__thost")).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("__template")), "templates")
 
 
@@ -278,8 +440,8 @@ def extract_text(
 
     Character references are decoded, white space in a block becomes one space, blocks are joined by
     line feeds in page order. Null and empty html gives an empty text. Pages with a null url or none
-    with "://" have no host and no template. Repeated rows are extracted one by one but count as one page. An empty
-    table stays empty. Input columns named text or n_chars are replaced.
+    with "://" have no host and no template. Very long and hostile html is parsed whole, in linear time. Repeated rows
+    are extracted one by one but count as one page. An empty table stays empty. Input columns named text or n_chars are replaced.
     """
     templates = find_templates(pages, url_col, html_col, least_pages, least_share)
     host, _ = url_parts(F.col(f"`{url_col}`"))

@@ -340,12 +340,41 @@ def test_decontamination(spark, block_bytes, shard_words):
                 ids |= {str(i)} - {"None"}
         assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(ids))
         assert (r.longest.words > 0) == bool(hit)
+        if hit:
+            assert r.longest.words == max(longest_common(w, split(t)) for _, t in items)
         if r.longest.item_id is not None:
             texts = [split(t) for i, t in items if str(i) == r.longest.item_id]
             run = w[r.longest.doc_at : r.longest.doc_at + r.longest.words]
             assert any(t[r.longest.item_at : r.longest.item_at + r.longest.words] == run for t in texts)
 
 
+def longest_common(a, b):
+    """Words of the longest run of both that holds a window of b."""
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] + [before[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best, before = max(best, *now), now
+    return best if best >= min(10, len(b)) else 0
+
+
+def test_repeated_words_and_shared_passages(spark):
+    words = [f"w{i}" for i in range(400)]
+    shared = " ".join(words[:60])
+    items = [(0, "x " * 2000)] + [(i, f"{shared} own{i} " + " ".join(words[i : i + 15])) for i in range(1, 300)]
+    docs = [(0, "x " * 20_000), (1, f"before {shared} after"), (2, "nothing here"), (3, " ".join(words[50:90]))] + [(10 + i, f"{i} {shared}") for i in range(200)]
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in suffix_arrays.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=8000, pass_blocks=2).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[0].n_hit == 20_000 and got[0].longest.words == 2000 and got[0].item_ids == ["0"]
+    assert got[1].n_hit == 60 and len(got[1].item_ids) == 299 and got[1].longest.words == 60 and got[1].longest.doc_at == 1
+    assert got[2].n_hit == 0 and got[3].n_hit == 40
+    block = suffix_arrays.TestBlock([("0", [b"x"] * 2000)], 10)
+    start = time.perf_counter()
+    hashes = WordHash().of([b"x"] * 20_000 + [b""])
+    assert suffix_arrays.match_shard(hashes, np.array([0, 20_001]), block)[0][0] == [0, 20_000]
+    assert time.perf_counter() - start < 3
+
+
 def test_decontamination_empty(spark):
     docs, none = documents(spark, [(1, "a b")]), spark.createDataFrame([], "item_id long, text string")
     assert suffix_arrays.decontaminate(docs, none).first().n_words == 2

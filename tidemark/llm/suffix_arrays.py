@@ -1,22 +1,24 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
 The documents of a task are gathered into shards of a bounded number of words. A shard is a word
-sequence over the benchmark's vocabulary (any other word ends a match) with its suffix array. Every
-test suffix that is long enough for a window is binary-searched in every shard; the range found
-holds all places where the window occurs verbatim. Runs of such places on one diagonal are the
-longest verbatim matches.
+sequence over the benchmark's vocabulary (any other word ends a match) with its suffix array. The
+windows that begin the test suffixes are binary-searched in every shard, each different one once;
+the range found holds all places where it occurs verbatim. From these places the longest verbatim
+matches follow by a binary search among the benchmark's own sorted suffixes. Windows that occur in
+the same items share one list of them, so neither repeated words nor shared passages multiply.
 
 The suffix array leaves out suffixes with fewer benchmark words ahead than the shortest window,
-which cannot hold a match, and is sorted to the length of the longest item, which no match exceeds.
+which cannot hold a match, and is sorted to a window's length. Matches that hold no window are not
+reported. Words are known by 64-bit hashes.
 
-The benchmark is read in blocks of bounded size, each broadcast; every block meets every document,
-so its total size is not limited. Documents are not shuffled.
+The benchmark is read in blocks of bounded size. A few blocks at a time are broadcast, and one pass
+over the documents searches them, so the benchmark's total size is not limited: each
+``pass_blocks * block_bytes`` of it cost one pass. Documents are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_bytes
+from .common import WordHash, mix, small_batches, text_bytes
 
 #: A-Z become a-z; other ASCII but digits and letters parts words.
 TO_WORDS = bytes(
@@ -36,39 +38,74 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
-class TestSuffixes:
-    """The suffixes of a block of benchmark items that begin a window, over a vocabulary of word numbers."""
+class TestBlock:
+    """A block of benchmark items as arrays: the distinct windows that begin its suffixes, each with the set
+    of items it occurs in, and the sorted suffixes of all items."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        sequences = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
+        self.ids, self.window = [i for i, _ in items], window
+        hasher = WordHash()
+        hashes = [hasher.of(words) for _, words in items]
+        self.vocabulary = np.unique(np.concatenate(hashes))
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.per_key = max(1, 62 // self.bits)
-        self.ids = [i for i, _ in items]
-        widths = [min(window, len(s)) for s in sequences]
-        self.least = min(widths)
-        self.longest = max(map(len, sequences))
-        n = [len(s) - w + 1 for s, w in zip(sequences, widths, strict=True)]
-        self.item = np.repeat(np.arange(len(items)), n)
-        self.offset = np.concatenate([np.arange(k) for k in n])
-        self.width = np.repeat(widths, n)
-        start = np.concatenate([[0], np.cumsum([len(s) + 1 for s in sequences])[:-1]])
-        flat = np.concatenate([np.append(s, 0) for s in sequences])
-        at = start[self.item] + self.offset
-        self.keys = []
-        for depth in range(0, int(self.width.max()), self.per_key):
+        sequences = [self.numbers(h) for h in hashes]
+        widths = np.array([min(window, len(s)) for s in sequences])
+        self.least, self.longest = int(widths.min()), max(map(len, sequences))
+        self.flat = np.concatenate([np.append(s, 0) for s in sequences])
+        self.starts = np.cumsum([0, *(len(s) + 1 for s in sequences[:-1])])
+        n = np.array([len(s) for s in sequences]) - widths + 1
+        item, width = np.repeat(np.arange(len(items)), n), np.repeat(widths, n)
+        self._windows(item, width, np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + self.starts[item])
+        self._sort_suffixes()
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word in the vocabulary from 1; 0 for any other word."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def _windows(self, item: np.ndarray, width: np.ndarray, at: np.ndarray) -> None:
+        keys = []
+        for depth in range(0, int(width.max()), self.per_key):
             key = np.zeros(len(at), np.int64)
-            for j in range(self.per_key):
-                inside = depth + j < self.width
-                key = (key << self.bits) | np.where(inside, flat[np.minimum(at + depth + j, len(flat) - 1)], 0)
-            self.keys.append(key)
+            for j in range(depth, depth + self.per_key):
+                key = (key << self.bits) | np.where(j < width, self.flat[np.minimum(at + j, len(self.flat) - 1)], 0)
+            keys.append(key)
+        order = np.lexsort((item, *keys, width))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (width, *keys)], axis=0)
+        which = np.cumsum(new) - 1
+        head = order[new]
+        self.width, self.keys, self.at = width[head], [k[head] for k in keys], at[head]
+        # windows of the same items form a class, so that a passage many items share is named once
+        pairs = np.unique(which * len(self.ids) + item[order])
+        of, member = pairs // len(self.ids), pairs % len(self.ids)
+        begin = np.searchsorted(of, np.arange(len(head) + 1))
+        prints = np.add.reduceat(mix(member.astype(np.uint64) + np.uint64(1)), begin[:-1])
+        _, one, self.window_class = np.unique(prints, return_index=True, return_inverse=True)
+        self.class_items = [member[begin[w] : begin[w + 1]] for w in one]
+
+    def _sort_suffixes(self) -> None:
+        rank = self.flat
+        step = 1
+        while step < 2 * self.longest:
+            after = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), rank.dtype)])[: len(rank)]
+            values, rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)
+            if len(values) == len(rank):
+                break
+            step *= 2
+        places = np.flatnonzero(self.flat)
+        self.order = places[np.argsort(rank[places], kind="stable")]
+        stops = np.flatnonzero(self.flat == 0)
+        self.ahead = np.zeros(len(self.flat), np.int64)
+        self.ahead[places] = stops[np.searchsorted(stops, places)] - places
 
 
 class Shard:
     """Suffix array of a word-number sequence; 0 stands for any other word and ends a match."""
 
-    def __init__(self, ids: np.ndarray, tests: TestSuffixes) -> None:
-        self.bits, self.per_key = tests.bits, tests.per_key
+    def __init__(self, ids: np.ndarray, tests: TestBlock) -> None:
+        self.tests, self.bits, self.per_key = tests, tests.bits, tests.per_key
         stops = np.flatnonzero(ids == 0)
         places = np.flatnonzero(ids)
         ahead = stops[np.searchsorted(stops, places)] - places  # benchmark words ahead; ids ends with 0
@@ -80,7 +117,7 @@ class Shard:
         self.first = key
         new = np.ones(len(pos), bool)
         new[1:] = key[1:] != key[:-1]
-        for depth in range(self.per_key, tests.longest, self.per_key):
+        for depth in range(self.per_key, int(tests.width.max()), self.per_key):
             tied = ~new
             tied[:-1] |= ~new[1:]
             where = np.flatnonzero(tied)
@@ -91,9 +128,6 @@ class Shard:
             order = np.lexsort((k, group))
             pos[where], ahead[where], k = pos[where][order], ahead[where][order], k[order]
             new[where[1:]] |= (k[1:] != k[:-1]) & ~new[where[1:]]
-            live = k != 0
-            if not live.any():
-                break
         self.pos, self.ahead = pos, ahead
 
     def key(self, pos: np.ndarray, ahead: np.ndarray, depth: int) -> np.ndarray:
@@ -104,9 +138,10 @@ class Shard:
             key = (key << self.bits) | np.where(j < ahead, self.ids[at], 0)
         return key
 
-    def ranges(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the range of the suffix array that begins with its window."""
-        lo, hi = np.zeros(len(tests.item), np.int64), np.full(len(tests.item), len(self.pos), np.int64)
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct window the range of the suffix array that begins with it."""
+        tests = self.tests
+        lo, hi = np.zeros(len(tests.width), np.int64), np.full(len(tests.width), len(self.pos), np.int64)
         for level, key in enumerate(tests.keys):
             depth = level * self.per_key
             taken = np.clip(tests.width - depth, 0, self.per_key)
@@ -121,7 +156,7 @@ class Shard:
                     self.bisect(lo[live], hi[live], depth, low[live], False),
                     self.bisect(lo[live], hi[live], depth, high[live], True),
                 )
-        return lo, hi
+        return lo, np.maximum(lo, hi)
 
     def bisect(self, lo: np.ndarray, hi: np.ndarray, depth: int, key: np.ndarray, after: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -133,104 +168,154 @@ class Shard:
             hi[open_[~right]] = mid[~right]
         return lo
 
-    def matches(self, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in the shard, number of the test suffix) at which a window occurs."""
-        lo, hi = self.ranges(tests)
-        n = np.maximum(hi - lo, 0)
-        q = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-        return self.pos[lo[q] + within], q
-
-
-def match_shard(docs: list[np.ndarray], tests: TestSuffixes) -> list[tuple[list[tuple[int, int]], list[str], int, str | None, int, int]]:
-    """For each document: hit spans, ids of items with a window in it, and its longest match
-    (words, item id, word offset in the item, word offset in the document)."""
-    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
-    shard = Shard(np.concatenate([np.append(d, 0) for d in docs]), tests)
-    place, q = shard.matches(tests)
-    out = [([], [], 0, None, 0, 0) for _ in docs]
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in the shard, number of the distinct window there): at most one for each place and width."""
+        lo, hi = self.ranges()
+        n = hi - lo
+        w = np.repeat(np.arange(len(n)), n)
+        return self.pos[lo[w] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)], w
+
+
+class Extender:
+    """The longest benchmark match from given places of a shard: a binary search among the benchmark's sorted
+    suffixes, with common lengths found by comparing prefix hashes."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ids: np.ndarray, tests: TestBlock) -> None:
+        self.ids, self.tests = ids, tests
+        stops = np.flatnonzero(ids == 0)
+        self.ahead = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
+        n = max(len(ids), len(tests.flat)) + 1
+        self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.BASE)]))
+        self.mine, self.theirs = self._sums(ids), self._sums(tests.flat)
+
+    def _sums(self, numbers: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(numbers.astype(np.uint64)) * self.power[: len(numbers)])])
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(p), np.int64), np.minimum(self.ahead[p], self.tests.ahead[q])
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_] + 1) // 2
+            a, b = p[open_], q[open_]
+            same = (self.mine[a + mid] - self.mine[a]) * self.power[b] == (self.theirs[b + mid] - self.theirs[b]) * self.power[a]
+            low[open_[same]] = mid[same]
+            high[open_[~same]] = mid[~same] - 1
+        return low
+
+    def longest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the number of words of its longest match and where in the benchmark it begins."""
+        order = self.tests.order
+        lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(order), np.int64)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            q, a = order[mid], p[open_]
+            n = self.common(a, q)
+            right = self.tests.flat[q + n] < self.ids[a + n]
+            lo[open_[right]] = mid[right] + 1
+            hi[open_[~right]] = mid[~right]
+        before, after = order[np.maximum(lo - 1, 0)], order[np.minimum(lo, len(order) - 1)]
+        n, m = self.common(p, before), self.common(p, after)
+        return np.maximum(n, m), np.where(n >= m, before, after)
+
+
+#: Places whose longest matches are looked up together.
+TOGETHER = 200_000
+Found = tuple[list[int], list[str], dict]
+
+
+def match_shard(hashes: np.ndarray, starts: np.ndarray, tests: TestBlock) -> dict[int, Found]:
+    """Of the documents of a shard (word hashes, one gap after each) that hold a window: spans of hit words
+    (begin and end alternate), ids of the items with a window there, and the longest match."""
+    ids = tests.numbers(hashes)
+    ids[starts[1:] - 1] = 0
+    place, w = Shard(ids, tests).matches()
     if not len(place):
-        return out
-    doc = np.searchsorted(starts, place, "right") - 1
-    order = np.lexsort((place, tests.item[q], place - tests.offset[q], doc))
-    place, q, doc = place[order], q[order], doc[order]
-    item, width = tests.item[q], tests.width[q]
-    new = np.ones(len(place), bool)
-    new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(place) != 1) | (np.diff(place - tests.offset[q]) != 0)
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(place))) + width[head] - 1
-    doc_of_head = doc[head]
-    for d in np.unique(doc_of_head):
-        i0, i1 = np.searchsorted(doc_of_head, d, "left"), np.searchsorted(doc_of_head, d, "right")
-        of, length = head[i0:i1], size[i0:i1]
-        begin = place[of] - starts[d]
-        spans: list[tuple[int, int]] = []
-        for s, e in sorted(zip(begin.tolist(), (begin + length).tolist(), strict=True)):
-            if spans and s <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-            else:
-                spans.append((s, e))
-        best = max(range(len(of)), key=lambda i: (length[i], -begin[i]))
-        ids = sorted({tests.ids[i] for i in item[of].tolist() if tests.ids[i] is not None})
-        out[d] = (spans, ids, int(length[best]), tests.ids[item[of[best]]], int(tests.offset[q[of[best]]]), int(begin[best]))
+        return {}
+    n = len(ids)
+    covered = np.cumsum(np.bincount(place, minlength=n + 1) - np.bincount(place + tests.width[w], minlength=n + 1)) > 0
+    turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=np.int8(0)))  # begins and ends in turn; a gap parts documents
+    of_turn = np.searchsorted(starts, turns[::2], "right") - 1
+    docs, first = np.unique(of_turn, return_index=True)
+    last = np.append(first[1:], len(of_turn))
+    classes = np.unique((np.searchsorted(starts, place, "right") - 1) * len(tests.class_items) + tests.window_class[w])
+    of_class, classes = classes // len(tests.class_items), classes % len(tests.class_items)
+    extend = Extender(ids, tests)
+    widest = np.lexsort((-tests.width[w], place))
+    place, one = np.unique(place[widest], return_index=True)
+    w = w[widest][one]
+    parts = [extend.longest(place[s : s + TOGETHER]) for s in range(0, len(place), TOGETHER)]
+    length, where = (np.concatenate(x) for x in zip(*parts, strict=True))
+    short = length < tests.window  # then only a whole short item holds its window
+    length[short], where[short] = tests.width[w[short]], tests.at[w[short]]
+    of_place = np.searchsorted(starts, place, "right") - 1
+    order = np.lexsort((place, -length, of_place))
+    best = order[np.searchsorted(of_place[order], docs)]
+    out: dict[int, Found] = {}
+    for d, lo, hi, k in zip(docs.tolist(), first.tolist(), last.tolist(), best.tolist(), strict=True):
+        items = np.unique(np.concatenate([tests.class_items[c] for c in classes[slice(*np.searchsorted(of_class, (d, d + 1)))]]))
+        item = int(np.searchsorted(tests.starts, where[k], "right")) - 1
+        longest = {"words": int(length[k]), "item_id": tests.ids[item], "item_at": int(where[k] - tests.starts[item]), "doc_at": int(place[k] - starts[d])}
+        out[d] = ((turns[2 * lo : 2 * hi] - starts[d]).tolist(), sorted({tests.ids[i] for i in items.tolist()} - {None}), longest)
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items that have words, in blocks of about ``block_bytes`` of text."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestBlock]:
+    """The items that have words, in blocks of about ``block_bytes`` of text; the driver holds one block's words at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), text_bytes(text_col).alias("t")).distinct()
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), text_bytes(text_col).alias("t")).distinct().orderBy("i", "t")
     for row in rows.toLocalIterator():
         if words := words_of(bytes(row.t)):
             block.append((row.i, words))
             size += len(row.t)
         if size >= block_bytes:
-            yield block
+            yield TestBlock(block, window)
             block, size = [], 0
     if block:
-        yield block
+        yield TestBlock(block, window)
 
 
-def _search_block(docs: DataFrame, text_col: str, items: list, window: int, shard_words: int) -> DataFrame:
-    """Merge the block's hits into the columns of ``docs`` that begin with __."""
-    tests = docs.sparkSession.sparkContext.broadcast(items)
+def _search(docs: DataFrame, blocks: list[TestBlock], shard_words: int) -> DataFrame:
+    """Merge the hits of some blocks into the columns of ``docs`` that begin with __; texts are parted into words once."""
+    tests = docs.sparkSession.sparkContext.broadcast(blocks)
     schema = docs.schema
     at = {n: i for i, n in enumerate(schema.fieldNames())}
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TestSuffixes(tests.value, window)
-        number, held, sequences, total = block.vocabulary.get, [], [], 0
+        hasher, held, sequences, total = WordHash(), [], [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             for t in b.column(at["__text"]):
-                words = words_of(t.as_py())
-                sequences.append(np.fromiter(map(number, words, repeat(0)), np.int64, len(words)))
-                total += len(words)
+                sequences.append(hasher.of(words_of(t.as_py())))
+                total += len(sequences[-1])
             held.append(b)
             if total >= shard_words:
-                yield from merge(held, match_shard(sequences, block), [len(s) for s in sequences])
+                yield from merge(held, sequences)
                 held, sequences, total = [], [], 0
-        if held and sequences:
-            yield from merge(held, match_shard(sequences, block), [len(s) for s in sequences])
-
-    def merge(held: list[pa.RecordBatch], found: list, n_words: list[int]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from merge(held, sequences)
+        pa.default_memory_pool().release_unused()
+
+    def merge(held: list[pa.RecordBatch], sequences: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gap = np.zeros(1, np.uint64)
+        starts = np.cumsum([0, *(len(s) + 1 for s in sequences)])
+        hashes = np.concatenate([x for s in sequences for x in (s, gap)])
+        found = [match_shard(hashes, starts, block) for block in tests.value]
         k = 0
         for b in held:
-            rows = range(k, k + b.num_rows)
+            n_words = pa.array([len(s) for s in sequences[k : k + b.num_rows]], pa.int64())
+            new = {"__words": n_words}
+            if any(k <= d < k + b.num_rows for f in found for d in f):
+                old = [b.column(at[c]).to_pylist() for c in ("__spans", "__items", "__longest")]
+                for i in range(b.num_rows):
+                    for spans, items, longest in (f[k + i] for f in found if k + i in f):
+                        old[0][i] = old[0][i] + spans
+                        old[1][i] = old[1][i] + items
+                        old[2][i] = max(old[2][i], longest, key=lambda x: x["words"])
+                new |= {c: pa.array(x, b.column(at[c]).type) for c, x in zip(("__spans", "__items", "__longest"), old, strict=True)}
             k += b.num_rows
-            old = {c: b.column(at[c]).to_pylist() for c in ("__spans", "__items", "__longest")}
-            spans, items_, longest = [], [], []
-            for i, (s, ids, best) in zip(rows, zip(*old.values(), strict=True), strict=True):
-                spans.append(s + [x for span in found[i][0] for x in span])
-                items_.append(ids + found[i][1])
-                mine = dict(zip(("words", "item_id", "item_at", "doc_at"), found[i][2:], strict=True))
-                longest.append(max(best, mine, key=lambda x: x["words"]))
-            new = {
-                "__words": pa.array([n_words[i] for i in rows], pa.int64()),
-                "__spans": pa.array(spans, b.column(at["__spans"]).type),
-                "__items": pa.array(items_, b.column(at["__items"]).type),
-                "__longest": pa.array(longest, b.column(at["__longest"]).type),
-            }
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for n, i in at.items()], names=list(at))
 
     return docs.mapInArrow(run, schema)
@@ -245,16 +330,18 @@ def decontaminate(
     window: int = 10,
     shard_words: int = 600_000,
     block_bytes: int = 4_000_000,
+    pass_blocks: int = 4,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted strings) and longest (words, item_id, item_at, doc_at).
 
     Words: A-Z lower-cased runs of digits, letters and any character beyond ASCII. A window is
     ``window`` consecutive words of an item, or the whole item if it has fewer words. n_hit counts
     the document's words inside any occurrence of a window; item_ids names the items with a window
-    in the document; longest is the longest verbatim match with its places (0 words, null if none).
+    in the document; longest is the longest verbatim match with an item that holds a window of it, with its places
+    (0 words, null if none; of equal ones the first in the document).
     Null and empty texts have no words and no hits. Items without words match nothing; items with a
     null id hit words but are not named; repeated items count once. Repeated documents are judged
-    row by row. An empty table or benchmark gives no hits. Input columns named like an output
+    row by row; a very long one makes a shard of its own. An empty table or benchmark gives no hits. Input columns named like an output
     column are replaced.
     """
     outputs = ("n_words", "n_hit", "item_ids", "longest")
@@ -268,9 +355,14 @@ def decontaminate(
         F.expr("cast(array() as array<string>)").alias("__items"),
         F.expr(empty).alias("__longest"),
     )
-    blocks = list(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes))
-    for block in blocks or [[(None, [b"\x00"])]]:  # without items each document still gets its number of words
-        wide = _search_block(wide, text_col, block, window, shard_words)
+    some: list[TestBlock] = []
+    searched = False
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        some.append(block)
+        if len(some) == pass_blocks:
+            wide, some, searched = _search(wide, some, shard_words), [], True
+    if some or not searched:  # without items each document still gets its number of words
+        wide = _search(wide, some, shard_words)
     return _united(wide, kept.columns)
 
 
@@ -293,5 +385,3 @@ def _united(wide: DataFrame, columns: list[str]) -> DataFrame:
         F.array_sort(F.array_distinct("__items")).alias("item_ids"),
         F.col("__longest").alias("longest"),
     )
-
-

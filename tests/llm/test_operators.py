@@ -513,19 +513,41 @@ def test_lm_scores(spark, monkeypatch):
         assert (r.n_known, r.train_tokens) == (sum(count[x] > 0 for x in w), n) and r.score <= 0
         assert math.isclose(r.base_score, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), abs_tol=1e-6)
     assert not any(left.values())
+    # the score against the same model with exact counts
+    pairs = collections.Counter(x for _, t in train for x in zip(["\n", *tokens(t)], tokens(t)))
+    base = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
+    prior = log_bloom.PRIOR
+    for r in got:
+        w = tokens(next(t for i, t in rows if i == r.doc_id and len(tokens(t)) == r.n_tokens))
+        exact = sum(math.log10((pairs[x, y] + prior * base(y)) / (count[x] + prior)) for x, y in zip(["\n", *w], w))
+        assert abs(r.score - exact) <= 0.033 * len(w) + 0.01 * abs(exact)
     nothing, empty = log_bloom.train(docs.where("false"))
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in log_bloom.score(docs, nothing, empty).collect())
 
 
+@pytest.mark.parametrize("floor", [2e-7, 0.003])
+def test_lm_probabilities_sum_to_one(spark, monkeypatch, floor):
+    monkeypatch.setattr(log_bloom, "FLOOR", floor)
+    model, table = log_bloom.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    known = [(r.h, r.n) for r in table.collect()]
+    unmet = log_bloom.token_hashes(b"never-met-word", WordHash())[:1]
+    u = np.append(np.array([h for h, _ in known], np.int64).view(np.uint64), unmet)
+    order = sorted(range(len(known)), key=lambda i: -known[i][1])
+    some = [*order[:5], *order[5 : len(order) : len(order) // 40], len(u) - 1]
+    sums = [float((10 ** model.log_probabilities(u, np.arange(len(u)), np.full(len(u), v))).sum()) for v in some]
+    assert 0.9 < min(sums) and max(sums) < 1.1 and abs(np.mean(sums) - 1) < 0.02
+
+
 def test_log_bloom_counts():
     rng = np.random.default_rng(2)
-    keys = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
-    n = rng.integers(5, 5000, 3000)
-    f = log_bloom.LogBloom(int(log_bloom.LogBloom.levels(n, 5).sum()))
-    f.add(keys, n, 5)
-    est = f.count(keys, 5)
-    assert ((est / n > 0.6) & (est / n < 2.3)).mean() > 0.98 and (est > 0).all()
-    assert (f.count(rng.integers(0, 1 << 63, 20000, dtype=np.uint64), 5) > 0).mean() < 0.02
+    keys = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    n = rng.integers(1, 5000, 6000)
+    n[:3000] = rng.integers(1, 8, 3000)
+    f = log_bloom.LogBloom.of_counts(keys, n)
+    est = f.count(keys)
+    assert (est[:3000] == n[:3000]).mean() > 0.98 and abs(est / n - 1).max() < 60 and (abs(est / n - 1) < 0.16).mean() > 0.98
+    assert abs((est / n).mean() - 1) < 0.02
+    assert (f.count(rng.integers(0, 1 << 63, 20000, dtype=np.uint64)) == 0).all()
 
 
 def test_lm_counts_have_no_floor(spark, monkeypatch):
@@ -540,9 +562,8 @@ def test_lm_counts_have_no_floor(spark, monkeypatch):
     n = sum(len(t.split()) + 1 for _, t in rows)
     # a pair met 3 times of 6: far likelier than its words apart; its words far likelier than unmet ones
     assert got[1] > got[2] + 2 and got[2] > got[3] + 0.5
-    near = lambda p: math.log10(p)
-    rough = near(0.7 * 6 / len(rows)) + near(0.7 * 3 / 6) + near(0.7 * 6 / 6)
-    assert abs(got[1] - rough) < 1 and got[3] < 2 * near(2 / n) and got[4] > -30
+    rough = math.log10(3 / len(rows)) + math.log10(3 / (9 + log_bloom.PRIOR)) + math.log10(3 / (9 + log_bloom.PRIOR))
+    assert abs(got[1] - rough) < 1 and got[3] < 2 * math.log10(2 / n) and got[4] > -30
 
 
 # --- 9

@@ -3,11 +3,17 @@
 1. Words and word pairs of the training texts are counted in one pass: pre-aggregated within tasks,
    then brought together by block (a remainder of the key's hash) and summed there.
 2. The filter holds the quantised count of every word and every pair: for a count of level q it
-   contains the n-gram once for each level up to q. A reader probes level after level until one is
-   missing. Each block has a filter of its own, sized by its n-grams, in the shared scratch folder.
+   contains the n-gram once for each level up to q. A reader probes levels further and further apart until
+   one is missing, then halves. Counts up to 7 have levels of their own; above, levels lie a factor of about 1.15
+   apart, and a hash of the key decides between the two levels around a count in proportion to its place, so
+   that counts are right on average and those after a word add up to the word's own count.
+   Each block has a filter of its own, sized by its n-grams, in the shared scratch folder.
 3. One pass over all texts scores them: a task gathers the tokens of many texts and reads block after
-   block, one in memory at a time. The model interpolates the pair estimate with the word estimate;
-   words that training never met share the mass of one token.
+   block, one in memory at a time. The word estimate is additive, P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), with
+   one share for all words that training never met; the pair estimate is smoothed by it (Dirichlet prior),
+   P(w | v) = (c(v, w) + ``PRIOR`` P(w)) / (c(v) + ``PRIOR`` + f), where f is the number of words that the filter is expected
+   to take for followers of v by mistake. Over the whole vocabulary the probabilities after any word sum to one, but
+   for the rounding of counts and the filter's mistakes.
 4. The same pass adds up the exact base score over frequent tokens (relative frequency ``FLOOR`` or
    more, at most 1 / FLOOR by arithmetic, so they may be broadcast) and writes each text's rarer
    tokens with their numbers. Those alone are joined with the full table of word counts to complete
@@ -33,13 +39,16 @@ from pyspark.sql import types as T
 from .common import MASK, WordHash, materialize, mix, small_batches, text_bytes, to_arrow
 
 FLOOR = 2e-7
-#: Ratio of neighbouring count levels; probes of a level; bits of the filter for each entry of a level.
-RATIO, PROBES, BITS_PER_ENTRY = 1.5, 8, 12
-PAIR_WEIGHT = 0.7
+#: Least ratio of neighbouring count levels beyond the whole numbers that lie closer.
+RATIO = 1.15
+#: Probes, and bits of the filter for each entry, of level 1 (is the n-gram there at all) and of the levels above.
+FIRST, ABOVE = (22, 32), (8, 12)
+#: Weight of the word estimate in a pair estimate, in tokens; what is added to each word's count.
+PRIOR, ADDED = 30.0, 0.1
 #: Tokens that a task gathers before it hands on their counts, and before it reads the filter.
 FLUSH, GROUP = 2_000_000, 1_500_000
 #: Training text for each block of the filter; size of the files the blocks lie in.
-BLOCK_TEXT, FILE_BYTES = 32_000_000, 128_000_000
+BLOCK_TEXT, FILE_BYTES = 16_000_000, 128_000_000
 END = xxhash.xxh64_intdigest(b"\n") & ~1  # no word is a line feed
 
 
@@ -65,7 +74,7 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
 
 
 def _counted(texts: DataFrame, blocks: int) -> DataFrame:
-    """(h, n) of all words of ``texts`` (column __text), and (block, bits): each block's filter of all words and pairs."""
+    """(h, n) of all words of ``texts`` (column __text), and (block, first, above): each block's filter of all words and pairs."""
     small_batches(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +115,18 @@ def _counted(texts: DataFrame, blocks: int) -> DataFrame:
         word = np.flatnonzero(h & np.uint64(1) == 0)
         for s in range(0, len(word), 100_000):
             at = word[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 2], names=names)
         of = _block(h, blocks)
         for block in np.unique(of):  # one, unless tasks were given several
             mine = of == block
-            bloom = LogBloom(int(LogBloom.levels(k[mine], 1).sum()))
-            bloom.add(h[mine], k[mine], 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([bloom.bits.tobytes()], pa.binary())], names=names)
+            bloom = LogBloom.of_counts(h[mine], k[mine])
+            bits = [pa.array([x.tobytes()], pa.binary()) for x in (bloom.first, bloom.above)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), *bits], names=names)
         pa.default_memory_pool().release_unused()
 
-    names = ["h", "n", "block", "bits"]
+    names = ["h", "n", "block", "first", "above"]
     counts = texts.mapInArrow(count, "block int, h long, n long").repartitionById(blocks, F.col("block"))
-    return counts.mapInArrow(build, "h long, n long, block int, bits binary")
+    return counts.mapInArrow(build, "h long, n long, block int, first binary, above binary")
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -136,50 +145,93 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def level_counts() -> np.ndarray:
+    """The count that each level stands for, from level 1."""
+    out = [1]
+    while out[-1] < 1 << 60:
+        out.append(max(out[-1] + 1, round(out[-1] * RATIO)))
+    return np.array(out, np.int64)
+
+
+LEVELS = level_counts()
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each count's level: one of the two around it, by a hash of the key, so that the mean is right."""
+    low = np.searchsorted(LEVELS, n, "right") - 1
+    high = np.minimum(low + 1, len(LEVELS) - 1)
+    draw = (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(float) / (1 << 53)
+    return 1 + low + (draw * (LEVELS[high] - LEVELS[low]) < n - LEVELS[low])
+
+
+def _probe(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    a = mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return a, mix(a) | np.uint64(1)
+
+
+class Bits:
+    """A Bloom filter over (key, level)."""
+
+    def __init__(self, bits: np.ndarray, probes: int) -> None:
+        self.bits, self.probes, self.m = bits, probes, np.uint64(64 * len(bits))
+
+    @classmethod
+    def of(cls, parts: Iterator[tuple[np.ndarray, int]], entries: int, probes: int, per_entry: int) -> Bits:
+        """The filter of some (keys, level)."""
+        m = 64 * max(1, -(-entries * per_entry // 64))
+        flags = np.zeros(m, bool)
+        for keys, level in parts:
+            a, step = _probe(keys, level)
+            for i in range(probes):
+                flags[(a + np.uint64(i) * step) % np.uint64(m)] = True
+        return cls(np.packbits(flags, bitorder="little").view(np.uint64), probes)
+
+    def held(self, keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        """Which of the keys are there, a key leaving at its first missing bit."""
+        a, step = _probe(keys, level)
+        live = np.arange(len(keys))
+        for i in range(self.probes):
+            at = (a + np.uint64(i) * step) % self.m
+            there = (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            if not there.all():
+                live, a, step = live[there], a[there], step[there]
+        out = np.zeros(len(keys), bool)
+        out[live] = True
+        return out
+
+
+@dataclass
 class LogBloom:
-    """Bloom filter of n-grams and their quantised counts."""
+    """N-grams and their quantised counts: the bits of level 1 and those of the levels above."""
 
-    def __init__(self, entries: int) -> None:
-        self.m = np.uint64(64 * max(1, int(np.ceil(entries * BITS_PER_ENTRY / 64))))
-        self.bits = np.zeros(int(self.m) // 64, np.uint64)
+    first: np.ndarray
+    above: np.ndarray
 
     @classmethod
-    def of(cls, bits: bytes) -> LogBloom:
-        bloom = cls(0)
-        bloom.bits = np.frombuffer(bits, np.uint64)
-        bloom.m = np.uint64(64 * len(bloom.bits))
-        return bloom
-
-    @staticmethod
-    def levels(n: np.ndarray, least: int) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(n, least) / least) / np.log(RATIO) + 1e-9).astype(np.int64)
-
-    def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        a = mix(keys + np.uint64((level * 0x9E3779B97F4A7C15) & MASK))
-        step = mix(a) | np.uint64(1)
-        for i in range(PROBES):
-            yield (a + np.uint64(i) * step) % self.m
-
-    def add(self, keys: np.ndarray, n: np.ndarray, least: int) -> None:
-        q = self.levels(n, least)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            for at in self.places(keys[q >= level], level):
-                np.bitwise_or.at(self.bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-
-    def count(self, keys: np.ndarray, least: int) -> np.ndarray:
-        """Estimated counts, the middle of the level found; 0 where level 1 is missing."""
-        q, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(live):
-            a = mix(keys[live] + np.uint64((level * 0x9E3779B97F4A7C15) & MASK))
-            step = mix(a) | np.uint64(1)
-            for i in range(PROBES):  # a key leaves at its first missing bit
-                at = (a + np.uint64(i) * step) % self.m
-                held = (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                if not held.all():
-                    live, a, step = live[held], a[held], step[held]
-            q[live] = level
-            level += 1
-        return np.where(q > 0, least * RATIO ** (q - 0.5), 0.0)
+    def of_counts(cls, keys: np.ndarray, n: np.ndarray) -> LogBloom:
+        q = levels_of(keys, n)
+        first = Bits.of(iter([(keys, 1)]), len(keys), *FIRST)
+        higher = ((keys[q >= level], level) for level in range(2, int(q.max(initial=1)) + 1))
+        return cls(first.bits, Bits.of(higher, int((q - 1).sum()), *ABOVE).bits)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key's level; 0 where level 1 is missing."""
+        found = np.flatnonzero(Bits(self.first, FIRST[0]).held(keys, 1))
+        above = Bits(self.above, ABOVE[0])
+        low, high = np.ones(len(found), np.int64), np.full(len(found), len(LEVELS), np.int64)
+        reach = np.ones(len(found), np.int64)  # how far up to look while no missing level is known
+        open_ = np.arange(len(found))
+        while len(open_):
+            step = np.minimum(reach[open_], (high[open_] - low[open_] + 1) // 2)
+            level = low[open_] + step
+            there = above.held(keys[found[open_]], level)
+            low[open_[there]] = level[there]
+            high[open_[~there]] = level[~there] - 1
+            reach[open_[there]] *= 2
+            open_ = open_[low[open_] < high[open_]]
+        out = np.zeros(len(keys))
+        out[found] = LEVELS[low - 1]
+        return out
 
 
 @dataclass
@@ -199,11 +251,11 @@ class Filter:
         for f in fs.get_file_info(pyarrow.fs.FileSelector(path)):
             if f.base_name.endswith(".parquet"):
                 with fs.open_input_file(f.path) as source:
-                    for b in pq.ParquetFile(source, buffer_size=1 << 22).iter_batches(1, columns=["block", "bits"], use_threads=False):
-                        for block, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    for b in pq.ParquetFile(source, buffer_size=1 << 22).iter_batches(1, columns=["block", "first", "above"], use_threads=False):
+                        for block, first, above in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                             at = order[ends[block] : ends[block + 1]]
                             if len(at):
-                                out[at] = LogBloom.of(bits.as_buffer()).count(keys[at], 1)
+                                out[at] = LogBloom(*(np.frombuffer(x.as_buffer(), np.uint64) for x in (first, above))).count(keys[at])
         return out
 
 
@@ -215,6 +267,17 @@ class Model:
     counts: np.ndarray
     filter: Filter
     least: int
+    prior: float = PRIOR
+
+    @property
+    def scale(self) -> float:
+        return self.total + ADDED * (self.distinct + 1)
+
+    @property
+    def mistaken(self) -> float:
+        """Expected number of words that the filter takes for followers of a given word by mistake."""
+        probes, per_entry = FIRST
+        return (1 - np.exp(-probes / per_entry)) ** probes * self.distinct
 
     def log_probabilities(self, u: np.ndarray, now: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it; tokens are given by their places in ``u``."""
@@ -222,11 +285,11 @@ class Model:
         which = which.astype(np.int32)
         counts = self.filter.count(np.concatenate([u, pairs]))
         count, joint = counts[: len(u)], counts[len(u) :]
-        unknown = 1 / (self.total + 1)
-        p = np.where(count > 0, np.minimum(1.0, count / max(1, self.total)) * (1 - unknown), unknown)
+        at = find(self.words, u)
+        count[at >= 0] = self.counts[at[at >= 0]]
+        prior = self.prior * (count + ADDED) / self.scale
         base = count[before]
-        conditional = np.minimum(1.0, joint[which] / np.maximum(base, 1e-9))
-        return np.log10(np.where(base > 0, PAIR_WEIGHT * conditional + (1 - PAIR_WEIGHT) * p[now], p[now]))
+        return np.log10((np.minimum(joint[which], base) + prior[now]) / (base + self.prior + self.mistaken))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -235,10 +298,10 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     size = texts.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, int(np.ceil(size / BLOCK_TEXT)))
     counted = materialize(_counted(texts, blocks), "counted")
-    table = counted.where("bits is null").select("h", "n")
-    filters = counted.where("bits is not null").select("block", "bits")
+    table = counted.where("block is null").select("h", "n")
+    filters = counted.where("block is not null").select("block", "first", "above")
     whole = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    bits = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
+    bits = filters.agg(F.coalesce(F.sum(F.octet_length("first") + F.octet_length("above")), F.lit(0)).alias("n")).first().n
     filters = materialize(filters.coalesce(max(1, int(np.ceil(bits / FILE_BYTES)))), "filters")
     total = int(whole.total)
     least = max(1, int(np.ceil(FLOOR * total)))
@@ -252,13 +315,13 @@ def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text
     Tokens are the words of the text (A-Z lower-cased, parted by ASCII white space) and one end.
     base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens; score is the model's log10
     probability of the text. Null and empty texts consist of the end alone. Without training texts
-    every count is 0. Repeated rows are scored one by one; an empty table stays empty. Input columns
+    every count is 0. A very long text is scored whole, in a group of its own. Repeated rows are scored one by one; an empty table stays empty. Input columns
     named like an output column are replaced.
     """
     outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     base = docs.drop(*outputs)
     columns = [c for c in base.columns if c != text_col]
-    scale = model.total + 0.1 * (model.distinct + 1)
+    scale = model.scale
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType())]
@@ -295,7 +358,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text
         del before
         at = find(m.words, u)
         base = np.zeros(len(u))
-        base[at >= 0] = np.log10((m.counts[at[at >= 0]] + 0.1) / scale)
+        base[at >= 0] = np.log10((m.counts[at[at >= 0]] + ADDED) / scale)
         token = row = 0
         for columns_, many in zip(kept, rows, strict=True):
             of = n[row : row + many]
@@ -326,7 +389,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text
     met = rare.join(table, "h", "left")
     c = F.coalesce("n", F.lit(0))
     rest = met.groupBy("__row").agg(
-        F.sum(F.col("k") * F.log10((c + 0.1) / F.lit(float(scale)))).alias("rest"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen")
+        F.sum(F.col("k") * F.log10((c + ADDED) / F.lit(float(scale)))).alias("rest"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen")
     )
     rest = materialize(rest.withColumnRenamed("__row", "__r"), "rest")
     out = scored.drop("__keys", "__times").join(rest, F.col("__row") == F.col("__r"), "left")

@@ -46,7 +46,7 @@ FIRST, ABOVE = (22, 32), (8, 12)
 #: Weight of the word estimate in a pair estimate, in tokens; what is added to each word's count.
 PRIOR, ADDED = 30.0, 0.1
 #: Tokens that a task gathers before it hands on their counts, and before it reads the filter.
-FLUSH, GROUP = 2_000_000, 1_500_000
+FLUSH, GROUP = 1_500_000, 900_000
 #: Training text for each block of the filter; size of the files the blocks lie in.
 BLOCK_TEXT, FILE_BYTES = 16_000_000, 128_000_000
 END = xxhash.xxh64_intdigest(b"\n") & ~1  # no word is a line feed

@@ -587,6 +587,63 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def own_licenses(rows, least=license_scan.LEAST_COSINE):
+    """Each text's best licence by trying every run of words against every template."""
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    df = collections.Counter(w for _, t in rows for w in set(split(t)))
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in collections.Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    sizes = license_scan.run_sizes(max(len(split(t)) for _, t in license_scan.TEMPLATES))
+    templates = [(name, next(s for s in sizes if s >= len(split(t))), vector(split(t))) for name, t in license_scan.TEMPLATES]
+    out = []
+    for path, text in rows:
+        ws, best = split(text), []
+        for name, size, tv in templates:
+            begins = {*range(0, max(0, len(ws) - size) + 1, max(1, size // 4)), max(0, len(ws) - size)}
+            some = [ws[b : b + size] for b in begins]
+            if re.search(license_scan.LICENSE_FILE, path or "") and len(ws) > sizes[-1]:
+                some.append(ws)
+            for run in some:
+                v = vector(run)
+                cosine = sum(x * tv.get(w, 0) for w, x in v.items()) / (norm(v) * norm(tv)) if v else 0
+                best.append((round(cosine, 9), [-ord(c) for c in name], name))
+        out.append(max(best)[2] if max(best)[0] >= least else None)
+    return out
+
+
+def test_licenses_like_brute_force(spark):
+    rng = random.Random(9)
+    texts = [t for _, t in license_scan.TEMPLATES]
+    wrap = lambda t, n: "\n".join(" * " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    noise = lambda n: " ".join(rng.choice(["the", "file", "code", "public", "license", "of", f"x{rng.randint(0, 60)}"]) for _ in range(n))
+    rows = [(f"{i}/LICENSE" if i % 3 == 0 else f"{i}/a.py", f"{noise(rng.randint(0, 40))}\n{wrap(rng.choice(texts), 9)}\n{noise(rng.randint(0, 40))}") for i in range(60)]
+    rows += [(f"n{i}/LICENSE", noise(rng.randint(1, 300))) for i in range(30)] + [("m/LICENSE", "Copyright (c) 2020 Me\n" + texts[29])]
+    got = {r.path: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = own_licenses(rows)
+    assert [got[p].license if got[p].how == "own" else None for p, _ in rows] == want
+    assert sum(w is not None for w in want) >= 55
+
+
+def test_wrapped_headers_and_whole_licences(spark):
+    by = {name: [t for n, t in license_scan.TEMPLATES if n == name] for name, _ in license_scan.TEMPLATES}
+    fill = lambda t, mark: "\n".join(mark + line for line in re.findall(r".{1,70}(?:\s|$)", t))
+    longest = {name: max(ts, key=len) for name, ts in by.items()}
+    rows = [(f"{k}/LICENSE", f"Copyright (c) 2024, A. Person\nAll rights reserved.\n\n{fill(longest[k], '')}") for k in ("BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC")]
+    rows += [("gpl/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Preamble text that goes on and on about freedom. " * 200)]
+    rows += [("gpl/a.c", "/*\n" + fill(longest["GPL-3.0"], " * ") + "\n */\nint main() { return 0; }\n" * 30), ("s/b.py", "import os\n# This module is released under the MIT License, see the file COPYING for more.\nprint(os)")]
+    rows += [(f"x{i}", f"some other text of the file number {i} with words that are common to all of the files") for i in range(40)]
+    got = {r.path: (r.license, r.how) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k.split("/")[0]: v[0] for k, v in got.items() if k.endswith("/LICENSE")} == {k: k for k in ("BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC")}
+    assert got["gpl/COPYING"] == ("GPL-3.0", "own") and got["gpl/a.c"] == ("GPL-3.0", "own") and got["s/b.py"] == ("MIT", "own")
+    assert all(got[f"x{i}"][0] is None for i in range(40))
+
+
+def test_license_query_inherits(spark):
+    got = collections.Counter(r.how for r in registry.op9_license_scan(spark, "/root/testdata/sf0.01").collect())
+    assert got["own"] >= 30 and got["inherited"] >= 10
+
+
 # --- queries with SQL
 
 

@@ -1,17 +1,22 @@
-"""License scans (DataFrame code only): TF-IDF cosine of lines to templates, then directory inheritance.
-
-Every line of every file that holds a licence cue is a candidate notice. Its words, weighted by
-tf * idf, are joined with the weights of the templates' words (a table of fixed size) and summed to a
-cosine for each template; the best one at or above the threshold is the file's own licence. idf
-counts documents over the whole corpus.
-
-Files without a licence of their own take that of the nearest licence file in their directory or an
-ancestor: each distinct directory (not each file) is exploded to its ancestors and joined by path
-with the directories that have a licence file; the longest one wins.
+"""License scans (DataFrame code only): TF-IDF cosine of passages to templates, then directory inheritance.
+
+1. Every file's different words are counted over the whole corpus; words are weighted by tf * idf.
+2. A template is compared with runs of words of its own length (the next of a few sizes, begun at every
+   quarter of a run), so line breaks, comment marks and what stands around a notice do not matter; a licence
+   file is compared as a whole as well. A run can only reach the threshold if it holds one of the
+   template's heaviest words (those without which the rest of its weight stays below the threshold, by
+   Cauchy's inequality), so only runs around such words are formed, and nothing is lost.
+3. The runs' words meet their idf in a join and the templates' words (a table of fixed size) in another;
+   the best cosine at or above the threshold gives the file's own licence.
+4. Files without a licence of their own take that of the nearest licence file in their directory or an
+   ancestor: each distinct directory (not each file) is exploded to its ancestors and joined by path
+   with the directories that have a licence file; the longest one wins.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +52,41 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Licensed under the ISC License"),
     ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0"),
+    ("MIT", "MIT License"),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-#: Fixed value: what a line must hold to be a candidate.
-CUE = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution|creative commons|\bcc[ -]?(by|0)\b|unencumbered"
 #: Fixed value: names of licence files.
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([-_.][^/]*)?$"
 LEAST_COSINE = 0.75
+#: Ratio of neighbouring sizes of runs, the smallest size, and the begins of runs within one.
+SIZE_RATIO, LEAST_SIZE, BEGINS = 1.5, 4, 4
 
 
 def words(text: Column) -> Column:
@@ -60,54 +94,92 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def candidates(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\n\r]+"), lambda line: line.rlike(CUE))
+def run_sizes(longest: int) -> list[int]:
+    sizes = [LEAST_SIZE]
+    while sizes[-1] < longest:
+        sizes.append(int(sizes[-1] * SIZE_RATIO) + 1)
+    return sizes
+
+
+def heavy_words(weights: dict[str, float], least: float) -> list[str]:
+    """The heaviest words, without which the others' weight cannot reach a cosine of ``least``."""
+    left = total = sum(w * w for w in weights.values())
+    out = []
+    for word in sorted(weights, key=lambda x: (-weights[x], x)):
+        if left < least * least * total * (1 - 1e-9):
+            break
+        out.append(word)
+        left -= weights[word] ** 2
+    return out
+
+
+def runs(ws: Column, heavy: dict[int, list[str]], whole: Column, longest: int) -> Column:
+    """The runs (size, at, words) of the array ``ws`` that hold a heavy word of a template of their size, and,
+    where ``whole`` is true and it is longer than any of them, all of it (size -1)."""
+    def of_size(size: int, anchors: list[str]) -> Column:
+        last = F.greatest(F.size(ws) - size, F.lit(0))
+        begins = F.array_union(F.sequence(F.lit(0), last, F.lit(max(1, size // BEGINS))), F.array(last))
+        known = F.array(*map(F.lit, anchors))
+        near = F.filter(begins, lambda s: F.arrays_overlap(F.slice(ws, s + 1, size), known))
+        return F.transform(near, lambda s: F.struct(F.lit(size).alias("size"), s.alias("at"), F.slice(ws, s + 1, size).alias("words")))
+
+    parts = [of_size(size, anchors) for size, anchors in sorted(heavy.items())]
+    everything = F.array(F.struct(F.lit(-1).alias("size"), F.lit(0).alias("at"), ws.alias("words")))
+    return F.concat(*parts, F.when(whole & (F.size(ws) > longest), everything).otherwise(F.slice(everything, 1, 0)))
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
     """``files`` without the text, with license, how (`own` or `inherited`), cosine and licensed_by (the path it comes from).
 
-    A file's best line decides its own licence; ties go to the higher cosine, then to the licence
+    A file's best passage decides its own licence; ties go to the higher cosine, then to the licence
     first by name. A licence file without a recognised licence passes none on; of several in one
     directory the first path decides. Null and empty texts have no licence of their own but can
-    inherit; a null path inherits nothing. Repeated rows are judged one by one. An empty table stays
-    empty. Input columns named like an output column are replaced.
+    inherit; very long texts are searched whole; a null path inherits nothing. Repeated rows are judged one
+    by one. An empty table stays empty. Input columns named like an output column are replaced.
     """
     spark = files.sparkSession
     base = files.drop("license", "how", "cosine", "licensed_by")
     columns = [c for c in base.columns if c != text_col]
-    templates = _templates(spark)
-    vocabulary = sorted({w for r in templates.select("word").distinct().collect() for w in r})
-    known = F.array(*map(F.lit, vocabulary))
     text = files[f"`{text_col}`"]
     path = files[f"`{path_col}`"]
+    df = files.select(F.explode(F.array_distinct(words(text))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    df = materialize(df, "df")
+    n_docs = files.count()
+    idf = lambda d: F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + d)) + 1
+    weights = _templates(spark).join(df, "word", "left").select("template", "license", "size", "word", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("weight"))
+    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
+    weights = materialize(weights.join(norms, "template"), "weights")  # as many rows as the templates have words
+    of: dict[tuple[int, int], dict[str, float]] = {}
+    for r in weights.collect():
+        of.setdefault((r.template, r["size"]), {})[r.word] = r.weight
+    heavy: dict[int, set[str]] = {}
+    for (_, size), ws in of.items():
+        heavy.setdefault(size, set()).update(heavy_words(ws, least))
+    anchors = sorted(set().union(*heavy.values()))
+
+    suspect = F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])")
     slim = files.select(
         *[files[f"`{c}`"] for c in columns],
         path.alias("__path"),
         F.regexp_replace(path, r"/?[^/]*$", "").alias("__dir"),
-        candidates(text).alias("__lines"),
-        F.array_intersect(known, words(F.coalesce(text, F.lit("")))).alias("__seen"),
-    ).withColumn("__row", F.monotonically_increasing_id())
-    slim = materialize(slim, "slim")
-
-    n_docs = slim.count()
-    df = slim.select(F.explode("__seen").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = lambda d: F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + d)) + 1
-    weights = templates.join(F.broadcast(df), "word", "left").select("template", "license", "word", "tf", idf(F.coalesce("df", F.lit(0))).alias("idf"))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("tnorm"))
-    weights = materialize(weights.join(norms, "template"), "weights")  # as many rows as the templates have words
-    word_idf = weights.groupBy("word").agg(F.max("idf").alias("idf"))
-
-    lines = slim.select("__row", F.posexplode("__lines").alias("at", "line"))
-    terms = lines.select("__row", "at", F.explode(words(F.col("line"))).alias("word")).groupBy("__row", "at", "word").agg(F.count("*").alias("n"))
-    terms = terms.join(F.broadcast(word_idf), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", idf(F.lit(0)))).drop("idf")
+        F.when(suspect, words(text)).alias("__words"),
+    )
+    named = F.coalesce(F.col("__path").rlike(LICENSE_FILE), F.lit(False))
+    found = runs(F.col("__words"), {k: sorted(v) for k, v in heavy.items()}, named, max(heavy))
+    slim = slim.withColumn("__runs", F.when(F.col("__words").isNotNull(), found)).drop("__words")
+    slim = materialize(slim.withColumn("__row", F.monotonically_increasing_id()), "slim")
+
+    each = slim.select("__row", F.explode("__runs").alias("x")).select("__row", "x.size", "x.at", "x.words")
+    terms = each.select("__row", "size", "at", F.explode("words").alias("word")).groupBy("__row", "size", "at", "word").agg(F.count("*").alias("n"))
+    terms = terms.join(df, "word", "left").select("__row", F.col("size").alias("run"), "at", "word", (F.col("n") * idf(F.coalesce("df", F.lit(0)))).alias("w"))
     terms = materialize(terms, "terms")
-    line_norms = terms.groupBy("__row", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(weights), "word").groupBy("__row", "at", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("tf") * F.col("idf")).alias("dot"))
-    cosines = dots.join(line_norms, ["__row", "at"]).select("__row", "license", (F.col("dot") / (F.col("norm") * F.col("tnorm"))).alias("cosine"))
+    lengths = terms.groupBy("__row", "run", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    met = terms.join(F.broadcast(weights), "word").where((F.col("run") == F.col("size")) | (F.col("run") == -1))
+    dots = met.groupBy("__row", "run", "at", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosines = dots.join(lengths, ["__row", "run", "at"]).select("__row", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9).alias("cosine"))
     best = cosines.where(F.col("cosine") >= least).groupBy("__row").agg(F.max_by("license", F.struct("cosine", F.transform(F.split("license", ""), lambda x: -F.ascii(x)))).alias("own"), F.max("cosine").alias("cosine"))
     best = materialize(best.withColumnRenamed("__row", "__r"), "own")
-    marked = materialize(slim.drop("__lines", "__seen").join(best, F.col("__row") == F.col("__r"), "left").drop("__row", "__r"), "marked")
+    marked = materialize(slim.drop("__runs").join(best, F.col("__row") == F.col("__r"), "left").drop("__row", "__r"), "marked")
 
     giving = marked.where(F.col("own").isNotNull() & F.col("__path").rlike(LICENSE_FILE)).groupBy(F.col("__dir").alias("from_dir")).agg(F.min(F.struct(F.col("__path").alias("by"), F.col("own").alias("given"))).alias("g"))
     parts = F.split("__dir", "/")
@@ -127,5 +199,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
-    return rows.select("template", "license", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
+    """(template, license, size of the runs to compare with, word, tf)."""
+    n_words = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
+    sizes = run_sizes(max(n_words))
+    listed = [(i, name, text, next(s for s in sizes if s >= n)) for i, ((name, text), n) in enumerate(zip(TEMPLATES, n_words, strict=True))]
+    rows = spark.createDataFrame(listed, "template int, license string, text string, size int")
+    return rows.select("template", "license", "size", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "size", "word").agg(F.count("*").alias("tf"))

@@ -65,15 +65,13 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree: source / ten thousand / hundred / id. The first document of a
-    hundred stands for the licence file of its directory, the first of ten thousand for its parent's."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    ten, hundred = F.expr("doc_id div 10000"), F.expr("doc_id div 100")
-    place = (
-        F.when(F.col("doc_id") % 10000 == 0, F.concat_ws("/", "source", ten, F.lit("LICENSE")))
-        .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", ten, hundred, F.lit("LICENSE")))
-        .otherwise(F.concat_ws("/", "source", ten, hundred, F.concat("doc_id", F.lit(".txt"))))
-    )
+    """The documents as files of a tree: thousand / hundred / ten / id. The first document of a ten stands for
+    the licence file of its directory, the first of a hundred for its parent's, of a thousand for the top's."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    folders = [F.expr(f"doc_id div {n}") for n in (1000, 100, 10)]
+    place = F.concat_ws("/", *folders, F.concat("doc_id", F.lit(".txt")))
+    for depth, n in ((3, 10), (2, 100), (1, 1000)):
+        place = F.when(F.col("doc_id") % n == 0, F.concat_ws("/", *folders[:depth], F.lit("LICENSE"))).otherwise(place)
     files = docs.select("doc_id", "text", place.alias("path"))
     return license_scan.scan_licenses(files).select("doc_id", "path", "license", "how", "cosine", "licensed_by")
 

@@ -62,6 +62,15 @@ def test_cascade_is_exact_for_long_lists(spark):
             assert (r.rule, r.verdict) == judge(r.url, rules)[2:]
 
 
+def test_cascade_parts_that_come_out_too_large_are_split_again(spark):
+    rules = [(f"h{i}.test", "/", "block") for i in range(6000)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.test/") for i in range(0, 9000, 7)], "page_id long, url string")
+    keys = spark.createDataFrame([(h + p,) for h, p, _ in rules], "key string")
+    # the average part of three would just fit, so that one does not
+    got = filter_cascade.filter_urls(pages, rules, max_filter_bytes=3000).collect()
+    assert keys.count() == 6000 and all((r.verdict == "block") == (r.page_id < 6000) for r in got)
+
+
 def test_url_filter_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert filter_cascade.filter_urls(none, registry.URL_RULES).count() == 0
@@ -109,11 +118,26 @@ def test_mixture(spark):
     assert mixture.plan_mixture(docs.where("false")).count() == 0
 
 
-def test_many_sources_leave_fewer_shards(spark, monkeypatch):
+def test_many_sources_and_shards(spark, monkeypatch):
+    """Neither the shards nor what the driver may plan change what is taken; subtrees part evenly in Spark."""
+    monkeypatch.setattr(mixture, "LEAST_BLOCKS", 128)
+    docs = documents(spark, [(i, "a b c " * (1 + i % 3), f"s{i % 10}") for i in range(2000)], "doc_id long, text string, source string")
+    taken = lambda planned: {r.doc_id: len(r.copies) for r in planned.collect()}
+    whole = mixture.plan_mixture(docs, shards=64, keep_text=True)
     monkeypatch.setattr(mixture, "MOST_QUOTAS", 50)
-    docs = documents(spark, [(i, "a b c " * (1 + i % 3), f"s{i % 10}") for i in range(200)], "doc_id long, text string, source string")
-    mixed = mixture.mix(mixture.plan_mixture(docs, shards=64, keep_text=True), 64).collect()
-    assert {r.shard for r in mixed} <= set(range(5)) and mixed
+    planned = mixture.plan_mixture(docs, shards=64, keep_text=True)
+    assert taken(whole) == taken(planned) == taken(mixture.plan_mixture(docs))
+    mixed = mixture.mix(planned).collect()
+    of = collections.Counter(r.shard for r in mixed)
+    assert len(of) == 64 and max(of.values()) < 3 * min(of.values())
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter({k: v for k, v in taken(planned).items() if v})
+
+
+def test_mixture_keeps_other_columns(spark):
+    rows = [(i, "a b", "s", 7, "x", 3) for i in range(50)]
+    docs = documents(spark, rows, "doc_id long, text string, source string, dealt int, pn string, size int")
+    got = mixture.plan_mixture(docs).collect()
+    assert {(r.dealt, r.pn, r["size"]) for r in got} == {(7, "x", 2)}
 
 
 def test_splits_are_exact():
@@ -169,6 +193,39 @@ def test_near_duplicates(spark, monkeypatch, width, block):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    for name, value in (("MANY", 12), ("BLOCK", 8), ("BLOCK_SHINGLES", 900)):
+        monkeypatch.setattr(odd_sketch, name, value)
+    rows = near_copies(5)
+    want = components_of(rows, 4)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in odd_sketch.near_duplicates(documents(spark, rows), width=4).collect())
+
+
+def test_second_bands_find_what_the_first_found(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.append(s[20:], rng.integers(0, 1 << 63, 15, dtype=np.uint64))) for s in sets]
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, x binary")
+    keys = collections.defaultdict(set)
+    for r in odd_sketch._second_bands(frame, 9).collect():
+        keys[r.rep].add(r.key)
+    assert all(keys[i] & keys[30 + i] for i in range(30)) and not keys[0] & keys[1]
+
+
+def test_near_duplicates_by_all_texts_of_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    vary = lambda at: " ".join(words[:at] + ["other"] + words[at + 1 :])
+    far = [f"z{i}" for i in range(100)]
+    rows = [(1, vary(0)), (1, " ".join(far)), (2, vary(99)), (3, " ".join(["q", *far[1:]])), (9, "alone here with some words")]
+    # two texts that only one without an id links: each is 0.8 like it, but not like the other
+    chain = [f"c{i}" for i in range(103)]
+    rows += [(20, " ".join(["l"] * 9 + chain[9:])), (None, " ".join(chain)), (30, " ".join(chain[:94] + ["r"] * 9))]
+    got = collections.defaultdict(set)
+    for r in odd_sketch.near_duplicates(documents(spark, rows), width=4).collect():
+        got[r.doc_id].add((r.component_id, r.kept))
+    assert got == {1: {(1, True)}, 2: {(1, False)}, 3: {(1, False)}, 9: {(9, True)}, 20: {(20, True)}, None: {(20, False)}, 30: {(20, False)}}
+
+
 def test_near_duplicates_nulls_and_empty(spark):
     docs = documents(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (None, "lonely words here today ok"), (None, None)])
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in odd_sketch.near_duplicates(docs, width=4).collect()}
@@ -396,6 +453,55 @@ def test_network_learns_and_covers_whole_texts():
     assert byte_cnn.probability(byte_cnn.train([b"x"], np.array([1])), b"y") > 0.5
 
 
+def test_convolution_like_brute_force():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(byte_cnn.WIDTH, 256, byte_cnn.FILTERS)).astype(np.float32)
+    for n in (0, 3, 5, 256, 257, 20_000):
+        text = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        padded = text.ljust(byte_cnn.WIDTH, b"\0")
+        y = np.array([sum(table[j, padded[i + j]] for j in range(byte_cnn.WIDTH)) for i in range(len(padded) - byte_cnn.WIDTH + 1)])
+        last = byte_cnn.CHUNK - byte_cnn.WIDTH + 1
+        want = np.array([y[s : s + last].max(axis=0) for s in byte_cnn.chunk_starts(len(padded))])
+        got, where = byte_cnn.pooled(text, table)
+        assert np.allclose(got, want, atol=1e-4) and np.allclose(y[where, np.arange(byte_cnn.FILTERS)], got, atol=1e-4)
+
+
+def test_long_labelled_texts_are_learned(spark):
+    rows = [(i, ("good words all along here " if i % 2 else "### %% buy $$$ now ") * 3000) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    net = byte_cnn.train_quality(documents(spark, rows), labels, most_bytes=1_500_000)
+    assert byte_cnn.probability(net, rows[1][1].encode()) > 0.5 > byte_cnn.probability(net, rows[0][1].encode())
+
+
+def test_ngrams_have_no_seams(monkeypatch):
+    text = "Ünï cödé text " * 40 + "é" * 9
+    whole = language_id.ngram_counts(text)
+    grams = collections.Counter()
+    c = [ord(x) for x in f" {text.lower()} "]
+    u = lambda x: x & 0xFFFFFFFF
+    for i, x in enumerate(c):
+        grams[u(x * 0xC2B2AE3D) >> 17] += 1
+        if i + 1 < len(c):
+            two = u(u(x * 0x9E3779B1) + c[i + 1])
+            grams[u(two * 0x27D4EB2F) >> 17] += 1
+            if i + 2 < len(c):
+                grams[u(u(u(two * 0x85EBCA77) + c[i + 2]) * 0x165667B1) >> 17] += 1
+    assert dict(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) == grams
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    pieces = language_id.ngram_counts(text)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    idf = np.linspace(1, 2, language_id.DIMS)
+    raw = {k: (1 + math.log(n)) * idf[k] for k, n in grams.items()}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert np.allclose(language_id.weigh(*whole, idf), [raw[k] / norm for k in whole[0].tolist()])
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 10 + k, f"{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)} " * (5 + k), f"l{i}") for i in range(260) for k in range(3)]
+    model = language_id.train_language_model(documents(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 260
+
+
 def test_quality_query(spark):
     got = registry.op6_quality_classifier(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) == h for i, h in zip(got.doc_id, got.held_out, strict=True))

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosted_rules import labelled_sample
-from .common import append_columns, text_bytes
+from .common import append_columns, text_bytes, unit_hash
 
 FILTERS, WIDTH, CHUNK, STEP = 24, 5, 256, 192
-#: Labelled documents for training, at most in expectation, and the bytes a training text may have.
-TRAIN_ROWS, TRAIN_BYTES = 2500, 40_000
+#: Labelled documents for training, and their bytes together, at most in expectation.
+TRAIN_ROWS, TRAIN_BYTES = 2500, 12_000_000
 
 
 @dataclass
@@ -113,11 +113,16 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, seed: int = 1
     return net
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, seed: int = 9) -> Network:
-    """A network trained on about ``rows`` labelled documents, chosen by hash, of at most TRAIN_BYTES bytes each."""
+def train_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, seed: int = 9
+) -> Network:
+    """A network trained on whole labelled documents, chosen by a hash of the id whatever their length: about
+    ``rows`` of them, fewer if those would have more than ``most_bytes`` together. A null label or id is left
+    out; of several labels of an id the least counts."""
     picked = labelled_sample(labels, id_col, label_col, rows, seed)
-    some = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text")).where(F.length("__text") <= TRAIN_BYTES).join(F.broadcast(picked), "__id")
-    got = some.collect()
+    some = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    size = some.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    got = some.where(unit_hash(F.col("__id"), seed + 1) < min(1.0, most_bytes / max(1, size))).collect()
     got.sort(key=lambda r: (r["__id"], bytes(r["__text"])))
     return train([bytes(r["__text"]) for r in got], np.array([r["__label"] for r in got], float))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.shipping import ship
 
-#: Where scratch tables go if the session names no folder (tests and single machines).
+#: Where scratch tables go if the session names no folder and runs on one machine.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 #: Rows in an Arrow batch; with texts of a few KB a batch is a few MB.
 BATCH_ROWS = 500
@@ -33,7 +33,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{tag}"
 
 

@@ -3,15 +3,17 @@
 A list of rules (host, path, verdict) is encoded per verdict. Level 1 of a cascade holds the listed
 keys. Level 2 holds the keys of the corpus that level 1 takes for listed ones, level 3 the listed
 keys that level 2 takes for such, and so on until no false positive is left. The corpus's complete
-key universe is known, so a key's depth tells exactly whether it is listed, without a join.
+key universe is known, so a key's depth tells exactly whether it is listed: judging a url needs no join (building
+a cascade has one, of the universe with the list).
 
 A url's keys are every suffix of its host (by labels) with every prefix of its path that has the
 length of some rule's path; the longest listed key wins. Only suffixes and prefixes that can equal
 a rule are formed, so long urls stay cheap and nothing is lost.
 
-A cascade is built by aggregations only (bits of a level are or-ed by 64-bit word) and collected,
-checked against ``max_filter_bytes``; a longer list is split by key hash into as many cascades as
-keep below it, applied one after the other.
+A cascade is built by aggregations only (bits of a level are or-ed by 64-bit word) and its levels are collected,
+checked against ``max_filter_bytes``; a list or universe that needs a larger level is split by key hash into
+parts with cascades of their own, and split again if a part comes out too large. One pass over the urls
+probes as many cascades as keep below ``max_filter_bytes`` together.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import MASK, append_columns, materialize, mix, small_batches
 
 #: Bits per key and probes of the first level and of the later ones.
 FIRST, LATER = (12.0, 8), (2.9, 2)
-MOST_LEVELS = 60
+MOST_LEVELS, MOST_PARTS = 60, 4096
 
 
 @dataclass
@@ -67,11 +69,15 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("cascade"), key)
 
 
+class LevelTooLarge(ValueError):
+    pass
+
+
 def _build_level(keys: DataFrame, n: int, level: int, max_bytes: int) -> Level:
     per_key, probes = FIRST if level == 0 else LATER
     words = max(1, int(np.ceil(n * per_key / 64)))
     if words * 8 > max_bytes:
-        raise ValueError(f"a level of {words * 8} bytes exceeds {max_bytes}")
+        raise LevelTooLarge(f"a level of {words * 8} bytes exceeds {max_bytes}")
     small_batches(keys.sparkSession)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +89,8 @@ def _build_level(keys: DataFrame, n: int, level: int, max_bytes: int) -> Level:
     at = keys.select("a", "b").mapInArrow(places, "at long")
     set_bits = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     bits = np.zeros(words, np.uint64)
-    rows = set_bits.collect()  # at most one row for each word of the level, whose size is checked above
-    if rows:
-        got = np.array([(r.w, r.bits) for r in rows], np.int64)
-        bits[got[:, 0]] = got[:, 1].view(np.uint64)
+    got = set_bits.toArrow()  # at most one row for each word of the level, whose size is checked above
+    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return Level(bits, probes, level)
 
 
@@ -154,7 +158,7 @@ def filter_urls(
     path starts with the rule's; the longest host and path together win, then the longer host.
     Without a fitting rule the verdict is ``default``. A null url or one without "://" has an empty
     host and path and fits no rule. Repeated rules count once; of rules that differ only in their
-    verdict the first verdict by name wins. Pages are judged row by row; an empty table stays
+    verdict the first verdict by name wins. Very long urls form only the keys that can equal a rule. Pages are judged row by row; an empty table stays
     empty, an empty list gives ``default`` throughout. Input columns named like an output column are replaced.
     """
     spark = pages.sparkSession
@@ -174,25 +178,39 @@ def filter_urls(
     universe = materialize(wide.select(F.explode("__keys").alias("key")).distinct().select("key", a.alias("a"), b.alias("b")), "universe")
 
     verdicts = sorted(shape.verdicts)
-    splits = int(np.ceil(shape.n * FIRST[0] / 8 / max_filter_bytes))
-    passes: list[tuple[int, int, list[Level]]] = []
-    for v, verdict in enumerate(verdicts):
-        for part in range(splits):
-            mine = F.pmod(F.col("b"), F.lit(splits)) == part
-            listed = keyed.where((F.col("verdict") == verdict) & mine).select("key", "a", "b")
-            passes.append((v, part, build_cascade(listed, universe.where(mine), max_filter_bytes)))
+    parts = 1 << max(0, int(np.ceil(1.1 * shape.n * FIRST[0] / 8 / max_filter_bytes)) - 1).bit_length()
+    while True:
+        passes: list[tuple[int, int, list[Level]]] = []
+        try:
+            for v, verdict in enumerate(verdicts):
+                for part in range(parts):
+                    mine = F.pmod(F.col("b"), F.lit(parts)) == part
+                    listed = keyed.where((F.col("verdict") == verdict) & mine).select("key", "a", "b")
+                    passes.append((v, part, build_cascade(listed, universe.where(mine), max_filter_bytes)))
+            break
+        except LevelTooLarge:
+            if parts >= MOST_PARTS:
+                raise
+            parts *= 2
 
     wide = wide.withColumn("__hit", F.lit(-1).cast("long")).withColumn("__verdict", F.lit(-1).cast("long"))
-    for v, part, cascade in passes:
-        wide = _judge(wide, cascade, v, part, splits)
+    together: list[tuple[int, int, list[Level]]] = []
+    size = 0
+    for one in passes:
+        n = sum(level.bits.nbytes for level in one[2])
+        if together and size + n > max_filter_bytes:
+            wide, together, size = _judge(wide, together, parts), [], 0
+        together.append(one)
+        size += n
+    wide = _judge(wide, together, parts)
     rule = F.when(F.col("__hit") >= 0, F.try_element_at("__keys", (F.col("__hit") + 1).cast("int")))
     named = F.when(F.col("__verdict") >= 0, F.element_at(F.array(*map(F.lit, verdicts)), (F.col("__verdict") + 1).cast("int"))).otherwise(default)
     return wide.select(*base.columns, "host", "path", rule.alias("rule"), named.alias("verdict"))
 
 
-def _judge(wide: DataFrame, cascade: list[Level], v: int, part: int, splits: int) -> DataFrame:
-    """Take the url's first key in this cascade if it comes before the one found so far."""
-    shared = wide.sparkSession.sparkContext.broadcast(cascade)
+def _judge(wide: DataFrame, passes: list[tuple[int, int, list[Level]]], parts: int) -> DataFrame:
+    """Take the url's first key in any of these cascades (verdict, part, levels) if it comes before the one found so far."""
+    shared = wide.sparkSession.sparkContext.broadcast(passes)
     keys = F.col("__keys")
     pairs = (F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(F.lit("cascade"), k)))
 
@@ -201,15 +219,14 @@ def _judge(wide: DataFrame, cascade: list[Level], v: int, part: int, splits: int
             hit, verdict = np.array(hit), np.array(verdict)
             ends = np.cumsum(np.array([len(x) for x in a]))
             av, bv = np.asarray(a.flatten()).view(np.uint64), np.asarray(b.flatten()).view(np.uint64)
-            listed = depth(shared.value, av, bv) % 2 == 1
-            listed &= bv.view(np.int64) % splits == part
-            at = np.flatnonzero(listed)
-            row = np.searchsorted(ends, at, "right")
-            row, first = np.unique(row, return_index=True)
-            begin = np.concatenate([[0], ends])[row] if len(row) else row
-            place = at[first] - begin
-            better = (hit[row] < 0) | (place < hit[row])
-            hit[row[better]], verdict[row[better]] = place[better], v
+            of_part = bv.view(np.int64) % parts
+            for v, part, cascade in shared.value:
+                mine = np.flatnonzero(of_part == part)
+                at = mine[depth(cascade, av[mine], bv[mine]) % 2 == 1]
+                row, first = np.unique(np.searchsorted(ends, at, "right"), return_index=True)
+                place = at[first] - np.concatenate([[0], ends])[row]
+                better = (hit[row] < 0) | (place < hit[row])
+                hit[row[better]], verdict[row[better]] = place[better], v
             return [hit, verdict]
 
         return run

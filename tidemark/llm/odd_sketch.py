@@ -14,6 +14,12 @@ words are runs of characters other than ASCII white space; a text of fewer words
    partner in another component, and of those the full sets' intersections are counted at once by a
    matrix product. Only links that join two components leave the task (fewer than its rows).
    A pair that shares a bucket is thus either in one component already or is compared.
+   An open bucket of more than ``MANY`` members is first parted by a second, independent set of bands
+   over its members' full sets; a pair of it at the threshold shares one of those buckets as surely as
+   it shared the first. Blocks are bounded by rows and by the shingles in them.
+
+A distinct set is a node, whatever rows have it. Different sets under one id are linked with each other, and sets
+of rows without an id link others like any set.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^28, below 4e-7, and is
 weeded out by its sketch with about the same probability.
@@ -36,8 +42,10 @@ from .components import connected_components
 
 BANDS, ROWS, WORDS64 = 28, 4, 8
 SAMPLES, BITS = BANDS * ROWS, 64 * WORDS64
-#: Rows in a block, on average.
-BLOCK = 256
+#: Rows in a block on average, and shingles (a larger set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Members beyond which an open bucket is parted by further bands.
+MANY = 2048
 #: Bits of the filter that thins the documents before a join with ids: for each id, and at most.
 ID_BITS, MOST_ID_BITS = 16, 1 << 27
 BAND_COLS = [f"b{i}" for i in range(BANDS)]
@@ -75,6 +83,10 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key
 
 
+def fingerprint(x: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.uint64)
+
+
 def odd_sketch(m: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples, as 64-bit words."""
     at = mix(m + mix(np.arange(SAMPLES, dtype=np.uint64))) >> np.uint64(64 - int(math.log2(BITS)))
@@ -111,7 +123,7 @@ def sketch_documents(docs: DataFrame, text_col: str, width: int, seed: int) -> D
                 null.append(not len(x))
                 row = np.zeros(2 + BANDS + WORDS64, np.uint64)
                 if len(x):
-                    row[:2] = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.uint64)
+                    row[:2] = fingerprint(x)
                     m = minhash(x, a, b)
                     row[2 : 2 + BANDS] = band_keys(m)
                     row[2 + BANDS :] = odd_sketch(m)
@@ -124,18 +136,18 @@ def sketch_documents(docs: DataFrame, text_col: str, width: int, seed: int) -> D
     return append_columns(docs, [text_bytes(text_col)], fields, make)
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, x): the full shingle sets of the documents in ``ids``, as bytes.
+def _sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, x): the full shingle sets of the nodes ``nodes`` (id), as bytes, read from one row ``k`` of each.
 
-    A bitmap of the ids' hashes, of bounded size, is broadcast and lets pass the wanted documents and
-    a few others before anything is shuffled; the join then decides. Of an id's several texts the
-    greatest set by bytes counts."""
+    A bitmap of the rows' keys, of bounded size, is broadcast and lets pass the wanted rows and
+    a few others before anything is shuffled; the join then decides, by key and fingerprint."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = ids.count()
+    wanted = materialize(nodes.join(reps.select(F.col("rep").alias("id"), "k", "fa", "fb"), "id"), "wanted")
+    n = wanted.count()
     m = min(MOST_ID_BITS, 1 << max(16, (ID_BITS * n).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(m))
-    words = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    place = F.pmod("k", F.lit(m))
+    words = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(m // 64, np.uint64)
     bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
@@ -145,12 +157,13 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             at = b.column(2).to_numpy()
             some = np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            sets = [shingle_set(b.column(1)[i].as_py().lower().split(), width, hasher).tobytes() for i in some.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(sets, pa.binary())], names=["id", "x"])
+            sets = [shingle_set(b.column(1)[i].as_py().lower().split(), width, hasher) for i in some.tolist()]
+            prints = np.array([fingerprint(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [b.column(0).take(pa.array(some)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "fa", "fb", "x"])
 
-    found = docs.where("id is not null").select("id", text_bytes("text").alias("text"), place.alias("at"))
-    found = found.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("x", T.BinaryType())]))
-    return materialize(found.join(ids, "id", "left_semi").groupBy("id").agg(F.max("x").alias("x")), "sets")
+    found = docs.select("k", text_bytes("text").alias("text"), place.alias("at")).mapInArrow(run, "k long, fa long, fb long, x binary")
+    return materialize(found.join(wanted, ["k", "fa", "fb"]).groupBy("id").agg(F.max("x").alias("x")), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,16 +184,47 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, T.StructType([pairs.schema["u"], pairs.schema["v"]]))
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """``members`` (bk, rep, ...) once for each pair of blocks (gi <= gj) of their bucket that they take part in, with their block."""
-    sizes = materialize(members.groupBy("bk").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+def _in_blocks(members: DataFrame, shingles) -> DataFrame:
+    """``members`` (bk, rep, ...) once for each pair of blocks (gi <= gj) of their bucket that they take part in, with their block.
+
+    ``shingles``: what a member adds to a block's memory."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(shingles) / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(members.groupBy("bk").agg(blocks.alias("blocks")), "sizes")
     dealt = members.join(sizes, "bk").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     keyed = paired.withColumn("gi", F.least("block", "other")).withColumn("gj", F.greatest("block", "other")).drop("other")
     return keyed.repartition("bk", "gi", "gj").sortWithinPartitions("bk", "gi", "gj")
 
 
-def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema: T.StructType) -> DataFrame:
+def _second_bands(sets: DataFrame, seed: int) -> DataFrame:
+    """(rep, key): the keys of an independent set of bands over full sets (id, x)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _constants(seed)
+        for batch in batches:
+            keys = [band_keys(minhash(np.frombuffer(x.as_buffer(), np.uint64), a, b)).view(np.int64) for x in batch.column(1)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.concatenate(keys))], names=["rep", "key"])
+
+    return sets.select("id", "x").mapInArrow(run, "rep long, key long")
+
+
+def _parted(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """``members`` with their buckets of more than MANY members replaced by the open ones among those of further bands."""
+    large = materialize(members.groupBy("bk").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("bk"), "large")
+    if large.isEmpty():
+        return members
+    inside = materialize(members.join(large, "bk"), "inside")
+    sets = _sets_of(inside.select(F.col("rep").alias("id")).distinct(), reps, docs, width)
+    keys = materialize(_second_bands(sets, seed), "second_bands")
+    finer = materialize(inside.join(keys, "rep").withColumn("bk", F.xxhash64("bk", "key")).drop("key"), "finer")
+    open_ = _one_of_equal(finer, F.min("label") < F.max("label"))
+    out = materialize(members.join(large, "bk", "left_anti").unionByName(finer.join(open_, "bk")), "parted")
+    release(large, inside, sets, keys, finer)
+    return out
+
+
+def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """``fn`` over the rows of each (bk, gi, gj) of a table from ``_in_blocks``; groups have a bounded size."""
     small_batches(df.sparkSession)
 
@@ -292,19 +336,22 @@ def near_duplicates(
 
     component_id is the least id reachable over links of at least ``percent`` / 100 similarity,
     itself included; kept is true where that is the row's own id.
-    Null and empty texts, and texts without words, have no shingle and link with nothing. Rows that
-    repeat an id are one document (links are confirmed on the greatest of its sets). A row with a
-    null id takes the component of the rows with an equal set and is else kept with a null
-    component. An empty table gives an empty table. Other input columns are left out, whatever their names.
+    Null and empty texts, and texts without words, have no shingle and link with nothing. Very long texts
+    count with their whole sets. Rows that repeat an id are one document: the links of all its texts count, and
+    they share a component. Rows with a null id link like others; without an id in reach their component is
+    null and they are kept. An empty table gives an empty table. Other input columns are left out, whatever their names.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    narrow = narrow.withColumn("k", F.xxhash64("id", "text"))
     sketches = materialize(sketch_documents(narrow, "text", width, seed).drop("text"), "sketches")
-    reps = materialize(
-        sketches.where("fa is not null and id is not null")
-        .groupBy("fa", "fb")
-        .agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ("n_shingles", *BAND_COLS, *SKETCH_COLS)]),
-        "reps",
-    )
+    reps = sketches.where("fa is not null").groupBy("fa", "fb").agg(F.min("k").alias("k"), F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n_shingles", *BAND_COLS, *SKETCH_COLS)])
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    several = (F.min("fa") < F.max("fa")) | (F.min("fb") < F.max("fb"))
+    repeated = materialize(sketches.where("fa is not null and id is not null").groupBy("id").agg(several.alias("several")).where("several").select("id"), "repeated")
+    same_id = None
+    if not repeated.isEmpty():
+        of_id = materialize(sketches.select("id", "fa", "fb").join(repeated, "id").distinct().join(reps.select("fa", "fb", "rep"), ["fa", "fb"]).select("id", "rep"), "of_id")
+        same_id = materialize(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v").where("u <> v"), "same_id")
     banded = reps.select("rep", F.explode(F.array(*BAND_COLS)).alias("bk"))
     buckets = materialize(
         banded.groupBy("bk").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("bk", "pivot"), "buckets"
@@ -320,8 +367,9 @@ def near_duplicates(
         stars.join(one, "u").join(two, "v").where(plausible).groupBy("u").agg(F.min(F.struct(apart.alias("d"), "v")).alias("x")).select("u", "x.v"),
         "nearest",
     )
-    sets = _sets_of(_ids(nearest), narrow, width)
-    links = materialize(_confirm(nearest, sets, percent), "links")
+    sets = _sets_of(_ids(nearest), reps, narrow, width)
+    links = _confirm(nearest, sets, percent)
+    links = materialize(links if same_id is None else links.union(same_id), "links")
     labels = connected_components(links)
     release(stars, nearest, sets)
 
@@ -330,25 +378,24 @@ def near_duplicates(
     apart = F.min("label") < F.max("label")
     mixed = _one_of_equal(members, apart)
     if not mixed.isEmpty():
-        rep_type = reps.schema["rep"].dataType
-        near = T.StructType([T.StructField("bk", T.LongType()), T.StructField("rep", rep_type), T.StructField("label", rep_type)])
         open_members = materialize(members.join(mixed, "bk").join(reps.select("rep", "n_shingles", *SKETCH_COLS), "rep"), "open")
-        found = materialize(_by_group(_in_blocks(open_members), lambda t: plausible_members(t, percent), near).distinct(), "plausible")
+        open_members = _parted(open_members, reps, narrow, width, seed + 1)
+        found = materialize(_by_group(_in_blocks(open_members, F.lit(0)), lambda t: plausible_members(t, percent), "bk long, rep long, label long").distinct(), "plausible")
         found = found.join(_one_of_equal(found, F.count("*") > 1), "bk")
-        sets = _sets_of(found.select(F.col("rep").alias("id")).distinct(), narrow, width)
+        sets = _sets_of(found.select(F.col("rep").alias("id")).distinct(), reps, narrow, width)
         whole = materialize(found.join(sets.withColumnRenamed("id", "rep"), "rep"), "whole")
-        pair = T.StructType([T.StructField("u", rep_type), T.StructField("v", rep_type)])
-        late = materialize(_by_group(_in_blocks(whole), lambda t: joining_links(t, percent), pair), "late")
+        late = materialize(_by_group(_in_blocks(whole, F.octet_length("x") / 8), lambda t: joining_links(t, percent), "u long, v long"), "late")
         if not late.isEmpty():
             labels = connected_components(links.union(late))
         release(open_members, found, sets, whole)
     release(members, mixed)
 
-    components = materialize(
-        reps.select("fa", "fb", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("fa", "fb", F.coalesce("label", "rep").alias("label")),
-        "components",
-    )
-    release(reps, buckets, shared, links)
+    labels = materialize(labels.withColumnRenamed("id", "rep").join(reps.select("rep", "first"), "rep"), "labelled")
+    least = materialize(labels.groupBy("label").agg(F.min("first").alias("least")), "least")
+    named = labels.join(least, "label").select("rep", "least", F.lit(True).alias("linked"))
+    components = reps.select("fa", "fb", "rep", "first").join(named, "rep", "left").select("fa", "fb", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("label"))
+    components = materialize(components, "components")
+    release(reps, buckets, shared, links, labels, least)
     found = sketches.select("id", "n_shingles", "fa", "fb").join(components, ["fa", "fb"], "left")
     component = F.coalesce("label", "id")
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

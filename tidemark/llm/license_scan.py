@@ -3,9 +3,9 @@
 1. Every file's different words are counted over the whole corpus; words are weighted by tf * idf.
 2. A template is compared with runs of words of its own length (the next of a few sizes, begun at every
    quarter of a run), so line breaks, comment marks and what stands around a notice do not matter; a licence
-   file is compared as a whole as well. A run can only reach the threshold if it holds one of the
-   template's heaviest words (those without which the rest of its weight stays below the threshold, by
-   Cauchy's inequality), so only runs around such words are formed, and nothing is lost.
+   file is compared as a whole as well. A run can only reach the threshold if it holds one of some of the
+   template's words, the rarest ones in the corpus, without which the rest of its weight stays below the
+   threshold (by Cauchy's inequality), so only runs around such words are formed, and nothing is lost.
 3. The runs' words meet their idf in a join and the templates' words (a table of fixed size) in another;
    the best cosine at or above the threshold gives the file's own licence.
 4. Files without a licence of their own take that of the nearest licence file in their directory or an
@@ -101,11 +101,11 @@ def run_sizes(longest: int) -> list[int]:
     return sizes
 
 
-def heavy_words(weights: dict[str, float], least: float) -> list[str]:
-    """The heaviest words, without which the others' weight cannot reach a cosine of ``least``."""
+def needed_words(weights: dict[str, float], df: dict[str, int], least: float) -> list[str]:
+    """The rarest words of a template, without which the others' weight cannot reach a cosine of ``least``."""
     left = total = sum(w * w for w in weights.values())
     out = []
-    for word in sorted(weights, key=lambda x: (-weights[x], x)):
+    for word in sorted(weights, key=lambda x: (df[x], -weights[x], x)):
         if left < least * least * total * (1 - 1e-9):
             break
         out.append(word)
@@ -113,8 +113,8 @@ def heavy_words(weights: dict[str, float], least: float) -> list[str]:
     return out
 
 
-def runs(ws: Column, heavy: dict[int, list[str]], whole: Column, longest: int) -> Column:
-    """The runs (size, at, words) of the array ``ws`` that hold a heavy word of a template of their size, and,
+def runs(ws: Column, needed: dict[int, list[str]], whole: Column, longest: int) -> Column:
+    """The runs (size, at, words) of the array ``ws`` that hold a needed word of a template of their size, and,
     where ``whole`` is true and it is longer than any of them, all of it (size -1)."""
     def of_size(size: int, anchors: list[str]) -> Column:
         last = F.greatest(F.size(ws) - size, F.lit(0))
@@ -123,7 +123,7 @@ def runs(ws: Column, heavy: dict[int, list[str]], whole: Column, longest: int) -
         near = F.filter(begins, lambda s: F.arrays_overlap(F.slice(ws, s + 1, size), known))
         return F.transform(near, lambda s: F.struct(F.lit(size).alias("size"), s.alias("at"), F.slice(ws, s + 1, size).alias("words")))
 
-    parts = [of_size(size, anchors) for size, anchors in sorted(heavy.items())]
+    parts = [of_size(size, anchors) for size, anchors in sorted(needed.items())]
     everything = F.array(F.struct(F.lit(-1).alias("size"), F.lit(0).alias("at"), ws.alias("words")))
     return F.concat(*parts, F.when(whole & (F.size(ws) > longest), everything).otherwise(F.slice(everything, 1, 0)))
 
@@ -146,16 +146,18 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     df = materialize(df, "df")
     n_docs = files.count()
     idf = lambda d: F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + d)) + 1
-    weights = _templates(spark).join(df, "word", "left").select("template", "license", "size", "word", (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("weight"))
+    weights = _templates(spark).join(df, "word", "left").select("template", "license", "size", "word", F.coalesce("df", F.lit(0)).alias("df"), (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("weight"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
     weights = materialize(weights.join(norms, "template"), "weights")  # as many rows as the templates have words
     of: dict[tuple[int, int], dict[str, float]] = {}
+    known: dict[str, int] = {}
     for r in weights.collect():
         of.setdefault((r.template, r["size"]), {})[r.word] = r.weight
-    heavy: dict[int, set[str]] = {}
+        known[r.word] = r.df
+    needed: dict[int, set[str]] = {}
     for (_, size), ws in of.items():
-        heavy.setdefault(size, set()).update(heavy_words(ws, least))
-    anchors = sorted(set().union(*heavy.values()))
+        needed.setdefault(size, set()).update(needed_words(ws, known, least))
+    anchors = sorted(set().union(*needed.values()))
 
     suspect = F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])")
     slim = files.select(
@@ -165,7 +167,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         F.when(suspect, words(text)).alias("__words"),
     )
     named = F.coalesce(F.col("__path").rlike(LICENSE_FILE), F.lit(False))
-    found = runs(F.col("__words"), {k: sorted(v) for k, v in heavy.items()}, named, max(heavy))
+    found = runs(F.col("__words"), {k: sorted(v) for k, v in needed.items()}, named, max(needed))
     slim = slim.withColumn("__runs", F.when(F.col("__words").isNotNull(), found)).drop("__words")
     slim = materialize(slim.withColumn("__row", F.monotonically_increasing_id()), "slim")
 
@@ -174,7 +176,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     terms = terms.join(df, "word", "left").select("__row", F.col("size").alias("run"), "at", "word", (F.col("n") * idf(F.coalesce("df", F.lit(0)))).alias("w"))
     terms = materialize(terms, "terms")
     lengths = terms.groupBy("__row", "run", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    met = terms.join(F.broadcast(weights), "word").where((F.col("run") == F.col("size")) | (F.col("run") == -1))
+    met = terms.join(F.broadcast(weights.drop("df")), "word").where((F.col("run") == F.col("size")) | (F.col("run") == -1))
     dots = met.groupBy("__row", "run", "at", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosines = dots.join(lengths, ["__row", "run", "at"]).select("__row", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9).alias("cosine"))
     best = cosines.where(F.col("cosine") >= least).groupBy("__row").agg(F.max_by("license", F.struct("cosine", F.transform(F.split("license", ""), lambda x: -F.ascii(x)))).alias("own"), F.max("cosine").alias("cosine"))

@@ -21,7 +21,7 @@ def line(value):
 
 def redact(value):
     stats = Counter()
-    return json.loads(jsonwalk.redact_line(line(value), R, stats)), stats
+    return json.loads(jsonwalk.mask_record(line(value), R, stats)), stats
 
 
 def test_profiles_by_path():
@@ -39,18 +39,18 @@ def test_kept_keys_at_any_depth_and_unknown_ones_read():
 
 
 def test_line_separators_stay():
-    out, n = jsonwalk.redact_lines(line({"content": "a b c\x85"}) + "\n", R, Counter())
+    out, n = jsonwalk.mask_records(line({"content": "a b c\x85"}) + "\n", R, Counter())
     assert n == 1 and json.loads(out[0])["content"] == "a b c\x85"
 
 
 def test_malformed_lines():
     good, bad = line({"a": 1}), '{"a": '
-    assert jsonwalk.redact_lines(f"{good}\n{bad}", R, Counter(), True)[0] == [good]
+    assert jsonwalk.mask_records(f"{good}\n{bad}", R, Counter(), True)[0] == [good]
     with pytest.raises(jsonwalk.MalformedLineError):
-        jsonwalk.redact_lines(f"{good}\n{bad}", R, Counter())
+        jsonwalk.mask_records(f"{good}\n{bad}", R, Counter())
     with pytest.raises(jsonwalk.MalformedLineError):
-        jsonwalk.redact_lines(f"{bad}\n{good}\n", R, Counter(), True)
-    assert jsonwalk.redact_lines(f"{good}\n\n{good}\n", R, Counter())[0] == [good, "", good]
+        jsonwalk.mask_records(f"{bad}\n{good}\n", R, Counter(), True)
+    assert jsonwalk.mask_records(f"{good}\n\n{good}\n", R, Counter())[0] == [good, "", good]
 
 
 @pytest.mark.parametrize("data,out,n", [(b"a\nb\nc\n", "a\nb\nc\n", 3), (b"", "", 0), (b"a\r\nb\r\n", "a\r\nb\r\n", 2)])
@@ -159,3 +159,40 @@ def test_dry_run_reports_damaged_files(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "c.txt").write_bytes(b"nothing\n")
     assert cli.main(["check", str(tmp_path)]) == 0
     assert capsys.readouterr().out.splitlines() == ["2\tAWS_ACCESS_TOKEN\ta.jsonl", "1\tEMAIL_ADDRESS\tb.txt", "files_with_findings\t2", "2\tAWS_ACCESS_TOKEN", "1\tEMAIL_ADDRESS"]
+
+
+def test_final_line_feed_and_deep_nesting():
+    masked = lambda data: mirror.redact_jsonl(data, R, Counter(), True)[0]
+    assert masked(b'{"a":"b"}') == '{"a": "b"}' and masked(b'{"a":"b"}\n') == '{"a": "b"}\n'
+    deep = b'{"a":' + b"[" * 200_000 + b"]" * 200_000 + b"}"
+    with pytest.raises(jsonwalk.NestedTooDeeplyError):
+        masked(deep)
+
+
+def test_many_findings_resolve_fast():
+    found = [("EMAIL_ADDRESS", 10 * i, 10 * i + 12, 0.5 + (i % 2) / 10) for i in range(20_000)]
+    kept = Redactor.resolve(found)
+    assert len(kept) == 10_000 and all(a[2] <= b[1] for a, b in zip(kept, kept[1:]))
+
+
+def test_run_files_and_gates(spark, tmp_path):
+    source, target, runs = tmp_path / "src", tmp_path / "out" / "mirror", tmp_path / "runs"
+    source.mkdir()
+    (source / "a.jsonl").write_text(line({"content": "jo@site.example", "x": KEY}) + "\n")
+    (source / "b.txt").write_text(f"key {KEY}\n")
+    (source / "c.txt").write_bytes(b"\xff\xfe")
+    (source / "d.jsonl").write_bytes(b'{"a":' + b"[" * 100_000 + b"]" * 100_000 + b"}\n" + b"{}\n")
+    _, _, failed = mirror.build_mirror(spark, str(source), str(target), runs=str(runs), run_id="r1")
+    assert failed  # the nested .jsonl file is an error of its own
+    record = json.loads((runs / "r1" / "summary.json").read_text())
+    fixed = json.loads((tmp_path / "out" / "summary.json").read_text())
+    assert record["files_in_snapshot"] == 4 and record["skipped_txt_paths"]["files_skipped_decode"] == ["c.txt"]
+    assert set(record["errors"]) == {"c.txt", "d.jsonl"} and record["errors"]["d.jsonl"].startswith("NestedTooDeeplyError")
+    assert record["src_line_counts"] == record["mirror_line_counts"] == {"a.jsonl": 1, "b.txt": 1}
+    assert fixed == record | {"skip_ceiling_exceeded": False}
+    before = json.loads((runs / "r1" / "snapshot-pre.json").read_text())
+    assert before == json.loads((runs / "r1" / "snapshot-post.json").read_text()) and before["b.txt"]["size"] == len(KEY) + 5
+    assert mirror.publication_checks(spark, str(target)) == {"ceiling": True, "residue": True}
+    (target / "late.txt").write_text(f"key {KEY}\n")
+    assert mirror.publication_checks(spark, str(target))["residue"] is False
+    assert mirror.publication_checks(spark, str(tmp_path / "none" / "m"))["ceiling"] is None

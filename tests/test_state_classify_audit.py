@@ -172,3 +172,28 @@ def test_metric_stream(spark, tmp_path):
     q = stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert got[-1] == {(1, 71.0), (2, 93.0)}
+
+
+def test_second_run_makes_no_calls(spark, tmp_path):
+    from tidemark import cli
+
+    for folder in ("src", "mirror"):
+        (tmp_path / folder).mkdir()
+        for i in range(4):
+            (tmp_path / folder / f"{i}.txt").write_text(f"line {i}\nmail jo{i}@site.example\n")
+    args = ["classify", str(tmp_path / "src"), str(tmp_path / "mirror"), "--cache", str(tmp_path / "cache.jsonl"), "--out", str(tmp_path / "out.json")]
+    told = []
+    for _ in range(2):
+        assert cli.main(args) == 0
+        told.append(json.loads((tmp_path / "out.json").read_text()))
+    assert told[0]["dispatched"] == told[0]["ok"] == 4 and told[1]["dispatched"] == 0
+    assert len((tmp_path / "cache.jsonl").read_text().splitlines()) == 8
+
+    class Caller(classify.RuleCaller):
+        needs = ("--json",)
+
+        def help_text(self):
+            return "usage: caller [--text]"
+
+    with pytest.raises(classify.CapabilityError):
+        classify.classify_sample(spark, str(tmp_path / "src"), str(tmp_path / "mirror"), make_caller=Caller)

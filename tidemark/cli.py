@@ -13,6 +13,7 @@ def main(argv: list[str] | None = None) -> int:
     build = sub.add_parser("build")
     build.add_argument("source")
     build.add_argument("mirror")
+    build.add_argument("--runs", help="folder for the snapshots and the summary of each run")
     check = sub.add_parser("check")
     check.add_argument("source")
     sample = sub.add_parser("classify")
@@ -20,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     sample.add_argument("mirror")
     sample.add_argument("--seed", type=int, default=0)
     sample.add_argument("--contrast-n", type=int, default=10)
+    sample.add_argument("--cache")
     sample.add_argument("--out")
     for name in ("flag", "unflag"):
         one = sub.add_parser(name)
@@ -34,11 +36,11 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(getattr(state, a.command)(a.ledger, a.content_hash, a.reason)))
         return 0
     from tidemark.session import local_session
-    from tidemark.sources.corpus import byte_lines, read_corpus
+    from tidemark.sources.corpus import read_corpus
 
     spark = local_session()
     if a.command == "build":
-        _, summary, failed = mirror.build_mirror(spark, a.source, a.mirror)
+        _, summary, failed = mirror.build_mirror(spark, a.source, a.mirror, runs=a.runs)
         print(summary.toJSON().first())
         return int(failed)
     if a.command == "check":
@@ -52,10 +54,8 @@ def main(argv: list[str] | None = None) -> int:
         for r in mirror.corpus_totals(results).toLocalIterator():
             print(f"{r.n}\t{r.entity_type}")
         return 0
-    files = read_corpus(spark, a.mirror)
-    picked = classify.select_sample(read_corpus(spark, a.source), files, a.contrast_n, a.seed)
-    events = classify.dispatch(classify.chunk_files(byte_lines(files.join(picked, "relpath", "left_semi"))))
-    text = classify.call_metrics(events).toJSON().first()
+    metrics, _, _ = classify.classify_sample(spark, a.source, a.mirror, a.cache, a.contrast_n, a.seed)
+    text = metrics.toJSON().first()
     if a.out:
         with open(a.out, "w", encoding="utf-8") as f:
             f.write(text + "\n")

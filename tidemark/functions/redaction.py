@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,21 +57,26 @@ class Redactor:
     @staticmethod
     def resolve(found: list[Finding]) -> list[Finding]:
         """Of overlapping detections the one with the higher score stays, then the longer, then the first."""
-        kept: list[Finding] = []
+        kept: list[tuple[int, int, Finding]] = []  # by place, none overlapping
         for f in sorted(found, key=lambda f: (-f[3], f[1] - f[2], f[1], f[0])):
-            if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[1])
+            at = bisect.bisect_left(kept, (f[1], f[2]))
+            if (at == 0 or kept[at - 1][1] <= f[1]) and (at == len(kept) or f[2] <= kept[at][0]):
+                kept.insert(at, (f[1], f[2], f))
+        return [f for _, _, f in kept]
+
+    @classmethod
+    def masked(cls, text: str, found: list[Finding]) -> str:
+        """The text with what stays of ``found`` replaced."""
+        out, at = [], 0
+        for entity, start, end, _ in cls.resolve(found):
+            out += [text[at:start], placeholder(entity)]
+            at = end
+        return "".join([*out, text[at:]])
 
     def redact(self, text: str, profile: str) -> tuple[str, list[str], list[tuple[int, int]]]:
         """The masked text, the types of all detections, and their spans in the source text."""
         found = self.analyze(text, profile) if text else []
-        out, at = [], 0
-        for entity, start, end, _ in self.resolve(found):
-            out += [text[at:start], placeholder(entity)]
-            at = end
-        out.append(text[at:])
-        return "".join(out), [f[0] for f in found], [(f[1], f[2]) for f in found]
+        return self.masked(text, found), [f[0] for f in found], [(f[1], f[2]) for f in found]
 
 
 def with_redaction(df: DataFrame, text_col: str, profile: str = "broad") -> DataFrame:
@@ -96,7 +102,7 @@ def with_redaction(df: DataFrame, text_col: str, profile: str = "broad") -> Data
                     spans.append([])
                 else:
                     found = redactor.analyze(suspect, profile)
-                    texts.append(redactor.redact(suspect, profile)[0])
+                    texts.append(redactor.masked(suspect, found))
                     spans.append([{"entity_type": e, "start": s, "end": t, "score": x} for e, s, t, x in found])
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string()), pa.array(spans, kind)], names=names)
 

@@ -13,14 +13,18 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.redaction import Redactor
 from tidemark.functions.rules import CREDENTIAL_PREFIX
+from tidemark.operators.state import put_verdicts, split_by_cache
 from tidemark.shipping import ship
+from tidemark.sources.corpus import byte_lines, read_cache, read_corpus
 
 MOST_BYTES = 200_000
+#: Verdicts that are appended to the cache at once.
+CACHE_BATCH = 10_000
 CHUNKS = "relpath string, chunk_no int, lines array<binary>, chunk_bytes long, oversize boolean"
 EVENTS = (
     "relpath string, chunk_no int, status string, flagged boolean, attempts int, elapsed_seconds double, chunk_bytes long, chunk_lines int, "
@@ -178,3 +182,31 @@ def misses_in_order(lines: DataFrame, cached: DataFrame, answered: DataFrame) ->
     first = answered.groupBy("line_hash").agg(F.min("relpath").alias("first_file"))
     left = lines.join(cached.select("line_hash"), "line_hash", "left_anti").join(first, "line_hash", "left")
     return left.where(F.col("first_file").isNull() | (F.col("first_file") >= F.col("relpath"))).drop("first_file")
+
+
+def classify_sample(
+    spark: SparkSession, source: str, mirror: str, cache_path: str | None = None, contrast: int = 10, seed: int = 0, make_caller=RuleCaller, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, verdicts by file, events) of a run over a sample: lines with a cached verdict are not sent again,
+    answered lines are added to the cache, so that a second run over the same files makes no calls.
+
+    A caller that names options it ``needs`` must offer them in its ``help_text``, or nothing is sent."""
+    caller = make_caller()
+    for option in getattr(caller, "needs", ()):
+        require_capability(caller.help_text(), option)
+    files = read_corpus(spark, mirror)
+    picked = select_sample(read_corpus(spark, source), files, contrast, seed)
+    lines = byte_lines(files.join(picked, "relpath", "left_semi")).withColumn("line_hash", F.sha2("line", 256))
+    if cache_path:
+        lines, _ = split_by_cache(lines, read_cache(spark, cache_path))
+    chunks = chunk_files(lines.select("relpath", "line_no", "line")).persist()
+    events = dispatch(chunks, make_caller, **options).persist()
+    if cache_path:
+        verdicts: dict[str, str] = {}
+        for r in cacheable_verdicts(events, chunks).toLocalIterator():
+            verdicts[r.line_hash] = r.verdict
+            if len(verdicts) == CACHE_BATCH:
+                put_verdicts(cache_path, verdicts)
+                verdicts = {}
+        put_verdicts(cache_path, verdicts)
+    return call_metrics(events), file_verdicts(events), events

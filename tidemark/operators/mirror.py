@@ -6,6 +6,7 @@ abort the run. Counts, buckets and gates are aggregations over one table with a
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 from collections import Counter
@@ -74,11 +75,11 @@ def redact_text(data: bytes, redactor: Redactor, stats: Counter) -> tuple[str, i
 def redact_jsonl(data: bytes, redactor: Redactor, stats: Counter, tolerate_last: bool) -> tuple[str, int, int, bool]:
     """A .jsonl file, line by line; every output line is JSON again."""
     text = data.decode("utf-8")
-    lines, _ = jsonwalk.redact_lines(text, redactor, stats, tolerate_last)
+    lines, _ = jsonwalk.mask_records(text, redactor, stats, tolerate_last)
     for line in lines:
         if line:
             json.loads(line)
-    out = "".join(line + "\n" for line in lines)
+    out = "\n".join(lines) + ("\n" if lines and text.endswith(("\n", "\r")) else "")
     return out, len(text.splitlines()), len(out.splitlines()), False
 
 
@@ -117,9 +118,9 @@ def check_text(data: bytes, suffix: str, redactor: Redactor, stats: Counter) ->
     for line in data.decode("utf-8", "replace").splitlines():
         try:
             value = json.loads(line)
-        except json.JSONDecodeError:
+        except (json.JSONDecodeError, RecursionError):
             continue
-        jsonwalk.redact_value(value, redactor, stats)
+        jsonwalk.mask_document(value, redactor, stats)
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -203,23 +204,74 @@ def _remove(root: str, wanted) -> list[str]:
     return sorted(gone)
 
 
-def build_mirror(spark: SparkSession, source: str, target: str, protected: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
+def residue(mirror: DataFrame) -> DataFrame:
+    """(relpath, entity_type, n): what a scan of the finished mirror still finds. Own placeholders are no findings."""
+    return counts_by_file(check_files(mirror))
+
+
+def _snapshot(spark: SparkSession, source: str) -> DataFrame:
+    return spark.createDataFrame(list_files(source), "relpath string, suffix string, mtime_ns long, size long")
+
+
+def _snapshot_json(files: DataFrame) -> str:
+    return json.dumps({r.relpath: {"mtime_ns": r.mtime_ns, "size": r["size"]} for r in files.toLocalIterator()}, indent=2)
+
+
+def run_record(results: DataFrame, summary: DataFrame, run_id: str, source: str, target: str) -> dict:
+    """The run's summary as it is kept in a file: counts, errors and line counts by path, skipped paths by kind."""
+    row = summary.first().asDict()
+    record = {"run_id": run_id, "source_root": source, "mirror_root": target}
+    record |= {k: v for k, v in row.items() if k not in ("any_jsonl_error", "failed", "skip_ceiling_exceeded")}
+    kept = results.where("error is null").select("relpath", "src_lines", "mirror_lines")
+    record["errors"] = {r.relpath: r.error for r in results.where("error is not null").select("relpath", "error").orderBy("relpath").toLocalIterator()}
+    record["src_line_counts"], record["mirror_line_counts"] = {}, {}
+    for r in kept.orderBy("relpath").toLocalIterator():
+        record["src_line_counts"][r.relpath], record["mirror_line_counts"][r.relpath] = r.src_lines, r.mirror_lines
+    skipped: dict[str, list[str]] = {k: [] for k in (*BUCKETS.values(), "files_skipped_os_error_txt")}
+    for path, error in record["errors"].items():
+        if path.endswith(".txt"):
+            skipped[BUCKETS.get(error.split(":")[0], "files_skipped_os_error_txt")].append(path)
+    record["skipped_txt_paths"] = skipped
+    record["line_count_convention"] = {"jsonl": "splitlines()", "txt": "count(\\n)"}
+    return record
+
+
+def build_mirror(spark: SparkSession, source: str, target: str, protected: str | None = None, runs: str | None = None, run_id: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Write the mirror of ``source`` below ``target``: (results, summary, failed).
 
     Tasks write their own files, so ``target`` must be mounted on all executors. Left-over .tmp files
-    and files of earlier runs are removed, then only .jsonl and .txt may be there."""
+    and files of earlier runs are removed, then only .jsonl and .txt may be there. With ``runs`` the
+    snapshots before and after and the summary are kept in a folder of the run there, and the summary, with the verdict
+    on skipped files, beside the mirror as well."""
     assert_safe_target(target, protected or source)
-    before = spark.createDataFrame(list_files(source), "relpath string, suffix string, mtime_ns long, size long")
+    before = _snapshot(spark, source)
     results = redact_files(read_corpus(spark, source), target=target).drop("output").persist()
-    done = {r.relpath for r in results.where("error is null").select("relpath").collect()}
-    _remove(target, lambda rel: rel.endswith(".tmp"))
-    _remove(target, lambda rel: rel.endswith((".jsonl", ".txt")) and rel not in done)
+    done = {r.relpath for r in results.where("error is null").select("relpath").toLocalIterator()}
+    _remove(target, lambda rel: rel.endswith(".tmp") or (rel.endswith((".jsonl", ".txt")) and rel not in done))
     strange = [os.path.join(f, n) for f, _, names in os.walk(target) for n in names if not n.endswith((".jsonl", ".txt"))]
     if strange:
         raise AssertionError(f"unexpected files in the mirror: {strange[:5]}")
-    after = spark.createDataFrame(list_files(source), "relpath string, suffix string, mtime_ns long, size long")
+    after = _snapshot(spark, source)
     summary = summarize(results, unchanged_files(before, after))
-    return results, summary, bool(summary.first().failed)
+    verdict = summary.first()
+    if runs:
+        run_id = run_id or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
+        record = run_record(results, summary, run_id, source, target)
+        for name, text in (("snapshot-pre", _snapshot_json(before)), ("snapshot-post", _snapshot_json(after)), ("summary", json.dumps(record, indent=2))):
+            write_file_atomically(os.path.join(runs, run_id, f"{name}.json"), text.encode())
+        fixed = json.dumps(record | {"skip_ceiling_exceeded": bool(verdict.skip_ceiling_exceeded)}, indent=2)
+        write_file_atomically(os.path.join(os.path.dirname(os.path.abspath(target)), "summary.json"), fixed.encode())
+    return results, summary, bool(verdict.failed)
+
+
+def publication_checks(spark: SparkSession, target: str) -> dict[str, bool | None]:
+    """Gates read from a finished run: the ceiling is exactly False in the summary file, and a scan of the mirror finds nothing."""
+    at = os.path.join(os.path.dirname(os.path.abspath(target)), "summary.json")
+    ceiling = None
+    if os.path.exists(at):
+        with open(at, encoding="utf-8") as f:
+            ceiling = json.load(f).get("skip_ceiling_exceeded") is False
+    return {"ceiling": ceiling, "residue": residue(read_corpus(spark, target)).isEmpty()}
 
 
 def gates(**checks: bool) -> tuple[bool, list[str]]:

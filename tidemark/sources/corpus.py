@@ -122,11 +122,11 @@ def byte_lines(files: DataFrame) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The append-only verdict log (line_hash, verdict, seq); a missing file is an empty log."""
-    rows = []
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            rows = [(d["line_hash"], d["verdict"], i) for i, line in enumerate(f) if line.strip() and (d := json.loads(line))]
-    return spark.createDataFrame(rows, CACHE)
+    if not os.path.exists(path):
+        return spark.createDataFrame([], CACHE)
+    rows = spark.read.schema("line_hash string, verdict string").json(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("line_hash", "verdict", place.alias("seq")).where("line_hash is not null")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,9 @@ PERSONAL = [("EMAIL_ADDRESS", EMAIL, 1.0), ("IP_ADDRESS", IPV4, 0.6), ("IP_ADDRE
 PLACEHOLDER = r"change_?me|your[-_]|xxxx|placeholder|example|<[a-z]|replace|dummy|fake|localhost|test123"
 ENTROPY_FLOOR = 3.0
 # Fixed value: prefixes that mark a file as holding credentials.
-CREDENTIAL_PREFIX = "|".join(p for _, p, _ in (PATTERNS[0], PATTERNS[1], PATTERNS[2], PATTERNS[5], PATTERNS[8], PATTERNS[3], PATTERNS[9]))
+PREFIXED = ["ANTHROPIC_API_KEY", "OPENROUTER_API_KEY", "GITHUB_OAUTH_TOKEN", "GROQ_API_KEY", "AWS_ACCESS_TOKEN", "GCP_API_KEY", "STRIPE_ACCESS_TOKEN"]
+# The first pattern of each.
+CREDENTIAL_PREFIX = "|".join(next(p for e, p, _ in PATTERNS if e == name) for name in PREFIXED)
 
 # What a text must hold, in lower case, for a rule to match; a rule without a hint is always tried.
 HINTS = {

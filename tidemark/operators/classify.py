@@ -40,7 +40,7 @@ def credential_files(files: DataFrame) -> DataFrame:
 def seeded_sample(relpaths: DataFrame, n: int, seed: int = 0, exclude: DataFrame | None = None) -> DataFrame:
     """``n`` of the paths, the same ones for a seed wherever they lie: those of least hash."""
     left = relpaths.join(exclude, "relpath", "left_anti") if exclude is not None else relpaths
-    return left.orderBy(F.xxhash64(F.lit(seed), "relpath"), "relpath").limit(n).orderBy("relpath")
+    return left.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "relpath"), 256), "relpath").limit(n).orderBy("relpath")
 
 
 def select_sample(source: DataFrame, mirror: DataFrame, contrast: int = 10, seed: int = 0) -> DataFrame:

@@ -85,11 +85,23 @@ def detected_by_engine(spark, sf_dir):
     return found.groupBy("doc_id", F.col("f.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+_EMAIL_SQL, _IPV4_SQL = (f"(?ims){_sql_text(p)}" for p in (rules.EMAIL, rules.IPV4))
+
+
+@query(f"""WITH found AS (
+  SELECT doc_id, string_agg(entity_type, ',' ORDER BY entity_type) AS entity_types,
+    list(m ORDER BY length(m) DESC, m) FILTER (WHERE entity_type = 'ENV_ASSIGNMENT_SECRET' AND NOT regexp_matches(m, '{_EMAIL_SQL}') AND NOT regexp_matches(m, '{_IPV4_SQL}')) AS assigned
+  FROM ({_FOUND}) GROUP BY doc_id
+), first AS (
+  SELECT doc_id, entity_types, list_reduce(list_prepend(text, coalesce(assigned, [])), lambda t, m: replace(t, m, '[ENV_ASSIGNMENT_SECRET]')) AS t FROM documents JOIN found USING (doc_id)
+)
+SELECT doc_id, regexp_replace(regexp_replace(t, '{_EMAIL_SQL}', '[EMAIL_ADDRESS]', 'g'), '{_IPV4_SQL}', '[IP_ADDRESS]', 'g') AS redacted, entity_types FROM first""")
 def redacted_documents(spark, sf_dir):
+    """Masked texts and the sorted types of all their detections. The SQL knows the types that occur in the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = redaction.with_redaction(docs, "text", "broad_pii").where(F.size("findings") > 0)
-    return out.select("doc_id", "redacted", F.transform("findings", lambda f: f["entity_type"]).alias("entity_types"))
+    types = F.array_sort(F.transform("findings", lambda f: f["entity_type"]))
+    return out.select("doc_id", "redacted", F.array_join(types, ",").alias("entity_types"))
 
 
 @query(f"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?ims){_sql_text(rules.EMAIL)}', '[EMAIL_ADDRESS]', 'g'), '(?ims){_sql_text(rules.IPV4)}', '[IP_ADDRESS]', 'g') AS masked
@@ -100,11 +112,6 @@ def masked_personal_data(spark, sf_dir):
     return docs.select("doc_id", F.regexp_replace(F.regexp_replace("text", email, "[EMAIL_ADDRESS]"), ip, "[IP_ADDRESS]").alias("masked"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{rules.CREDENTIAL_PREFIX}')")
-def credential_prefix_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(rules.CREDENTIAL_PREFIX)).select("doc_id")
-
-
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i){rules.PLACEHOLDER}')")
 def placeholder_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(f"(?i){rules.PLACEHOLDER}")).select("doc_id")
@@ -267,10 +274,11 @@ def distinct_tags(spark, sf_dir):
     return table(spark, sf_dir, "part").agg(F.count_distinct("p_type").alias("before"), F.count_distinct(F.split("p_type", " ")[0]).alias("after"))
 
 
-@query("SELECT c_name AS title, c_nationkey AS year FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_name AS title, c_nationkey AS year FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unseen_titles(spark, sf_dir):
+    """Customers without an urgent order."""
     c = table(spark, sf_dir, "customer")
-    seen = c.join(table(spark, sf_dir, "orders"), c.c_custkey == F.col("o_custkey"), "left_semi").select(F.col("c_name").alias("title"), F.col("c_nationkey").alias("year"), F.lit(True).alias("seen"))
+    seen = c.join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), c.c_custkey == F.col("o_custkey"), "left_semi").select(F.col("c_name").alias("title"), F.col("c_nationkey").alias("year"), F.lit(True).alias("seen"))
     return audit.unseen(c.select(F.col("c_name").alias("title"), F.col("c_nationkey").alias("year")), seen)
 
 
@@ -346,7 +354,7 @@ def file_verdicts(spark, sf_dir):
     return classify.file_verdicts(_calls(spark, sf_dir))
 
 
-@query()
+@query("SELECT relpath FROM (SELECT source || '/' || doc_id AS relpath FROM documents) ORDER BY sha256('0:' || relpath), relpath LIMIT 10")
 def seeded_sample(spark, sf_dir):
     paths = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relpath"))
     return classify.seeded_sample(paths, 10, seed=0)

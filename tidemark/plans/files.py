@@ -28,11 +28,15 @@ _CASES = " ".join(f"WHEN {i} THEN {_quoted(a)} || md5(c_custkey::VARCHAR) || {_q
 _PLANTED_SQL = f"(SELECT c_custkey, 'note ' || CASE c_custkey % {_N} {_CASES} END || ' end' AS text FROM customer)"
 
 
+def _secret(key: Column) -> Column:
+    """A secret of the kind key % N."""
+    digest = F.md5(key.cast("string").cast("binary"))
+    return F.coalesce(*[F.when(key % _N == i, F.concat(F.lit(a), digest, F.lit(b))) for i, (a, b) in enumerate(PLANTED)])
+
+
 def _planted(spark, sf_dir) -> DataFrame:
     """Customers with a note that holds a secret of the kind c_custkey % N."""
-    kind, digest = F.col("c_custkey") % _N, F.md5(F.col("c_custkey").cast("string").cast("binary"))
-    secret = F.coalesce(*[F.when(kind == i, F.concat(F.lit(a), digest, F.lit(b))) for i, (a, b) in enumerate(PLANTED)])
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("note "), secret, F.lit(" end")).alias("text"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("note "), _secret(F.col("c_custkey")), F.lit(" end")).alias("text"))
 
 
 def _credential_sql() -> str:
@@ -60,12 +64,21 @@ def redacted_notes(spark, sf_dir):
     return redaction.with_redaction(_planted(spark, sf_dir), "text", "broad").select("c_custkey", "redacted")
 
 
-@query(f"SELECT c_custkey::VARCHAR AS relpath, 'credential' AS kind FROM {_PLANTED_SQL} WHERE c_custkey % 2 = 0 AND regexp_matches(text, '{rules.CREDENTIAL_PREFIX}')")
+@query(f"""WITH notes AS (SELECT c_custkey::VARCHAR AS relpath, regexp_matches(text, '{rules.CREDENTIAL_PREFIX}') AS hot FROM {_PLANTED_SQL})
+SELECT relpath, 'credential' AS kind FROM notes WHERE hot
+UNION ALL SELECT relpath, 'contrast' FROM (SELECT relpath FROM notes WHERE NOT hot ORDER BY sha256('0:' || relpath), relpath LIMIT 10)""")
 def credential_sample(spark, sf_dir):
-    """Files of the mirror (even keys) whose source holds a credential prefix."""
+    """All notes with a credential prefix and the seeded contrast of ten others."""
     notes = _planted(spark, sf_dir)
     files = notes.select(F.col("c_custkey").cast("string").alias("relpath"), F.col("text").cast("binary").alias("content"))
-    return classify.select_sample(files, files.where(F.col("relpath").cast("long") % 2 == 0), contrast=0)
+    return classify.select_sample(files, files)
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, text || ' ' || CASE doc_id % {_N} {_CASES.replace('c_custkey', 'doc_id')} END AS text FROM documents) WHERE regexp_matches(text, '{rules.CREDENTIAL_PREFIX}')")
+def credential_prefix_documents(spark, sf_dir):
+    """Documents with a credential prefix, each behind its whole text, which by itself has none."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(F.concat("text", F.lit(" "), _secret(F.col("doc_id"))).rlike(rules.CREDENTIAL_PREFIX)).select("doc_id")
 
 
 _VALUES = ", ".join(f"('{p}', '{e}')" for p, es in rules.PROFILES.items() for e in es)

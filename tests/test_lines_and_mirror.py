@@ -196,3 +196,19 @@ def test_run_files_and_gates(spark, tmp_path):
     (target / "late.txt").write_text(f"key {KEY}\n")
     assert mirror.publication_checks(spark, str(target))["residue"] is False
     assert mirror.publication_checks(spark, str(tmp_path / "none" / "m"))["ceiling"] is None
+
+
+def test_retention(tmp_path):
+    log = tmp_path / "log.txt"
+    assert not corpus.trim_log(str(log))
+    log.write_bytes(b"".join(b"%d\n" % i for i in range(100)))
+    assert not corpus.trim_log(str(log), keep=10, over_bytes=log.stat().st_size)
+    assert corpus.trim_log(str(log), keep=10, over_bytes=100)
+    assert log.read_bytes().split() == [b"%d" % i for i in range(90, 100)]
+    old = tmp_path / "d" / "old.jsonl"
+    old.parent.mkdir()
+    old.write_text("{}\n")
+    os.utime(old, ns=(0, 0))
+    now = log.stat().st_mtime_ns
+    assert corpus.delete_expired(str(tmp_path), now) == ["d/old.jsonl"]
+    assert log.exists() and not old.exists()

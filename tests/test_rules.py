@@ -102,3 +102,16 @@ def test_hints_never_hide_a_match():
         for text in [*POSITIVES.values(), PEM, "jo@site.example", "AſIA" + "ABCDEFGH12345678", "TOKEN = 'Zx9kQ2mNv7Lp4Rt8'", "10.1.2.3"]:
             if pattern.search(text) and rule.entity in rules.HINTS:
                 assert any(h in rules.folded(text) for h in rules.HINTS[rule.entity])
+
+
+@pytest.mark.parametrize("address", ["::1", "fe80::1", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7::", "1::8", "2001:db8:0:0:0:0:2:1", "FE80::A:B"])
+def test_addresses_with_zero_runs(address):
+    import ipaddress
+
+    ipaddress.ip_address(address)
+    assert Redactor().redact(f"from {address}, port 1", "broad_pii")[0] == "from [IP_ADDRESS], port 1"
+
+
+@pytest.mark.parametrize("text", ["std::vector", "a 12:30:45 b", "x :: y", "key: value", "zone::name"])
+def test_colons_that_are_no_address(text):
+    assert Redactor().redact(text, "broad_pii")[0] == text

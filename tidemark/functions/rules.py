@@ -39,8 +39,15 @@ PATTERNS = [
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b"
 IPV6 = r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+# With "::" for a run of zero groups: k groups before it and up to 7 - k after it, or none on one side.
+IPV6_SHORT = (
+    r"(?<!\w)(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])(?:"
+    + "|".join(rf"(?:{_GROUP}:){{{k}}}(?::{_GROUP}){{1,{7 - k}}}" for k in range(1, 7))
+    + rf"|:(?::{_GROUP}){{1,7}}|(?:{_GROUP}:){{1,7}}:)(?!\w)"
+)
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\(?\b[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b"
-PERSONAL = [("EMAIL_ADDRESS", EMAIL, 1.0), ("IP_ADDRESS", IPV4, 0.6), ("IP_ADDRESS", IPV6, 0.6), ("PHONE_NUMBER", PHONE, 0.4)]
+PERSONAL = [("EMAIL_ADDRESS", EMAIL, 1.0), ("IP_ADDRESS", IPV4, 0.6), ("IP_ADDRESS", IPV6, 0.6), ("IP_ADDRESS", IPV6_SHORT, 0.6), ("PHONE_NUMBER", PHONE, 0.4)]
 # Fixed value: signs of a placeholder.
 PLACEHOLDER = r"change_?me|your[-_]|xxxx|placeholder|example|<[a-z]|replace|dummy|fake|localhost|test123"
 ENTROPY_FLOOR = 3.0

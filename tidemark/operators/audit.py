@@ -16,13 +16,23 @@ def recall(judged: DataFrame, items: int) -> DataFrame:
 
 
 def recall_by_arm(scores: DataFrame, items: int, floor: float = 0.3) -> DataFrame:
-    """Mean, least and most recall of each arm, and whether the mean reaches ``floor`` of the items."""
-    by = scores.groupBy("arm").agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"), F.count("*").alias("reps"))
+    """Mean, least and most recall of each arm, and whether the mean reaches ``floor`` of the items.
+
+    Where ``scores`` has genuine_novel or spurious (findings beyond the key, by kind), their means follow."""
+    more = [F.avg(c).alias(f"mean_{c}") for c in ("genuine_novel", "spurious") if c in scores.columns]
+    by = scores.groupBy("arm").agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"), F.max("recall").alias("max_recall"), F.count("*").alias("reps"), *more)
     return by.select("*", (F.col("mean_recall") >= floor * items).alias("above_floor"))
 
 
+#: Rows of a table of groups whose pairs are reported.
+MOST_GROUPS = 5_000
+
+
 def range_overlaps(ranges: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Each pair of rows a < b and whether their ranges overlap. For small tables of groups (one row an arm)."""
+    """Each pair of rows a < b and whether their ranges overlap. The report has n (n - 1) / 2 rows, so more than
+    ``MOST_GROUPS`` groups (one row an arm) raise a ValueError; up to that many are broadcast."""
+    if (n := ranges.select(key).limit(MOST_GROUPS + 1).count()) > MOST_GROUPS:
+        raise ValueError(f"{n} groups or more; all pairs are reported for {MOST_GROUPS} at most")
     a = ranges.select(F.col(key).alias("a"), F.col(low).alias("al"), F.col(high).alias("ah"))
     b = ranges.select(F.col(key).alias("b"), F.col(low).alias("bl"), F.col(high).alias("bh"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", ((F.col("al") <= F.col("bh")) & (F.col("bl") <= F.col("ah"))).alias("overlap"))
@@ -94,6 +104,24 @@ def growth_check(entries: DataFrame, since: Column, size_mb: float, most_entries
     return n.select("entries", F.lit(size_mb).alias("size_mb"), ((F.col("entries") > most_entries) | (F.lit(size_mb) > most_mb)).alias("flagged"))
 
 
+def select_log(
+    entries: DataFrame, since: Column | None = None, until: Column | None = None, unit: str | None = None, priority: int | None = None, matching: str | None = None, last: int | None = None
+) -> DataFrame:
+    """Log entries (ts, unit, priority, message, seq) of a time, a unit, a priority (0 is the most urgent) or more urgent,
+    and with a pattern in the message; with ``last`` the newest of them only (by ts, then seq)."""
+    tests = [
+        None if since is None else F.col("ts") >= since,
+        None if until is None else F.col("ts") < until,
+        None if unit is None else F.col("unit") == unit,
+        None if priority is None else F.col("priority") <= priority,
+        None if matching is None else F.col("message").rlike(matching),
+    ]
+    for test in tests:
+        if test is not None:
+            entries = entries.where(test)
+    return entries if last is None else entries.orderBy(F.desc("ts"), F.desc("seq")).limit(last)
+
+
 def top_identifiers(entries: DataFrame, name: str, k: int = 5) -> DataFrame:
     return entries.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k)
 

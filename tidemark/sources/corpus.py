@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -120,18 +121,27 @@ def byte_lines(files: DataFrame) -> DataFrame:
     return lines.where(F.trim("one") != "").select("relpath", F.col("line_no").cast("long").alias("line_no"), F.encode("one", "ISO-8859-1").alias("line"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The append-only verdict log (line_hash, verdict, seq); a missing file is an empty log."""
-    if not os.path.exists(path):
+    """The append-only verdict log (line_hash, verdict, seq); a missing file is an empty log.
+
+    ``seq`` orders the entries as written; of a folder, the files follow each other by name."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], CACHE)
     rows = spark.read.schema("line_hash string, verdict string").json(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return rows.select("line_hash", "verdict", place.alias("seq")).where("line_hash is not null")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The append-only override log with defaults for path_hint and operator; a missing file is an empty log."""
-    if not os.path.exists(path):
+    if not _exists(spark, path):
         return spark.createDataFrame([], LEDGER)
     df = spark.read.schema(LEDGER).json(path)
     return df.withColumn("path_hint", F.coalesce("path_hint", F.lit(""))).withColumn("operator", F.coalesce("operator", F.lit("unknown")))
@@ -200,6 +210,25 @@ def retain(lines: DataFrame, keep: int, order_col: str = "line_no") -> DataFrame
     return lines.orderBy(F.desc(order_col)).limit(keep)
 
 
+def trim_log(path: str, keep: int = 5000, over_bytes: int = 5 * 1024 * 1024) -> bool:
+    """Cut a log of more than ``over_bytes`` to its last ``keep`` lines; whether it was cut. A missing log stays missing."""
+    if not os.path.exists(path) or os.path.getsize(path) <= over_bytes:
+        return False
+    with open(path, "rb") as f:
+        last = deque(f, maxlen=keep)
+    write_file_atomically(path, b"".join(last))
+    return True
+
+
+def delete_expired(root: str, now_ns: int, days: int = 30) -> list[str]:
+    """Delete the files below ``root`` (on the driver's machine) that ``expired`` names, and return their paths."""
+    before = now_ns - days * 86_400 * 1_000_000_000
+    gone = [rel for rel, _, mtime, _ in list_files(root) if mtime < before]
+    for rel in gone:
+        os.unlink(os.path.join(root, rel))
+    return gone
+
+
 def expired(files: DataFrame, now_ns: int, days: int = 30) -> DataFrame:
     """Files last changed more than ``days`` before ``now_ns``."""
     return files.where(F.col("mtime_ns") < F.lit(now_ns - days * 86_400 * 1_000_000_000))

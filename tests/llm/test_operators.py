@@ -547,6 +547,25 @@ def test_language_edges(spark):
     assert language_id.identify(docs.where("false"), model).count() == 0
 
 
+def test_an_id_with_most_rows_does_not_fill_the_samples(spark, monkeypatch):
+    """Id 0 has 3,000 different texts and 3,000 copies of one; the rest are 200 ids with a text each."""
+    rows = [(0, f"hot words number {i} and more of it {i * 7}", "aa") for i in range(3000)] + [(0, "a copy of it", "aa")] * 3000
+    rows += [(i, f"other words {i} of all the rest here", "bb" if i % 2 else "aa") for i in range(1, 201)]
+    docs = documents(spark, rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(201)], "doc_id long, quality int")
+    seen = {}
+    fit, train, trees = language_id.fit, byte_cnn.train, boosted_rules.train_trees
+    monkeypatch.setattr(language_id, "fit", lambda v, names: seen.update(languages=collections.Counter(names)) or fit(v, names))
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, y: seen.update(texts=texts) or train(texts, y, epochs=1))
+    monkeypatch.setattr(boosted_rules, "train_trees", lambda x, y: seen.update(statistics=len(x)) or trees(x, y))
+    language_id.train_language_model(docs, rows=60)
+    assert 30 < seen["languages"]["aa"] < 100 and 30 < seen["languages"]["bb"] <= 100
+    byte_cnn.train_quality(docs, labels, most_bytes=30_000)
+    assert 0 < len(seen["texts"]) < 400 and max(collections.Counter(seen["texts"]).values()) == 1
+    boosted_rules.train_rules(docs, labels, rows=200)
+    assert 0 < seen["statistics"] <= 2 * 200 + 100
+
+
 def test_ftrl_is_sparse():
     m = language_id.Ftrl(10, 2, l1=0.5)
     for _ in range(5):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, append_columns, text_bytes, unit_hash, windows
+from .common import WordHash, append_columns, materialize, release, text_bytes, unit_hash, windows
 
 #: Labelled rows that the trees are trained on, at most in expectation.
 TRAIN_ROWS = 20_000
@@ -162,10 +162,16 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int, s
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, seed: int = 5) -> Trees:
-    """Trees trained on the statistics of a hash sample of labelled documents; only the statistics reach the driver."""
+    """Trees trained on the statistics of a hash sample of labelled documents; only the statistics reach the driver.
+
+    Equal statistics under one id count once. Where ids repeat so often that the sample has more than twice ``rows``
+    documents, a second hash, of id and statistics, thins it to that."""
     picked = labelled_sample(labels, id_col, label_col, rows, seed)
     some = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(picked), "__id")
-    found = with_statistics(some, "__text").select("__id", "__label", "__stats").collect()
+    sample = materialize(with_statistics(some, "__text").select("__id", "__label", "__stats").distinct(), "labelled")
+    rate = min(1.0, 2 * rows / max(1, sample.count()))
+    found = sample.where(unit_hash(F.xxhash64("__id", "__stats"), seed + 1) < rate).collect()
+    release(sample)
     found.sort(key=lambda r: (r["__id"], r["__stats"]))
     x = np.array([r["__stats"] for r in found]).reshape(-1, len(FEATURES))
     return train_trees(x, np.array([r["__label"] for r in found], float))

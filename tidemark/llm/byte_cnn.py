@@ -22,6 +22,8 @@ from .common import append_columns, text_bytes, unit_hash
 FILTERS, WIDTH, CHUNK, STEP = 24, 5, 256, 192
 #: Labelled documents for training, and their bytes together, at most in expectation.
 TRAIN_ROWS, TRAIN_BYTES = 2500, 12_000_000
+#: What each training document counts besides its text.
+ROW_BYTES = 100
 
 
 @dataclass
@@ -118,11 +120,14 @@ def train_quality(
 ) -> Network:
     """A network trained on whole labelled documents, chosen by a hash of the id whatever their length: about
     ``rows`` of them, fewer if those would have more than ``most_bytes`` together. A null label or id is left
-    out; of several labels of an id the least counts."""
+    out; of several labels of an id the least counts. Equal texts under one id count once; different ones are
+    chosen one by one, so an id that many rows share adds no more than its part of the bytes."""
     picked = labelled_sample(labels, id_col, label_col, rows, seed)
     some = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    size = some.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
-    got = some.where(unit_hash(F.col("__id"), seed + 1) < min(1.0, most_bytes / max(1, size))).collect()
+    text = F.xxhash64("__id", "__text")
+    weight = F.octet_length("__text") + ROW_BYTES  # so that empty texts are bounded as well
+    size = some.groupBy(text.alias("of")).agg(F.max(weight).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = some.where(unit_hash(text, seed + 1) < min(1.0, most_bytes / max(1, size))).distinct().collect()
     got.sort(key=lambda r: (r["__id"], bytes(r["__text"])))
     return train([bytes(r["__text"]) for r in got], np.array([r["__label"] for r in got], float))
 

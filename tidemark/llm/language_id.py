@@ -116,13 +116,15 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
 
 
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = 3) -> LanguageModel:
-    """Fit on about ``rows`` documents of each language with text and label, chosen by a hash of the id.
+    """Fit on about ``rows`` documents of each language with text and label, chosen by a hash of id and text.
 
-    Every language is learned; the model takes 32,769 weights for each."""
+    Equal texts under one id count once, so copies neither fill the sample nor the driver. Every language is
+    learned; the model takes 32,769 weights for each."""
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and text is not null and lang is not null")
-    counts = known.groupBy("lang").count()
-    rates = counts.select(F.col("lang").alias("__of"), (F.lit(float(rows)) / F.col("count")).alias("__rate"))
-    some = known.join(F.broadcast(rates), F.col("lang") == F.col("__of")).where(unit_hash(F.col("id"), seed) < F.col("__rate")).select("id", "text", "lang")
+    text = F.xxhash64("id", "text")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(text).alias("n"))
+    rates = counts.select(F.col("lang").alias("__of"), (F.lit(float(rows)) / F.col("n")).alias("__rate"))
+    some = known.join(F.broadcast(rates), F.col("lang") == F.col("__of")).where(unit_hash(text, seed) < F.col("__rate")).select("id", "text", "lang").distinct()
 
     def make():
         def run(texts: pa.Array) -> list:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_rules, byte_cnn, filter_cascade, language_id, license_scan, log_bloom, mixture, odd_sketch, oracles, site_templates, suffix_arrays
+from . import boosted_rules, byte_cnn, filter_cascade, language_id, license_scan, log_bloom, mixture, odd_sketch, oracles, site_templates, structure_repair, suffix_arrays
 from .common import read_table, remainder
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -83,7 +83,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixture, op3_near_duplicates, op4_html_extraction, op5_decontamination, op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_license_scan, op10_quality_rules)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure_repair.repair_conversations(structure_repair.damage_conversations(rows), known=rows)
+    digests = found.digests().select(F.col("conv_id").alias("id"), F.col("sha256").alias("repaired_sha256"))
+    return found.report.join(digests, F.expr("conv_id <=> id")).drop("id")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixture, op3_near_duplicates, op4_html_extraction, op5_decontamination, op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_license_scan, op10_quality_rules, op11_conversation_repair)}
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.URL_FILTER,
     "op3_near_duplicates": oracles.NEAR_DUPLICATES,

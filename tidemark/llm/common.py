@@ -41,11 +41,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{tag}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and return the table; removed when the driver's JVM ends."""
+def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and return the table; removed when the driver's JVM ends.
+
+    With ``partition_by``, its last column, the table has a folder for each value of it."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path).getParent()
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_rules, byte_cnn, filter_audit, filter_cascade, language_id, license_scan, log_bloom, mixture, odd_sketch, oracles, site_templates, structure_repair, suffix_arrays
+from . import bk_trees, boosted_rules, byte_cnn, filter_audit, filter_cascade, language_id, license_scan, log_bloom, mixture, odd_sketch, oracles, site_templates, structure_repair, suffix_arrays
 from .common import read_table, remainder
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -95,7 +95,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(docs, read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixture, op3_near_duplicates, op4_html_extraction, op5_decontamination, op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_license_scan, op10_quality_rules, op11_conversation_repair, op12_filter_audit)}
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bk_trees.near_duplicates(docs, width=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixture, op3_near_duplicates, op4_html_extraction, op5_decontamination, op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_license_scan, op10_quality_rules, op11_conversation_repair, op12_filter_audit, op13_simhash_duplicates)}
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.URL_FILTER,
     "op3_near_duplicates": oracles.NEAR_DUPLICATES,

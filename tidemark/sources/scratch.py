@@ -29,3 +29,10 @@ def written_lines(df: DataFrame, tag: str) -> str:
     path = scratch_folder(df.sparkSession, tag)
     df.write.text(path)
     return path
+
+
+def written_table(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again, so that a lost executor costs a reread."""
+    path = scratch_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.redaction import Redactor
 from tidemark.functions.rules import CREDENTIAL_PREFIX
+from tidemark.operators.chunking import chunk_files, chunk_lines  # noqa: F401
 from tidemark.operators.state import put_verdicts, split_by_cache
 from tidemark.shipping import ship
 from tidemark.sources.corpus import byte_lines, read_cache, read_corpus
 
-MOST_BYTES = 200_000
 #: Verdicts that are appended to the cache at once.
 CACHE_BATCH = 10_000
-CHUNKS = "relpath string, chunk_no int, lines array<binary>, chunk_bytes long, oversize boolean"
 EVENTS = (
     "relpath string, chunk_no int, status string, flagged boolean, attempts int, elapsed_seconds double, chunk_bytes long, chunk_lines int, "
     "events array<struct<attempt:int,outcome:string,elapsed_seconds:double>>"
@@ -51,38 +50,6 @@ def select_sample(source: DataFrame, mirror: DataFrame, contrast: int = 10, seed
     return hot.withColumn("kind", F.lit("credential")).union(other.withColumn("kind", F.lit("contrast"))).orderBy("relpath")
 
 
-def chunk_lines(lines: list[bytes], most: int = MOST_BYTES) -> tuple[list[list[bytes]], list[bytes]]:
-    """Next-fit chunks of whole lines whose joined size (a byte between lines) is at most ``most``, and the lines that are longer."""
-    chunks: list[list[bytes]] = []
-    over: list[bytes] = []
-    size = 0
-    for line in lines:
-        if len(line) > most:
-            over.append(line)
-            continue
-        more = len(line) + (1 if size else 0)
-        if not chunks or size + more > most:
-            chunks.append([])
-            size, more = 0, len(line)
-        chunks[-1].append(line)
-        size += more
-    return chunks, over
-
-
-def chunk_files(lines: DataFrame, most: int = MOST_BYTES) -> DataFrame:
-    """Chunks of each file's ``lines`` (relpath, line_no, line) in order; a file is one group. Oversize lines get rows of their own."""
-    ship(lines.sparkSession)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no")
-        chunks, over = chunk_lines([bytes(x) for x in frame.line], most)
-        rel = frame.relpath.iloc[0]
-        rows = [(rel, i, c, sum(map(len, c)) + len(c) - 1, False) for i, c in enumerate(chunks)] + [(rel, -1, [x], len(x), True) for x in over]
-        return pd.DataFrame(rows, columns=["relpath", "chunk_no", "lines", "chunk_bytes", "oversize"])
-
-    return lines.groupBy("relpath").applyInPandas(run, CHUNKS)
-
-
 def parse_verdict(stdout: bytes) -> dict | None:
     m = re.search(r"\{.*\}", stdout.decode("utf-8", "replace"), re.S)
     try:

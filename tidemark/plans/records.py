@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.jsonwalk import KEEP_KEYS
-from tidemark.operators import leaves
+from tidemark.operators import chunking, leaves
 from tidemark.plans.catalog import query, table
 from tidemark.plans.files import _PLANTED_SQL, _planted
 
@@ -54,3 +54,19 @@ def json_findings(spark, sf_dir):
     raw = F.concat(F.lit('{"message":{"content":['), text, F.lit(']},"usage":'), note, F.lit(',"result":["none",'), note, F.lit("]}"))
     lines = _planted(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("relpath"), F.lit(0).cast("long").alias("line_no"), raw.alias("raw"))
     return leaves.leaf_findings(leaves.string_leaves(lines)).drop("line_no")
+
+
+@query("""WITH RECURSIVE t AS (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, strlen(text) AS b FROM documents WHERE strlen(text) BETWEEN 1 AND 20000
+), r AS (
+  SELECT source, k, 0 AS chunk_no, b AS size FROM t WHERE k = 1
+  UNION ALL SELECT t.source, t.k, CASE WHEN r.size + 1 + t.b > 20000 THEN r.chunk_no + 1 ELSE r.chunk_no END, CASE WHEN r.size + 1 + t.b > 20000 THEN t.b ELSE r.size + 1 + t.b END
+  FROM r JOIN t ON t.source = r.source AND t.k = r.k + 1
+) SELECT source AS relpath, chunk_no::INTEGER AS chunk_no, false AS oversize, count(*) AS lines, max(size)::BIGINT AS chunk_bytes FROM r GROUP BY ALL
+UNION ALL SELECT source, -1, true, count(*), sum(strlen(text))::BIGINT FROM documents WHERE strlen(text) > 20000 GROUP BY source""")
+def chunked_sources(spark, sf_dir):
+    """The documents of a source as the lines of one file, a third of all lines in one; longer ones are told apart."""
+    docs = table(spark, sf_dir, "documents").where("source is not null and octet_length(text) > 0")
+    lines = docs.select(F.col("source").alias("relpath"), F.col("doc_id").alias("line_no"), F.col("text").cast("binary").alias("line"))
+    chunks = chunking.chunk_files(lines, 20_000).select("relpath", "chunk_no", "oversize", F.size("lines").alias("n"), "chunk_bytes")
+    return chunks.groupBy("relpath", "chunk_no", "oversize").agg(F.sum("n").alias("lines"), F.sum("chunk_bytes").alias("chunk_bytes"))

@@ -187,7 +187,11 @@ def test_second_run_makes_no_calls(spark, tmp_path):
         assert cli.main(args) == 0
         told.append(json.loads((tmp_path / "out.json").read_text()))
     assert told[0]["dispatched"] == told[0]["ok"] == 4 and told[1]["dispatched"] == 0
-    assert len((tmp_path / "cache.jsonl").read_text().splitlines()) == 8
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "cache.jsonl").rglob("*.json")) == 8
+    assert [f["relpath"] for f in told[0]["files"]] == told[0]["contrast_relpaths"] + told[0]["credential_relpaths"] == [f"{i}.txt" for i in range(4)]
+    assert [(f["cache_hit_lines"], f["cache_miss_lines"], f["chunks"]) for f in told[0]["files"]] == [(0, 2, 1)] * 4
+    assert [(f["cache_hit_lines"], f["cache_miss_lines"], f["chunks"]) for f in told[1]["files"]] == [(2, 0, 0)] * 4
+    assert len(told[0]["call_events"]) == 4 and told[1]["call_events"] == [] and told[1]["ok_median" if "ok_median" in told[1] else "ok"] in (None, 0)
 
     class Caller(classify.RuleCaller):
         needs = ("--json",)

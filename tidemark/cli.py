@@ -54,11 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         for r in mirror.corpus_totals(results).toLocalIterator():
             print(f"{r.n}\t{r.entity_type}")
         return 0
-    metrics, _, _ = classify.classify_sample(spark, a.source, a.mirror, a.cache, a.contrast_n, a.seed)
+    metrics, picked, run = classify.classify_sample(spark, a.source, a.mirror, a.cache, a.contrast_n, a.seed)
     text = metrics.toJSON().first()
     if a.out:
-        with open(a.out, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
+        classify.write_metrics(a.out, metrics, picked, run)
     print(text)
     return 0
 

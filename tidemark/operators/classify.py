@@ -9,8 +9,11 @@ from __future__ import annotations
 import json
 import random
 import re
+import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +21,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.redaction import Redactor
 from tidemark.functions.rules import CREDENTIAL_PREFIX
-from tidemark.operators.chunking import chunk_files, chunk_lines  # noqa: F401
-from tidemark.operators.state import put_verdicts, split_by_cache
+from tidemark.operators.chunking import MOST_BYTES, chunk_files, chunk_lines  # noqa: F401
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.state import latest_verdicts
 from tidemark.shipping import ship
-from tidemark.sources.corpus import byte_lines, read_cache, read_corpus
+from tidemark.sources.corpus import append_verdicts, byte_lines, read_cache, read_corpus
+from tidemark.sources.scratch import written_table
 
-#: Verdicts that are appended to the cache at once.
-CACHE_BATCH = 10_000
 EVENTS = (
     "relpath string, chunk_no int, status string, flagged boolean, attempts int, elapsed_seconds double, chunk_bytes long, chunk_lines int, "
     "events array<struct<attempt:int,outcome:string,elapsed_seconds:double>>"
@@ -100,20 +103,26 @@ def dispatch_chunk(lines: list[bytes], caller, timeout: float = 60.0, attempts:
     return {"status": "ok" if verdict else "deferred", "flagged": verdict["flagged"] if verdict else None, "attempts": len(events), "elapsed_seconds": took, "events": events}
 
 
-def dispatch(chunks: DataFrame, make_caller=RuleCaller, **options) -> DataFrame:
-    """A call event for each chunk that is not oversize."""
+def dispatch(chunks: DataFrame, make_caller=RuleCaller, in_flight: int = 1, **options) -> DataFrame:
+    """A call event for each chunk that is not oversize. A task has up to ``in_flight`` calls under way, each thread with a caller
+    of its own; events keep the order of the chunks."""
     ship(chunks.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller = make_caller()
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                lines = [bytes(x) for x in r.lines]
-                d = dispatch_chunk(lines, caller, **options)
-                rows.append({"relpath": r.relpath, "chunk_no": r.chunk_no, **d, "chunk_bytes": r.chunk_bytes, "chunk_lines": len(lines)})
-            if rows:
-                yield pd.DataFrame(rows)[["relpath", "chunk_no", "status", "flagged", "attempts", "elapsed_seconds", "chunk_bytes", "chunk_lines", "events"]].astype({"flagged": "boolean"})
+        mine = threading.local()
+
+        def call(r) -> dict:
+            if not hasattr(mine, "caller"):
+                mine.caller = make_caller()
+            lines = [bytes(x) for x in r.lines]
+            d = dispatch_chunk(lines, mine.caller, **options)
+            return {"relpath": r.relpath, "chunk_no": r.chunk_no, **d, "chunk_bytes": r.chunk_bytes, "chunk_lines": len(lines)}
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                rows = list(pool.map(call, frame.itertuples()))
+                if rows:
+                    yield pd.DataFrame(rows)[["relpath", "chunk_no", "status", "flagged", "attempts", "elapsed_seconds", "chunk_bytes", "chunk_lines", "events"]].astype({"flagged": "boolean"})
 
     return chunks.where("not oversize").mapInPandas(run, EVENTS)
 
@@ -124,23 +133,29 @@ def file_verdicts(events: DataFrame) -> DataFrame:
 
 
 def cacheable_verdicts(events: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(line_hash, verdict) of the lines of answered chunks; deferred ones give nothing."""
+    """(line_hash, verdict) of the lines of answered chunks, one for each line, of its last chunk; deferred ones give nothing."""
     answered = events.where("status = 'ok'").select("relpath", "chunk_no", "flagged")
-    lines = chunks.join(answered, ["relpath", "chunk_no"]).select(F.explode("lines").alias("line"), "flagged")
-    return lines.select(F.sha2("line", 256).alias("line_hash"), F.when(F.col("flagged"), "FLAGGED").otherwise("CLEARED").alias("verdict"))
+    lines = chunks.join(answered, ["relpath", "chunk_no"]).select("relpath", "chunk_no", F.explode("lines").alias("line"), "flagged")
+    said = F.when(F.col("flagged"), "FLAGGED").otherwise("CLEARED")
+    return lines.groupBy(F.sha2("line", 256).alias("line_hash")).agg(F.max_by(said, F.struct("relpath", "chunk_no")).alias("verdict"))
 
 
 def call_metrics(events: DataFrame) -> DataFrame:
-    """One row: calls by status, latencies of answered and of all calls, flag rate, bytes."""
+    """One row: calls by status, latencies of answered and of all calls (exact medians), flag rate, bytes."""
+    calls = written_table(events.select("status", "flagged", "elapsed_seconds", "chunk_bytes"), "calls")
     ok = F.col("status") == "ok"
-    lat = F.when(ok, F.col("elapsed_seconds"))
-    return events.agg(
+    counts = calls.agg(
         F.count("*").alias("dispatched"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("deferred"),
-        F.min(lat).alias("ok_min"), F.median(lat).alias("ok_median"), F.max(lat).alias("ok_max"),
-        F.min("elapsed_seconds").alias("all_min"), F.median("elapsed_seconds").alias("all_median"), F.max("elapsed_seconds").alias("all_max"),
         F.count_if(F.col("flagged")).alias("chunks_flagged"), F.try_divide(F.count_if(F.col("flagged")), F.count_if(ok)).alias("fraction"),
-        F.coalesce(F.sum("chunk_bytes"), F.lit(0)).alias("total_bytes_dispatched"),
+        F.coalesce(F.sum("chunk_bytes"), F.lit(0)).alias("total_bytes_dispatched"), F.lit(1).alias("one"),
     )
+    kinds = F.explode(F.when(ok, F.array(F.lit("ok"), F.lit("all"))).otherwise(F.array(F.lit("all"))))
+    took = exact_quantiles(calls.select(kinds.alias("kind"), "elapsed_seconds"), ["kind"], "elapsed_seconds", {"median": 0.5})
+    of = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col(name)))
+    stats = took.agg(*[of(kind, c).alias(f"{kind}_{name}") for kind in ("ok", "all") for name, c in (("min", "least"), ("median", "median"), ("max", "most"))], F.lit(1).alias("one"))
+    both = counts.join(stats, "one")  # one row each
+    order = ["dispatched", "ok", "deferred", "ok_min", "ok_median", "ok_max", "all_min", "all_median", "all_max", "chunks_flagged", "fraction", "total_bytes_dispatched"]
+    return both.select(*order)
 
 
 def misses_in_order(lines: DataFrame, cached: DataFrame, answered: DataFrame) -> DataFrame:
@@ -151,10 +166,95 @@ def misses_in_order(lines: DataFrame, cached: DataFrame, answered: DataFrame) ->
     return left.where(F.col("first_file").isNull() | (F.col("first_file") >= F.col("relpath"))).drop("first_file")
 
 
+class Run(NamedTuple):
+    """``files``: a row for each file (relpath, total_lines, cache_hit_lines, cache_miss_lines, chunks, oversized_lines, file_flagged,
+    deferred_chunks); ``events``: the calls, with their wave; ``waves``: how many there were."""
+
+    files: DataFrame
+    events: DataFrame
+    waves: int
+
+
+def classify_lines(lines: DataFrame, cached: DataFrame, make_caller=RuleCaller, most: int = MOST_BYTES, keep: Callable[[DataFrame], None] | None = None, **options) -> Run:
+    """Send each line (relpath, line_no, line) once, in the first file by path that has it, unless its hash is in ``cached`` (line_hash).
+
+    A file's lines are sent in chunks; a line that stands in it several times is sent as often. Lines of a chunk
+    that is deferred pass on to the next file that has them, wave by wave, until each is answered or was tried in all its files.
+    So a file's chunks are those of a run in file order, except that what an earlier file could not settle is sent in chunks of its own.
+    ``keep`` gets the verdicts (line_hash, verdict) of each wave, at the latest when its calls are done. Lines longer
+    than ``most`` are never sent. A task that is run again calls again."""
+    hashed = written_table(lines.select("relpath", "line_no", "line", F.sha2("line", 256).alias("line_hash")), "lines")
+    new = hashed.join(cached.select("line_hash").distinct(), "line_hash", "left_anti")
+    pending = written_table(new.where(F.length("line") <= most), "pending")
+    sent, events, waves = [], None, 0
+    while not pending.isEmpty():
+        first = pending.groupBy("line_hash").agg(F.min("relpath").alias("relpath"))
+        wave = written_table(pending.join(first, ["line_hash", "relpath"]), "wave")
+        chunks = written_table(chunk_files(wave, most), "chunks")
+        calls = written_table(dispatch(chunks, make_caller, **options).withColumn("wave", F.lit(waves)), "events")
+        answered = written_table(cacheable_verdicts(calls, chunks), "answered")
+        if keep:
+            keep(answered)
+        sent.append(wave.groupBy("relpath").agg(F.count("*").alias("sent")))
+        events = calls if events is None else events.unionByName(calls)
+        left = pending.join(answered.select("line_hash"), "line_hash", "left_anti")
+        pending = written_table(left.join(first, ["line_hash", "relpath"], "left_anti"), "pending")
+        waves += 1
+    if events is None:
+        events = lines.sparkSession.createDataFrame([], f"{EVENTS}, wave int")
+    tried = hashed.groupBy("relpath").agg(F.count("*").alias("total_lines"))
+    over = new.where(F.length("line") > most).groupBy("relpath").agg(F.count("*").alias("oversized_lines"))
+    misses = None
+    for one in sent:
+        misses = one if misses is None else misses.unionByName(one)
+    verdicts = file_verdicts(events)
+    files = tried.join(over, "relpath", "left").join(verdicts, "relpath", "left")
+    if misses is not None:
+        files = files.join(misses.groupBy("relpath").agg(F.sum("sent").alias("sent")), "relpath", "left")
+    else:
+        files = files.withColumn("sent", F.lit(None).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    missed = zero(F.col("sent")) + zero(F.col("oversized_lines"))
+    files = files.select(
+        "relpath", "total_lines", (F.col("total_lines") - missed).alias("cache_hit_lines"), missed.alias("cache_miss_lines"), zero(F.col("chunks")).alias("chunks"),
+        zero(F.col("oversized_lines")).alias("oversized_lines"), F.coalesce("file_flagged", F.lit(False)).alias("file_flagged"), zero(F.col("deferred_chunks")).alias("deferred_chunks"),
+    )
+    return Run(files, events, waves)
+
+
+def run_metrics(run: Run) -> DataFrame:
+    """One row: the figures of ``call_metrics`` with the files, those flagged, and all oversize lines."""
+    calls = call_metrics(run.events).withColumn("one", F.lit(1))
+    files = run.files.agg(
+        F.count("*").alias("total_files"), F.count_if("file_flagged").alias("files_flagged"), F.coalesce(F.sum("oversized_lines"), F.lit(0)).alias("oversized_lines_total"),
+        F.coalesce(F.sum("cache_hit_lines"), F.lit(0)).alias("cache_hit_lines"), F.coalesce(F.sum("cache_miss_lines"), F.lit(0)).alias("cache_miss_lines"), F.lit(1).alias("one"),
+    )
+    return calls.join(files, "one").drop("one")  # one row each
+
+
+def write_metrics(path: str, metrics: DataFrame, picked: DataFrame, run: Run) -> None:
+    """One JSON file: the metrics, the sample by kind, the files and the calls; lists are written as they arrive."""
+    row = json.loads(metrics.toJSON().first())
+    lists = {
+        "credential_relpaths": picked.where("kind = 'credential'").select("relpath").orderBy("relpath"),
+        "contrast_relpaths": picked.where("kind = 'contrast'").select("relpath").orderBy("relpath"),
+        "files": run.files.orderBy("relpath"),
+        "call_events": run.events.orderBy("wave", "relpath", "chunk_no"),
+    }
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(row)[:-1])
+        for name, rows in lists.items():
+            f.write(f", {json.dumps(name)}: [")
+            for i, text in enumerate(rows.toJSON().toLocalIterator()):
+                f.write((",\n" if i else "\n") + (json.dumps(json.loads(text)["relpath"]) if name.endswith("relpaths") else text))
+            f.write("]")
+        f.write("}\n")
+
+
 def classify_sample(
     spark: SparkSession, source: str, mirror: str, cache_path: str | None = None, contrast: int = 10, seed: int = 0, make_caller=RuleCaller, **options
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(metrics, verdicts by file, events) of a run over a sample: lines with a cached verdict are not sent again,
+) -> tuple[DataFrame, DataFrame, Run]:
+    """(metrics, sample, run) over a sample of the mirror: lines with a cached verdict are not sent again,
     answered lines are added to the cache, so that a second run over the same files makes no calls.
 
     A caller that names options it ``needs`` must offer them in its ``help_text``, or nothing is sent."""
@@ -162,18 +262,11 @@ def classify_sample(
     for option in getattr(caller, "needs", ()):
         require_capability(caller.help_text(), option)
     files = read_corpus(spark, mirror)
-    picked = select_sample(read_corpus(spark, source), files, contrast, seed)
-    lines = byte_lines(files.join(picked, "relpath", "left_semi")).withColumn("line_hash", F.sha2("line", 256))
-    if cache_path:
-        lines, _ = split_by_cache(lines, read_cache(spark, cache_path))
-    chunks = chunk_files(lines.select("relpath", "line_no", "line")).persist()
-    events = dispatch(chunks, make_caller, **options).persist()
+    picked = written_table(select_sample(read_corpus(spark, source), files, contrast, seed), "sample")
+    lines = byte_lines(files.join(picked, "relpath", "left_semi"))
     if cache_path:
-        verdicts: dict[str, str] = {}
-        for r in cacheable_verdicts(events, chunks).toLocalIterator():
-            verdicts[r.line_hash] = r.verdict
-            if len(verdicts) == CACHE_BATCH:
-                put_verdicts(cache_path, verdicts)
-                verdicts = {}
-        put_verdicts(cache_path, verdicts)
-    return call_metrics(events), file_verdicts(events), events
+        cached = written_table(latest_verdicts(read_cache(spark, cache_path)), "cached")
+        run = classify_lines(lines, cached, make_caller, keep=lambda verdicts: append_verdicts(cache_path, verdicts), **options)
+    else:
+        run = classify_lines(lines, spark.createDataFrame([], "line_hash string"), make_caller, **options)
+    return run_metrics(run), picked, run

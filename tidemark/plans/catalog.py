@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import redaction, rules, text
 from tidemark.operators import audit, classify, mirror, state
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,7 +186,8 @@ def byte_share_by_role(spark, sf_dir):
 
 @query("SELECT event_type, min(value) AS lo, round(median(value), 6) AS mid, max(value) AS hi FROM events GROUP BY event_type")
 def value_stats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("lo"), F.round(F.median("value"), 6).alias("mid"), F.max("value").alias("hi"))
+    out = exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"mid": 0.5})
+    return out.select("event_type", F.col("least").alias("lo"), F.round("mid", 6).alias("mid"), F.col("most").alias("hi"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5")
@@ -203,8 +205,8 @@ def growth_check(spark, sf_dir):
 @query("""WITH r AS (SELECT event_type AS k, quantile_disc(value, 0.25) AS lo, quantile_disc(value, 0.5) AS hi FROM events GROUP BY 1)
 SELECT x.k AS a, y.k AS b, x.lo <= y.hi AND y.lo <= x.hi AS overlap FROM r x JOIN r y ON x.k < y.k""")
 def range_overlap(spark, sf_dir):
-    r = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k")).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY value)").alias("lo"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("hi"))
-    return audit.range_overlaps(r, "k", "lo", "hi")
+    r = exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"lo": 0.25, "hi": 0.5}, discrete=True)
+    return audit.range_overlaps(r, "event_type", "lo", "hi")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")

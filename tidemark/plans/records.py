@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.jsonwalk import KEEP_KEYS
-from tidemark.operators import chunking, leaves
+from tidemark.operators import chunking, classify, leaves
 from tidemark.plans.catalog import query, table
 from tidemark.plans.files import _PLANTED_SQL, _planted
 
@@ -70,3 +70,23 @@ def chunked_sources(spark, sf_dir):
     lines = docs.select(F.col("source").alias("relpath"), F.col("doc_id").alias("line_no"), F.col("text").cast("binary").alias("line"))
     chunks = chunking.chunk_files(lines, 20_000).select("relpath", "chunk_no", "oversize", F.size("lines").alias("n"), "chunk_bytes")
     return chunks.groupBy("relpath", "chunk_no", "oversize").agg(F.sum("n").alias("lines"), F.sum("chunk_bytes").alias("chunk_bytes"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT 'c' || conv_id AS relpath, turn AS line_no, text, strlen(text) AS b FROM conversations WHERE trim(text, ' ') <> '' AND NOT contains(text, chr(10))),
+new AS (SELECT * FROM l WHERE text NOT IN (SELECT text FROM l WHERE line_no = 5)),
+sent AS (SELECT relpath, b, row_number() OVER (PARTITION BY relpath ORDER BY line_no) AS k FROM new JOIN (SELECT text, min(relpath) AS f FROM new GROUP BY text) USING (text) WHERE f = relpath AND b <= 600),
+r AS (
+  SELECT relpath, k, 1 AS chunks, b AS size FROM sent WHERE k = 1
+  UNION ALL SELECT sent.relpath, sent.k, CASE WHEN r.size + 1 + sent.b > 600 THEN r.chunks + 1 ELSE r.chunks END, CASE WHEN r.size + 1 + sent.b > 600 THEN sent.b ELSE r.size + 1 + sent.b END
+  FROM r JOIN sent ON sent.relpath = r.relpath AND sent.k = r.k + 1
+)
+SELECT l.relpath, count(*) AS total_lines, coalesce(any_value(s.n), 0) + coalesce(any_value(o.n), 0) AS cache_miss_lines, count(*) - coalesce(any_value(s.n), 0) - coalesce(any_value(o.n), 0) AS cache_hit_lines,
+  coalesce(any_value(s.chunks), 0)::BIGINT AS chunks, coalesce(any_value(o.n), 0) AS oversized_lines, false AS file_flagged, 0::BIGINT AS deferred_chunks
+FROM l LEFT JOIN (SELECT relpath, count(*) AS n, max(chunks) AS chunks FROM r GROUP BY relpath) s USING (relpath)
+LEFT JOIN (SELECT relpath, count(*) AS n FROM new WHERE b > 600 GROUP BY relpath) o USING (relpath) GROUP BY l.relpath""")
+def classified_files(spark, sf_dir):
+    """Conversations as files: lines known from the fifth turns are not sent, others once, in the first file that has them."""
+    turns = table(spark, sf_dir, "conversations").where("trim(text) <> '' and not contains(text, '\n')")
+    lines = turns.select(F.concat(F.lit("c"), "conv_id").alias("relpath"), F.col("turn").alias("line_no"), F.col("text").cast("binary").alias("line"))
+    cached = lines.where("line_no = 5").select(F.sha2("line", 256).alias("line_hash"))
+    return classify.classify_lines(lines, cached, most=600).files

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,15 +129,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The append-only verdict log (line_hash, verdict, seq); a missing file is an empty log.
+def _is_file(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
 
-    ``seq`` orders the entries as written; of a folder, the files follow each other by name."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], CACHE)
-    rows = spark.read.schema("line_hash string, verdict string").json(path)
-    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return rows.select("line_hash", "verdict", place.alias("seq")).where("line_hash is not null")
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The append-only verdict log (line_hash, verdict, seq); a missing one is empty.
+
+    ``seq`` orders the entries as written. The log is a folder, in which files and folders follow each other by name, or one
+    file; what was appended to a file lies in the folder of its name with ``.d`` behind it."""
+    out = None
+    for nr, at in enumerate((path, path + ".d")):
+        if _exists(spark, at):
+            rows = spark.read.schema("line_hash string, verdict string").option("recursiveFileLookup", True).json(at)
+            place = F.struct(F.lit(nr).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+            rows = rows.select("line_hash", "verdict", place.alias("seq")).where("line_hash is not null")
+            out = rows if out is None else out.union(rows)
+    return spark.createDataFrame([], CACHE) if out is None else out
+
+
+def append_verdicts(path: str, verdicts: DataFrame) -> None:
+    """Add the table ``verdicts`` (line_hash, verdict) to the log, as files of a new folder that tasks write."""
+    spark = verdicts.sparkSession
+    folder = path + ".d" if _is_file(spark, path) else path
+    verdicts.select("line_hash", "verdict").write.json(f"{folder.rstrip('/')}/{time.time_ns():020d}")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries; importing any of them registers all."""
 
-from tidemark.plans import catalog, files, records, runs  # noqa: F401
+from tidemark.plans import catalog, files, records, runs, streams  # noqa: F401

@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         print(summary.toJSON().first())
         return int(failed)
     if a.command == "check":
-        results = mirror.check_files(read_corpus(spark, a.source)).persist()
+        results = mirror.check_files(read_corpus(spark, a.source, most_text=mirror.MOST_TEXT_BYTES)).persist()
         for r in results.where("error is not null").orderBy("relpath").toLocalIterator():
             print(f"skipped\t{r.relpath}\t{r.error}")
         by_file = mirror.counts_by_file(results)

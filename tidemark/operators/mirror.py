@@ -20,14 +20,16 @@ from tidemark.functions import jsonwalk
 from tidemark.functions.redaction import Redactor
 from tidemark.functions.text import content_hash
 from tidemark.shipping import ship
-from tidemark.sources.corpus import assert_safe_target, list_files, read_corpus, write_file_atomically
+from tidemark.sources.corpus import read_corpus, write_file_atomically
+from tidemark.sources.scratch import written_table
+from tidemark.sources.tree import SUFFIXES, assert_safe_target, delete_files, list_tree, read_files, write_tree
 
 MOST_TEXT_BYTES = 8 * 1024 * 1024
 MOST_SPAN = 64 * 1024
 SKIP_CEILING = 3
 RESULT = (
     "relpath string, suffix string, error string, src_lines long, mirror_lines long, collapsed boolean, "
-    "entity_counts map<string,long>, output binary"  # null if written to a mirror
+    "entity_counts map<string,long>, output binary"
 )
 #: Fixed value: the kinds of text errors that have a bucket of their own; any other is an OS error.
 BUCKETS = {
@@ -83,29 +85,30 @@ def redact_jsonl(data: bytes, redactor: Redactor, stats: Counter, tolerate_last:
     return out, len(text.splitlines()), len(out.splitlines()), False
 
 
-def redact_files(files: DataFrame, tolerate_last: bool = True, target: str | None = None) -> DataFrame:
+def redact_files(files: DataFrame, tolerate_last: bool = True) -> DataFrame:
     """``files`` (relpath, suffix, content) to a table of results; output is null where an error is told.
 
-    With ``target`` the tasks write each output there, atomically, and return no output."""
+    A file without content, of which the size is known, is one that was too large to be read."""
     ship(files.sparkSession)
+    size = F.col("size") if "size" in files.columns else F.length("content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         redactor = Redactor()
         for frame in frames:
             rows = []
-            for rel, suffix, data in zip(frame.relpath, frame.suffix, frame.content, strict=True):
+            for rel, suffix, data, n in zip(frame.relpath, frame.suffix, frame.content, frame["size"], strict=True):
                 stats: Counter = Counter()
                 try:
+                    if data is None:
+                        raise OversizeTextError(f"{n:.0f} bytes")
                     data = bytes(data)
                     out, src, dst, collapsed = redact_jsonl(data, redactor, stats, tolerate_last) if suffix == ".jsonl" else redact_text(data, redactor, stats)
-                    if target is not None:
-                        write_file_atomically(os.path.join(target, rel), out.encode())
-                    rows.append((rel, suffix, None, src, dst, collapsed, dict(stats), out.encode() if target is None else None))
+                    rows.append((rel, suffix, None, src, dst, collapsed, dict(stats), out.encode()))
                 except PER_FILE as e:
                     rows.append((rel, suffix, f"{type(e).__name__}: {e}", None, None, None, {}, None))
             yield pd.DataFrame(rows, columns=["relpath", "suffix", "error", "src_lines", "mirror_lines", "collapsed", "entity_counts", "output"]).astype({"src_lines": "Int64", "mirror_lines": "Int64", "collapsed": "boolean"})
 
-    return files.select("relpath", "suffix", "content").mapInPandas(run, RESULT)
+    return files.select("relpath", "suffix", "content", size.alias("size")).mapInPandas(run, RESULT)
 
 
 def check_text(data: bytes, suffix: str, redactor: Redactor, stats: Counter) -> None:
@@ -131,17 +134,20 @@ def check_files(files: DataFrame) -> DataFrame:
         redactor = Redactor()
         for frame in frames:
             rows = []
-            for rel, suffix, data in zip(frame.relpath, frame.suffix, frame.content, strict=True):
+            for rel, suffix, data, n in zip(frame.relpath, frame.suffix, frame.content, frame["size"], strict=True):
                 stats: Counter = Counter()
                 error = None
                 try:
+                    if data is None:
+                        raise OversizeTextError(f"{n:.0f} bytes")
                     check_text(bytes(data), suffix, redactor, stats)
                 except OversizeTextError as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append((rel, error, dict(stats)))
             yield pd.DataFrame(rows, columns=["relpath", "error", "entity_counts"])
 
-    return files.select("relpath", "suffix", "content").mapInPandas(run, "relpath string, error string, entity_counts map<string,long>")
+    size = F.col("size") if "size" in files.columns else F.length("content")
+    return files.select("relpath", "suffix", "content", size.alias("size")).mapInPandas(run, "relpath string, error string, entity_counts map<string,long>")
 
 
 def summarize(results: DataFrame, unchanged: DataFrame) -> DataFrame:
@@ -158,7 +164,9 @@ def summarize(results: DataFrame, unchanged: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(~ok & ~txt), F.lit(False)).alias("any_jsonl_error"),
     )
     skips = sum((F.col(c) for c in (*BUCKETS.values(), "files_skipped_os_error_txt")), F.lit(0))
-    return row.select("*", F.lit(unchanged.count()).alias("unchanged_count"), (skips > SKIP_CEILING).alias("skip_ceiling_exceeded"), ((skips > SKIP_CEILING) | F.col("any_jsonl_error")).alias("failed"))
+    same = unchanged.agg(F.count("*").alias("unchanged_count"), F.lit(1).alias("one"))
+    row = row.withColumn("one", F.lit(1)).join(same, "one").drop("one")  # one row each
+    return row.select("*", (skips > SKIP_CEILING).alias("skip_ceiling_exceeded"), ((skips > SKIP_CEILING) | F.col("any_jsonl_error")).alias("failed"))
 
 
 def unchanged_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -193,74 +201,95 @@ def corpus_totals(results: DataFrame) -> DataFrame:
     return counts_by_file(results).groupBy("entity_type").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity_type")
 
 
-def _remove(root: str, wanted) -> list[str]:
-    gone = []
-    for folder, _, names in os.walk(root):
-        for name in names:
-            at = os.path.join(folder, name)
-            if wanted(os.path.relpath(at, root)):
-                os.unlink(at)
-                gone.append(os.path.relpath(at, root))
-    return sorted(gone)
-
-
 def residue(mirror: DataFrame) -> DataFrame:
     """(relpath, entity_type, n): what a scan of the finished mirror still finds. Own placeholders are no findings."""
     return counts_by_file(check_files(mirror))
 
 
-def _snapshot(spark: SparkSession, source: str) -> DataFrame:
-    return spark.createDataFrame(list_files(source), "relpath string, suffix string, mtime_ns long, size long")
+def _write_parts(path: str, head: dict, lists: dict[str, tuple[str, Iterator[str]]]) -> None:
+    """A JSON object with the entries of ``head`` and, member by member as they arrive, its long ``lists``: name to brackets and JSON texts."""
+
+    def put(tmp: str) -> None:
+        with open(tmp, "w", encoding="utf-8") as f:
+            f.write("{")
+            for i, (name, value) in enumerate(head.items()):
+                f.write((",\n" if i else "\n") + f"{json.dumps(name)}: {json.dumps(value)}")
+            for i, (name, (brackets, texts)) in enumerate(lists.items()):
+                f.write((",\n" if head or i else "\n") + (f"{json.dumps(name)}: " if name else "") + brackets[:-1])
+                for k, text in enumerate(texts):
+                    f.write((",\n  " if k else "\n  ") + text)
+                f.write(brackets[1:])
+            f.write("\n}\n")
+
+    write_file_atomically(path, put)
 
 
-def _snapshot_json(files: DataFrame) -> str:
-    return json.dumps({r.relpath: {"mtime_ns": r.mtime_ns, "size": r["size"]} for r in files.toLocalIterator()}, indent=2)
+def _write_snapshot(path: str, files: DataFrame) -> None:
+    rows = files.orderBy("relpath").toLocalIterator()
+    _write_parts(path, {}, {"": ("  ", (f"{json.dumps(r.relpath)}: {json.dumps({'mtime_ns': r.mtime_ns, 'size': r['size']})}" for r in rows))})
 
 
-def run_record(results: DataFrame, summary: DataFrame, run_id: str, source: str, target: str) -> dict:
-    """The run's summary as it is kept in a file: counts, errors and line counts by path, skipped paths by kind."""
+def write_summary(path: str, results: DataFrame, summary: DataFrame, **head) -> None:
+    """The run's summary as a file: counts, errors and line counts by path, skipped paths by kind. Lists are written as they arrive."""
     row = summary.first().asDict()
-    record = {"run_id": run_id, "source_root": source, "mirror_root": target}
-    record |= {k: v for k, v in row.items() if k not in ("any_jsonl_error", "failed", "skip_ceiling_exceeded")}
-    kept = results.where("error is null").select("relpath", "src_lines", "mirror_lines")
-    record["errors"] = {r.relpath: r.error for r in results.where("error is not null").select("relpath", "error").orderBy("relpath").toLocalIterator()}
-    record["src_line_counts"], record["mirror_line_counts"] = {}, {}
-    for r in kept.orderBy("relpath").toLocalIterator():
-        record["src_line_counts"][r.relpath], record["mirror_line_counts"][r.relpath] = r.src_lines, r.mirror_lines
-    skipped: dict[str, list[str]] = {k: [] for k in (*BUCKETS.values(), "files_skipped_os_error_txt")}
-    for path, error in record["errors"].items():
-        if path.endswith(".txt"):
-            skipped[BUCKETS.get(error.split(":")[0], "files_skipped_os_error_txt")].append(path)
-    record["skipped_txt_paths"] = skipped
-    record["line_count_convention"] = {"jsonl": "splitlines()", "txt": "count(\\n)"}
-    return record
+    head |= {k: v for k, v in row.items() if k not in ("any_jsonl_error", "failed", "skip_ceiling_exceeded")}
+    wrong = results.where("error is not null").orderBy("relpath")
+    kept = results.where("error is null").orderBy("relpath")
+    kind = F.regexp_extract("error", "^([A-Za-z]+):", 1)
+    bucket = F.coalesce(*[F.when(kind == k, v) for k, v in BUCKETS.items()], F.lit("files_skipped_os_error_txt"))
+    by_kind = wrong.where("suffix = '.txt'").select("relpath", bucket.alias("bucket"))
+
+    def pairs(rows: DataFrame, column: str) -> Iterator[str]:
+        return (f"{json.dumps(r.relpath)}: {json.dumps(r[column])}" for r in rows.select("relpath", column).toLocalIterator())
+
+    def skipped() -> Iterator[str]:
+        for name in (*BUCKETS.values(), "files_skipped_os_error_txt"):
+            yield f"{json.dumps(name)}: [" + ", ".join(json.dumps(r.relpath) for r in by_kind.where(F.col("bucket") == name).toLocalIterator()) + "]"
+
+    _write_parts(
+        path,
+        head | {"line_count_convention": {"jsonl": "splitlines()", "txt": "count(\\n)"}},
+        {"errors": ("{}", pairs(wrong, "error")), "src_line_counts": ("{}", pairs(kept, "src_lines")), "mirror_line_counts": ("{}", pairs(kept, "mirror_lines")), "skipped_txt_paths": ("{}", skipped())},
+    )
+
+
+def clean_mirror(spark: SparkSession, target: str, processed: DataFrame) -> None:
+    """Left-over .tmp files go, then files of earlier runs; anything but .jsonl and .txt that is left is an error. Tasks delete."""
+    there = list_tree(spark, target, None)
+    delete_files(there.where("suffix = '.tmp'"), target)
+    ours = F.col("suffix").isin(*SUFFIXES)
+    delete_files(stale_files(there.where(ours), processed), target)
+    strange = [r.relpath for r in there.where(~ours & (F.col("suffix") != ".tmp")).limit(5).collect()]
+    if strange:
+        raise AssertionError(f"unexpected files in the mirror: {strange}")
 
 
 def build_mirror(spark: SparkSession, source: str, target: str, protected: str | None = None, runs: str | None = None, run_id: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Write the mirror of ``source`` below ``target``: (results, summary, failed).
 
-    Tasks write their own files, so ``target`` must be mounted on all executors. Left-over .tmp files
-    and files of earlier runs are removed, then only .jsonl and .txt may be there. With ``runs`` the
+    The files of one listing are read, masked into a table and written from it as a transaction, so each is read once
+    and a lost executor changes nothing. No target may lead into the protected tree, file by file. Both trees must be mounted on
+    all executors. Left-over .tmp files and files of earlier runs are removed, then only .jsonl and .txt may be there. With ``runs`` the
     snapshots before and after and the summary are kept in a folder of the run there, and the summary, with the verdict
     on skipped files, beside the mirror as well."""
     assert_safe_target(target, protected or source)
-    before = _snapshot(spark, source)
-    results = redact_files(read_corpus(spark, source), target=target).drop("output").persist()
-    done = {r.relpath for r in results.where("error is null").select("relpath").toLocalIterator()}
-    _remove(target, lambda rel: rel.endswith(".tmp") or (rel.endswith((".jsonl", ".txt")) and rel not in done))
-    strange = [os.path.join(f, n) for f, _, names in os.walk(target) for n in names if not n.endswith((".jsonl", ".txt"))]
-    if strange:
-        raise AssertionError(f"unexpected files in the mirror: {strange[:5]}")
-    after = _snapshot(spark, source)
-    summary = summarize(results, unchanged_files(before, after))
+    before = list_tree(spark, source)
+    results = written_table(redact_files(read_files(before, source, MOST_TEXT_BYTES)), "results")
+    done = results.where("error is null")
+    write_tree(done.select("relpath", "output"), target, protected or source)
+    results = results.drop("output")
+    clean_mirror(spark, target, done)
+    after = list_tree(spark, source)
+    summary = written_table(summarize(results, unchanged_files(before, after)), "summary")
     verdict = summary.first()
     if runs:
         run_id = run_id or datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
-        record = run_record(results, summary, run_id, source, target)
-        for name, text in (("snapshot-pre", _snapshot_json(before)), ("snapshot-post", _snapshot_json(after)), ("summary", json.dumps(record, indent=2))):
-            write_file_atomically(os.path.join(runs, run_id, f"{name}.json"), text.encode())
-        fixed = json.dumps(record | {"skip_ceiling_exceeded": bool(verdict.skip_ceiling_exceeded)}, indent=2)
-        write_file_atomically(os.path.join(os.path.dirname(os.path.abspath(target)), "summary.json"), fixed.encode())
+        for name, files in (("snapshot-pre", before), ("snapshot-post", after)):
+            _write_snapshot(os.path.join(runs, run_id, f"{name}.json"), files)
+        told = {"run_id": run_id, "source_root": source, "mirror_root": target}
+        write_summary(os.path.join(runs, run_id, "summary.json"), results, summary, **told)
+        beside = os.path.join(os.path.dirname(os.path.abspath(target)), "summary.json")
+        write_summary(beside, results, summary, **told, skip_ceiling_exceeded=bool(verdict.skip_ceiling_exceeded))
     return results, summary, bool(verdict.failed)
 
 
@@ -271,7 +300,7 @@ def publication_checks(spark: SparkSession, target: str) -> dict[str, bool | Non
     if os.path.exists(at):
         with open(at, encoding="utf-8") as f:
             ceiling = json.load(f).get("skip_ceiling_exceeded") is False
-    return {"ceiling": ceiling, "residue": residue(read_corpus(spark, target)).isEmpty()}
+    return {"ceiling": ceiling, "residue": residue(read_corpus(spark, target, most_text=MOST_TEXT_BYTES)).isEmpty()}
 
 
 def gates(**checks: bool) -> tuple[bool, list[str]]:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.jsonwalk import KEEP_KEYS
-from tidemark.operators import chunking, classify, leaves
+from tidemark.operators import chunking, classify, leaves, mirror
 from tidemark.plans.catalog import query, table
-from tidemark.plans.files import _PLANTED_SQL, _planted
+from tidemark.plans.files import _DIGEST_STAYS, _N, _PLACE, _PLANTED_SQL, _planted, _quoted
+from tidemark.sources import tree
+from tidemark.sources.scratch import scratch_folder
 
 _KEPT = "|".join(sorted(KEEP_KEYS))
 _NARROW = r"^\$\.(message\.content\[[0-9]+\]\.text|content|summary|title)$"
@@ -90,3 +92,20 @@ def classified_files(spark, sf_dir):
     lines = turns.select(F.concat(F.lit("c"), "conv_id").alias("relpath"), F.col("turn").alias("line_no"), F.col("text").cast("binary").alias("line"))
     cached = lines.where("line_no = 5").select(F.sha2("line", 256).alias("line_hash"))
     return classify.classify_lines(lines, cached, most=600).files
+
+
+_MASKED = " ".join(f"WHEN {i} THEN {_quoted(p)}" + (" || md5(c_custkey::VARCHAR)" if i in _DIGEST_STAYS else "") for i, p in enumerate(_PLACE))
+
+
+@query(f"""SELECT 'd' || c_custkey % 7 || '/' || c_custkey || '.txt' AS relpath, CASE WHEN c_custkey % 500 = 0 THEN 'OversizeTextError' ELSE 'none' END AS error,
+  CASE WHEN c_custkey % 500 <> 0 THEN strlen('note ' || CASE c_custkey % {_N} {_MASKED} END || ' end') ELSE -1 END::BIGINT AS size,
+  CASE WHEN c_custkey % 500 <> 0 THEN sha256('note ' || CASE c_custkey % {_N} {_MASKED} END || ' end') ELSE 'none' END AS hash FROM customer""")
+def mirrored_files(spark, sf_dir):
+    """A tree of notes, written, listed and mirrored; every five-hundredth is over the size limit. The mirror is listed and read again."""
+    root = scratch_folder(spark, "tree").removeprefix("file://")
+    name = F.concat(F.lit("d"), F.col("c_custkey") % 7, F.lit("/"), "c_custkey", F.lit(".txt"))
+    large = F.when(F.col("c_custkey") % 500 == 0, F.rpad("text", mirror.MOST_TEXT_BYTES + 1, " ")).otherwise(F.col("text"))
+    tree.write_tree(_planted(spark, sf_dir).select(name.alias("relpath"), large.cast("binary").alias("output")), f"{root}/source")
+    results, _, _ = mirror.build_mirror(spark, f"{root}/source", f"{root}/mirror")
+    there = tree.read_files(tree.list_tree(spark, f"{root}/mirror"), f"{root}/mirror").select("relpath", "size", F.sha2("content", 256).alias("hash"))
+    return results.select("relpath", F.coalesce(F.split("error", ":")[0], F.lit("none")).alias("error")).join(there, "relpath", "left").fillna({"size": -1, "hash": "none"})

@@ -6,19 +6,14 @@ import json
 import os
 import time
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.shipping import ship
+from tidemark.sources.tree import SUFFIXES, UnsafeTargetError, assert_safe_target, list_tree, read_files  # noqa: F401
 
-SUFFIXES = (".jsonl", ".txt")
-FILES = T.StructType([T.StructField("relpath", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("mtime_ns", T.LongType()), T.StructField("size", T.LongType())])
 CACHE = "line_hash string, verdict string, seq long"
 LEDGER = "v int, at string, content_hash string, decision string, reason string, path_hint string, operator string"
 METRICS = "timestamp string, disk_pct string, dimm1_temp string, zombies string, failed_units string, gpu_pm string, journal_size_mb string, cpu_tctl string, gpu_temp string, load1 string, dimm2_temp string"
@@ -38,57 +33,12 @@ def list_files(root: str) -> list[tuple[str, str, int, int]]:
     return sorted(out)
 
 
-@dataclass
-class Files(InputPartition):
-    rows: list
+def read_corpus(spark: SparkSession, root: str, content: bool = True, most_text: int | None = None) -> DataFrame:
+    """The .jsonl and .txt files below ``root``: relpath, suffix, mtime_ns, size and, unless left out, content.
 
-
-class CorpusReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.root = options["path"]
-        self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64_000_000)))
-        self.content = str(options.get("content", "true")).lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        """Runs of files of about equal bytes; contents are read by the tasks."""
-        groups, size = [[]], 0
-        for row in list_files(self.root):
-            if size + row[3] > self.bytes and groups[-1]:
-                groups.append([])
-                size = 0
-            groups[-1].append(row)
-            size += row[3]
-        return [Files(g) for g in groups]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for rel, suffix, mtime, size in partition.rows:
-            data = None
-            if self.content:
-                with open(os.path.join(self.root, rel), "rb") as f:
-                    data = f.read()
-            yield rel, suffix, mtime, size, data
-
-
-class CorpusSource(DataSource):
-    """``spark.read.format("corpus").load(root)``: relpath, suffix, mtime_ns, size, content. The tree
-    must be mounted at the same path on all executors. Option content=false lists only."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "corpus"
-
-    def schema(self) -> T.StructType:
-        return T.StructType([*FILES.fields, T.StructField("content", T.BinaryType())])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return CorpusReader(dict(self.options))
-
-
-def read_corpus(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    ship(spark)
-    spark.dataSource.register(CorpusSource)
-    df = spark.read.format("corpus").option("content", str(content).lower()).load(root)
-    return df if content else df.drop("content")
+    Tasks list and read; a .txt file of more than ``most_text`` bytes is not opened and has no content."""
+    files = list_tree(spark, root)
+    return read_files(files, root, most_text) if content else files
 
 
 def strict_text(content) -> F.Column:
@@ -197,13 +147,16 @@ def append_lines(path: str, rows: list[dict], header: list[str] | None = None) -
             f.write(("\t".join(str(r.get(h, "unknown")) for h in header) if header else json.dumps(r, ensure_ascii=False)) + "\n")
 
 
-def write_file_atomically(path: str, data: bytes, verify=None) -> None:
-    """Write beside the target, verify, then replace; nothing is left behind after an error."""
+def write_file_atomically(path: str, data: bytes | Callable[[str], None], verify=None) -> None:
+    """Write beside the target (bytes, or by a function that gets the path), verify, then replace; nothing is left behind after an error."""
     tmp = path + ".tmp"
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     try:
-        with open(tmp, "wb") as f:
-            f.write(data)
+        if callable(data):
+            data(tmp)
+        else:
+            with open(tmp, "wb") as f:
+                f.write(data)
         if verify:
             verify(tmp)
         os.replace(tmp, path)
@@ -213,17 +166,6 @@ def write_file_atomically(path: str, data: bytes, verify=None) -> None:
         raise
 
 
-class UnsafeTargetError(RuntimeError):
-    pass
-
-
-def assert_safe_target(path: str, protected_root: str) -> None:
-    """Refuse any target inside the protected tree, links resolved."""
-    target, root = Path(path).resolve(), Path(protected_root).resolve()
-    if target == root or root in target.parents:
-        raise UnsafeTargetError(f"{target} is inside {root}")
-
-
 def retain(lines: DataFrame, keep: int, order_col: str = "line_no") -> DataFrame:
     """The last ``keep`` lines of a log."""
     return lines.orderBy(F.desc(order_col)).limit(keep)

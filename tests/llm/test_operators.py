@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html.parser
+import itertools
 import math
 import random
 import re
@@ -719,21 +720,20 @@ def own_licenses(rows, least=license_scan.LEAST_COSINE):
     idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
     vector = lambda ws: {w: n * idf(w) for w, n in collections.Counter(ws).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    sizes = license_scan.run_sizes(max(len(split(t)) for _, t in license_scan.TEMPLATES))
-    templates = [(name, next(s for s in sizes if s >= len(split(t))), vector(split(t))) for name, t in license_scan.TEMPLATES]
+    templates = [(name, len(split(t)), vector(split(t))) for name, t in license_scan.TEMPLATES]
+    longest = max(n for _, n, _ in templates)
     out = []
     for path, text in rows:
         ws, best = split(text), []
         for name, size, tv in templates:
-            begins = {*range(0, max(0, len(ws) - size) + 1, max(1, size // 4)), max(0, len(ws) - size)}
-            some = [ws[b : b + size] for b in begins]
-            if re.search(license_scan.LICENSE_FILE, path or "") and len(ws) > sizes[-1]:
+            some = [ws[b : b + size] for b in range(max(0, len(ws) - size) + 1)]
+            if re.search(license_scan.LICENSE_FILE, path or "") and len(ws) > longest:
                 some.append(ws)
             for run in some:
                 v = vector(run)
                 cosine = sum(x * tv.get(w, 0) for w, x in v.items()) / (norm(v) * norm(tv)) if v else 0
-                best.append((round(cosine, 9), [-ord(c) for c in name], name))
-        out.append(max(best)[2] if max(best)[0] >= least else None)
+                best.append((round(cosine, 9), size, [-ord(c) for c in name], name))
+        out.append(max(best)[3] if max(best)[0] >= least else None)
     return out
 
 
@@ -750,6 +750,18 @@ def test_licenses_like_brute_force(spark):
     assert sum(w is not None for w in want) >= 55
 
 
+def test_every_template_is_found_anywhere_in_prose(spark):
+    rng = random.Random(12)
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text and len(r.text.split()) > 60]
+    part = lambda n: " ".join((rng.choice(prose).split() * 9)[:n])
+    rows = [(f"{i}/{k}.txt", f"{part(rng.randint(30, 200))} {text} {part(rng.randint(30, 200))}") for i, (_, text) in enumerate(license_scan.TEMPLATES) for k in range(3)]
+    rows += [(f"far/{i}.txt", f"{part(4)} " * n + text + f" {part(40)}") for i, (n, (_, text)) in enumerate(itertools.product((249, 300, 2000), license_scan.TEMPLATES[::7]))]
+    got = {r.path: (r.license, r.cosine) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    name = {f"{i}/{k}.txt": n for i, (n, _) in enumerate(license_scan.TEMPLATES) for k in range(3)} | {f"far/{i}.txt": n for i, (_, (n, _)) in enumerate(itertools.product((249, 300, 2000), license_scan.TEMPLATES[::7]))}
+    assert {p: got[p][1] for p, _ in rows} == {p: pytest.approx(1.0) for p, _ in rows}
+    assert {p: got[p][0] for p, _ in rows} == name
+
+
 def test_wrapped_headers_and_whole_licences(spark):
     by = {name: [t for n, t in license_scan.TEMPLATES if n == name] for name, _ in license_scan.TEMPLATES}
     fill = lambda t, mark: "\n".join(mark + line for line in re.findall(r".{1,70}(?:\s|$)", t))

@@ -1,13 +1,14 @@
 """License scans (DataFrame code only): TF-IDF cosine of passages to templates, then directory inheritance.
 
 1. Every file's different words are counted over the whole corpus; words are weighted by tf * idf.
-2. A template is compared with runs of words of its own length (the next of a few sizes, begun at every
-   quarter of a run), so line breaks, comment marks and what stands around a notice do not matter; a licence
-   file is compared as a whole as well. A run can only reach the threshold if it holds one of some of the
-   template's words, the rarest ones in the corpus, without which the rest of its weight stays below the
-   threshold (by Cauchy's inequality), so only runs around such words are formed, and nothing is lost.
-3. The runs' words meet their idf in a join and the templates' words (a table of fixed size) in another;
-   the best cosine at or above the threshold gives the file's own licence.
+2. A template is compared with every run of its number of words, wherever it begins, so line breaks, comment
+   marks and what stands around a notice do not matter; a licence file is compared as a whole as well. A run
+   can only reach the threshold if it holds one of some of the template's words, the rarest ones in the
+   corpus, without which the rest of its weight stays below the threshold (by Cauchy's inequality). Texts
+   are cut into overlapping segments, those with such a word get the idf of their words by a join, and in
+   these the regions around the words are looked at.
+3. In a region running sums bound the cosine of each run from above (as if no word came twice); where the
+   bound reaches the threshold the cosine is computed. The best one gives the file's own licence.
 4. Files without a licence of their own take that of the nearest licence file in their directory or an
    ancestor: each distinct directory (not each file) is exploded to its ancestors and joined by path
    with the directories that have a licence file; the longest one wins.
@@ -15,7 +16,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +88,8 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 #: Fixed value: names of licence files.
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying)([-_.][^/]*)?$"
 LEAST_COSINE = 0.75
-#: Ratio of neighbouring sizes of runs, the smallest size, and the begins of runs within one.
-SIZE_RATIO, LEAST_SIZE, BEGINS = 1.5, 4, 4
+#: Words of a segment, besides those that the longest template's last run needs.
+SEGMENT = 1000
 
 
 def words(text: Column) -> Column:
@@ -94,13 +97,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def run_sizes(longest: int) -> list[int]:
-    sizes = [LEAST_SIZE]
-    while sizes[-1] < longest:
-        sizes.append(int(sizes[-1] * SIZE_RATIO) + 1)
-    return sizes
-
-
 def needed_words(weights: dict[str, float], df: dict[str, int], least: float) -> list[str]:
     """The rarest words of a template, without which the others' weight cannot reach a cosine of ``least``."""
     left = total = sum(w * w for w in weights.values())
@@ -113,26 +109,68 @@ def needed_words(weights: dict[str, float], df: dict[str, int], least: float) ->
     return out
 
 
-def runs(ws: Column, needed: dict[int, list[str]], whole: Column, longest: int) -> Column:
-    """The runs (size, at, words) of the array ``ws`` that hold a needed word of a template of their size, and,
-    where ``whole`` is true and it is longer than any of them, all of it (size -1)."""
-    def of_size(size: int, anchors: list[str]) -> Column:
-        last = F.greatest(F.size(ws) - size, F.lit(0))
-        begins = F.array_union(F.sequence(F.lit(0), last, F.lit(max(1, size // BEGINS))), F.array(last))
-        known = F.array(*map(F.lit, anchors))
-        near = F.filter(begins, lambda s: F.arrays_overlap(F.slice(ws, s + 1, size), known))
-        return F.transform(near, lambda s: F.struct(F.lit(size).alias("size"), s.alias("at"), F.slice(ws, s + 1, size).alias("words")))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` has functions of array elements that refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _segments(ws: Column, longest: int) -> Column:
+    """(start, words) of the segments of the array ``ws``; a run of up to ``longest`` words that begins in one lies in it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(SEGMENT))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(ws, s + 1, SEGMENT + longest - 1).alias("words")))
+
+
+def _regions(terms: Column, start: Column, length: Column, anchors: list[str], templates: Column) -> Column:
+    """For each template the regions of a segment (terms: pos, word, idf) in which runs that hold one of its needed words begin.
+
+    Neighbouring begins are one region; its words carry c, what they add to the dot product with the template."""
+
+    def of(t: Column, hits: Column) -> Column:
+        return _let(F.transform(F.filter(hits, lambda h: F.array_contains(t["needed"], h["word"])), lambda h: h["pos"]), lambda at: around(t, at))
+
+    def around(t: Column, at: Column) -> Column:
+        first = F.filter(at, lambda p, j: (j == 0) | (p - t["n"] > F.try_element_at(at, j)))
+        last = F.filter(at, lambda p, j: (j == F.size(at) - 1) | (F.try_element_at(at, j + 2) - t["n"] > p))
+        end = F.least(F.lit(SEGMENT - 1), F.greatest(length - t["n"], F.lit(0)) - start)
+        spans = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.struct(F.greatest(r["a"] - t["n"] + 1, F.lit(0)).alias("lo"), F.least(r["b"], end).alias("hi")))
+        own = F.filter(spans, lambda r: r["lo"] <= r["hi"])
+        weighed = lambda e: F.struct(e["word"].alias("word"), e["idf"].alias("idf"), (e["idf"] * F.coalesce(F.try_element_at(t["weights"], e["word"]), F.lit(0.0))).alias("c"))
+        region = lambda r: F.transform(F.slice(terms, r["lo"] + 1, r["hi"] - r["lo"] + t["n"]), weighed)
+        return F.transform(own, lambda r: F.struct(t["license"].alias("license"), t["n"].alias("n"), t["tnorm"].alias("tnorm"), region(r).alias("words")))
 
-    parts = [of_size(size, anchors) for size, anchors in sorted(needed.items())]
-    everything = F.array(F.struct(F.lit(-1).alias("size"), F.lit(0).alias("at"), ws.alias("words")))
-    return F.concat(*parts, F.when(whole & (F.size(ws) > longest), everything).otherwise(F.slice(everything, 1, 0)))
+    found = F.filter(terms, lambda e: e["word"].isin(*anchors))
+    return F.flatten(_let(found, lambda hits: F.transform(templates, lambda t: of(t, hits))))
+
+
+def _best_run(ws: Column, n: Column, tnorm: Column, least: float) -> Column:
+    """The greatest cosine of the runs of ``n`` of the words ``ws`` (word, idf, c) that may reach ``least``; null if none may."""
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+
+    def grown(acc: Column, e: Column) -> Column:
+        now = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct((now["c"] + e["c"]).alias("c"), (now["s"] + e["idf"] * e["idf"]).alias("s"))))
+
+    def may_reach(b: Column, sums: Column) -> Column:
+        lo, hi = F.element_at(sums, b + 1), F.element_at(sums, F.least(b + n, F.size(ws)) + 1)
+        return (hi["c"] - lo["c"]) * (hi["c"] - lo["c"]) * (1 + 1e-6) >= least * least * tnorm * tnorm * (hi["s"] - lo["s"])
+
+    every = F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0)))
+    begins = _let(F.aggregate(ws, F.array(zero), grown), lambda sums: F.filter(every, lambda b: may_reach(b, sums)))
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("square"), F.lit(0.0).alias("dot"))
+
+    def counted(acc: Column, e: Column) -> Column:
+        run = F.when(acc["word"] == e["word"], acc["run"] + 1).otherwise(1)
+        return F.struct(e["word"].alias("word"), run.alias("run"), (acc["square"] + e["idf"] * e["idf"] * (2 * run - 1)).alias("square"), (acc["dot"] + e["c"]).alias("dot"))
+
+    exact = lambda b: F.aggregate(F.array_sort(F.slice(ws, b + 1, n)), start, counted, lambda acc: F.round(acc["dot"] / (tnorm * F.sqrt(acc["square"])), 9))
+    return F.array_max(F.transform(begins, exact))
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
     """``files`` without the text, with license, how (`own` or `inherited`), cosine and licensed_by (the path it comes from).
 
-    A file's best passage decides its own licence; ties go to the higher cosine, then to the licence
-    first by name. A licence file without a recognised licence passes none on; of several in one
+    A file's best passage decides its own licence; ties go to the higher cosine, then to the longer template, then to the
+    licence first by name. A licence file without a recognised licence passes none on; of several in one
     directory the first path decides. Null and empty texts have no licence of their own but can
     inherit; very long texts are searched whole; a null path inherits nothing. Repeated rows are judged one
     by one. An empty table stays empty. Input columns named like an output column are replaced.
@@ -146,18 +184,20 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     df = materialize(df, "df")
     n_docs = files.count()
     idf = lambda d: F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + d)) + 1
-    weights = _templates(spark).join(df, "word", "left").select("template", "license", "size", "word", F.coalesce("df", F.lit(0)).alias("df"), (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("weight"))
+    weights = _templates(spark).join(df, "word", "left").select("template", "license", "n", "word", F.coalesce("df", F.lit(0)).alias("df"), (F.col("tf") * idf(F.coalesce("df", F.lit(0)))).alias("weight"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("tnorm"))
     weights = materialize(weights.join(norms, "template"), "weights")  # as many rows as the templates have words
-    of: dict[tuple[int, int], dict[str, float]] = {}
+    of: dict[int, dict] = {}
     known: dict[str, int] = {}
     for r in weights.collect():
-        of.setdefault((r.template, r["size"]), {})[r.word] = r.weight
+        of.setdefault(r.template, {"license": r.license, "n": r.n, "tnorm": r.tnorm, "weights": {}})["weights"][r.word] = r.weight
         known[r.word] = r.df
-    needed: dict[int, set[str]] = {}
-    for (_, size), ws in of.items():
-        needed.setdefault(size, set()).update(needed_words(ws, known, least))
-    anchors = sorted(set().union(*needed.values()))
+    for t in of.values():
+        t["needed"] = needed_words(t["weights"], known, least)
+    anchors = sorted({w for t in of.values() for w in t["needed"]})
+    longest = max(t["n"] for t in of.values())
+    kind = "array<struct<license:string,n:int,tnorm:double,needed:array<string>,weights:map<string,double>>>"
+    templates = F.from_json(F.lit(json.dumps([of[k] for k in sorted(of)])), kind)
 
     suspect = F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])")
     slim = files.select(
@@ -166,22 +206,26 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         F.regexp_replace(path, r"/?[^/]*$", "").alias("__dir"),
         F.when(suspect, words(text)).alias("__words"),
     )
-    named = F.coalesce(F.col("__path").rlike(LICENSE_FILE), F.lit(False))
-    found = runs(F.col("__words"), {k: sorted(v) for k, v in needed.items()}, named, max(needed))
-    slim = slim.withColumn("__runs", F.when(F.col("__words").isNotNull(), found)).drop("__words")
     slim = materialize(slim.withColumn("__row", F.monotonically_increasing_id()), "slim")
-
-    each = slim.select("__row", F.explode("__runs").alias("x")).select("__row", "x.size", "x.at", "x.words")
-    terms = each.select("__row", "size", "at", F.explode("words").alias("word")).groupBy("__row", "size", "at", "word").agg(F.count("*").alias("n"))
-    terms = terms.join(df, "word", "left").select("__row", F.col("size").alias("run"), "at", "word", (F.col("n") * idf(F.coalesce("df", F.lit(0)))).alias("w"))
-    terms = materialize(terms, "terms")
-    lengths = terms.groupBy("__row", "run", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    met = terms.join(F.broadcast(weights.drop("df")), "word").where((F.col("run") == F.col("size")) | (F.col("run") == -1))
-    dots = met.groupBy("__row", "run", "at", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosines = dots.join(lengths, ["__row", "run", "at"]).select("__row", "license", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9).alias("cosine"))
-    best = cosines.where(F.col("cosine") >= least).groupBy("__row").agg(F.max_by("license", F.struct("cosine", F.transform(F.split("license", ""), lambda x: -F.ascii(x)))).alias("own"), F.max("cosine").alias("cosine"))
+    some = slim.where("__words is not null").select("__row", "__path", "__words", F.size("__words").alias("length"))
+
+    pieces = some.select("__row", "length", F.explode(_segments(F.col("__words"), longest)).alias("x")).select("__row", "length", "x.start", "x.words")
+    pieces = pieces.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
+    terms = pieces.select("__row", "length", "start", F.posexplode("words").alias("pos", "word")).join(df, "word").select("__row", "length", "start", F.struct("pos", "word", idf(F.col("df")).alias("idf")).alias("e"))
+    segments = materialize(terms.groupBy("__row", "length", "start").agg(F.array_sort(F.collect_list("e")).alias("terms")), "segments")
+    regions = segments.select("__row", F.explode(_regions(F.col("terms"), F.col("start"), F.col("length"), anchors, templates)).alias("r"))
+    cosines = regions.select("__row", "r.license", "r.n", _best_run(F.col("r.words"), F.col("r.n"), F.col("r.tnorm"), least).alias("cosine"))
+
+    named = some.where(F.col("__path").rlike(LICENSE_FILE) & (F.col("length") > longest))
+    counts = named.select("__row", F.explode("__words").alias("word")).groupBy("__row", "word").agg(F.count("*").alias("n"))
+    counts = materialize(counts.join(df, "word").select("__row", "word", (F.col("n") * idf(F.col("df"))).alias("w")), "counts")
+    lengths = counts.groupBy("__row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counts.join(F.broadcast(weights.drop("df")), "word").groupBy("__row", "template", "license", "n", "tnorm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    wholes = dots.join(lengths, "__row").select("__row", "license", "n", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9).alias("cosine"))
+    cosines = cosines.unionByName(wholes)
+    best = cosines.where(F.col("cosine") >= least).groupBy("__row").agg(F.max_by("license", F.struct("cosine", "n", F.transform(F.split("license", ""), lambda x: -F.ascii(x)))).alias("own"), F.max("cosine").alias("cosine"))
     best = materialize(best.withColumnRenamed("__row", "__r"), "own")
-    marked = materialize(slim.drop("__runs").join(best, F.col("__row") == F.col("__r"), "left").drop("__row", "__r"), "marked")
+    marked = materialize(slim.drop("__words").join(best, F.col("__row") == F.col("__r"), "left").drop("__row", "__r"), "marked")
 
     giving = marked.where(F.col("own").isNotNull() & F.col("__path").rlike(LICENSE_FILE)).groupBy(F.col("__dir").alias("from_dir")).agg(F.min(F.struct(F.col("__path").alias("by"), F.col("own").alias("given"))).alias("g"))
     parts = F.split("__dir", "/")
@@ -201,9 +245,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    """(template, license, size of the runs to compare with, word, tf)."""
-    n_words = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
-    sizes = run_sizes(max(n_words))
-    listed = [(i, name, text, next(s for s in sizes if s >= n)) for i, ((name, text), n) in enumerate(zip(TEMPLATES, n_words, strict=True))]
-    rows = spark.createDataFrame(listed, "template int, license string, text string, size int")
-    return rows.select("template", "license", "size", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "license", "size", "word").agg(F.count("*").alias("tf"))
+    """(template, license, number of its words, word, tf)."""
+    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    each = rows.select("template", "license", F.size(words(F.col("text"))).alias("n"), F.explode(words(F.col("text"))).alias("word"))
+    return each.groupBy("template", "license", "n", "word").agg(F.count("*").alias("tf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,20 +26,48 @@ def recall_by_arm(scores: DataFrame, items: int, floor: float = 0.3) -> DataFram
     return by.select("*", (F.col("mean_recall") >= floor * items).alias("above_floor"))
 
 
-#: Rows of a table of groups whose pairs are reported.
+#: Rows of a table of groups whose pairs are all reported.
 MOST_GROUPS = 5_000
 
 
 def range_overlaps(ranges: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Each pair of rows a < b and whether their ranges overlap. The report has n (n - 1) / 2 rows, so more than
-    ``MOST_GROUPS`` groups (one row an arm) raise a ValueError; up to that many are broadcast."""
+    """Each pair of rows a < b and whether their ranges overlap. The report has n (n - 1) / 2 rows, so it is for the arms of an
+    experiment, up to ``MOST_GROUPS`` of them, which are broadcast; ``overlapping_pairs`` lists the overlaps among any number."""
     if (n := ranges.select(key).limit(MOST_GROUPS + 1).count()) > MOST_GROUPS:
-        raise ValueError(f"{n} groups or more; all pairs are reported for {MOST_GROUPS} at most")
+        raise ValueError(f"{n} groups or more; overlapping_pairs lists the pairs that overlap")
     a = ranges.select(F.col(key).alias("a"), F.col(low).alias("al"), F.col(high).alias("ah"))
     b = ranges.select(F.col(key).alias("b"), F.col(low).alias("bl"), F.col(high).alias("bh"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", ((F.col("al") <= F.col("bh")) & (F.col("bl") <= F.col("ah"))).alias("overlap"))
 
 
+def containing(points: DataFrame, intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each row of ``points`` (a column ``at``) with each row of ``intervals`` (``low`` <= ``high``) that contains its point, ends
+    included, and agrees in the columns ``by``. Other columns must have different names.
+
+    An interval is noted at the level of the power of two next to its length, where it touches two or three cells; a point
+    looks for its cell on the levels that occur. So the join is on equal cells, each match is met once, and an interval that is long
+    costs no more than a short one. Levels are numbered by the tables' doubles and at most some thousands."""
+    width = F.greatest(F.col("high") - F.col("low"), F.greatest(F.abs("high"), F.abs("low"), F.lit(1e-300)) * 1e-12)
+    level = F.ceil(F.log2(width.cast("double"))).cast("int")
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("__level")))
+    noted = intervals.where(F.col("low") <= F.col("high")).withColumn("__level", level)
+    noted = noted.withColumn("__cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    levels = noted.select("__level").distinct().agg(F.collect_list("__level").alias("__levels"))
+    sought = points.where(F.col("at").isNotNull()).withColumn("__level", F.explode(levels.select("__levels").scalar())).withColumn("__cell", cell(F.col("at")))
+    met = sought.join(noted, [*by, "__level", "__cell"])
+    return met.where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).drop("__level", "__cell")
+
+
+def overlapping_pairs(ranges: DataFrame, key: str, low: str, high: str) -> DataFrame:
+    """The pairs (a, b) of rows a < b whose ranges overlap, ends included: of two such ranges the later begins within the earlier.
+
+    Keys are unique; rows with a null end or low > high have no range."""
+    points = ranges.where(F.col(low) <= F.col(high)).select(F.col(key).alias("p"), F.col(low).alias("at"))
+    intervals = ranges.select(F.col(key).alias("i"), F.col(low).alias("low"), F.col(high).alias("high"))
+    met = containing(points, intervals).where((F.col("at") > F.col("low")) | (F.col("p") > F.col("i")))
+    return met.where("p <> i").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b"))
+
+
 def token_totals(turns: DataFrame) -> DataFrame:
     """Of each agent the last turn with a request of its own: the three input-side fields added, output aside.
 

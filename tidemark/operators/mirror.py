@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsonwalk
@@ -309,5 +309,11 @@ def gates(**checks: bool) -> tuple[bool, list[str]]:
     return not failed, failed
 
 
+def gate_columns(**checks: Column) -> list[Column]:
+    """(passed, failed) over one row of figures: all gates together, and the names of those that failed, in order; an unknown one fails."""
+    failed = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in sorted(checks.items())])), ",")
+    return [(failed == "").alias("passed"), failed.alias("failed")]
+
+
 def session_gate(jsonl: int, oversize: int, parse_drops: int, discovered: int, committed: int) -> dict[str, bool]:
     return {"discovered": discovered == jsonl - oversize - parse_drops, "committed": committed == discovered}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import redaction, rules, text
 from tidemark.operators import audit, classify, mirror, state
-from tidemark.plans.catalog import query, table
+from tidemark.plans.catalog import _FOUND, _found, query, table
 from tidemark.sources import corpus
 from tidemark.streaming import watch
 
@@ -84,10 +84,13 @@ def credential_prefix_documents(spark, sf_dir):
 _VALUES = ", ".join(f"('{p}', '{e}')" for p, es in rules.PROFILES.items() for e in es)
 
 
-@query(f"SELECT profile, count(*) AS entities, count(*) FILTER (WHERE entity_type = 'PHONE_NUMBER') AS phone FROM (VALUES {_VALUES}) t(profile, entity_type) GROUP BY profile")
+@query(f"""SELECT profile, count(*) AS entities, count(*) FILTER (WHERE entity_type = 'PHONE_NUMBER') AS phone, coalesce(sum(n), 0)::BIGINT AS detections
+FROM (VALUES {_VALUES}) t(profile, entity_type) LEFT JOIN (SELECT entity_type, count(*) AS n FROM ({_FOUND}) GROUP BY entity_type) USING (entity_type) GROUP BY profile""")
 def profile_sizes(spark, sf_dir):
-    by = redaction.profile_entities(spark).groupBy("profile")
-    return by.agg(F.count("*").alias("entities"), F.count_if(F.col("entity_type") == "PHONE_NUMBER").alias("phone"))
+    """The profiles' entity types, and how many detections in the documents each profile sees."""
+    counts = _found(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"))
+    by = redaction.profile_entities(spark).join(counts, "entity_type", "left").groupBy("profile")
+    return by.agg(F.count("*").alias("entities"), F.count_if(F.col("entity_type") == "PHONE_NUMBER").alias("phone"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
 
 
 def _file(name: Column, suffix: str, content: Column) -> list[Column]:
@@ -253,19 +256,17 @@ def own_placeholders(spark, sf_dir):
 def expired_files(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     files = e.select(F.col("event_id").cast("string").alias("relpath"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("mtime_ns"))
-    now = files.agg(F.max("mtime_ns")).first()[0]
-    return corpus.expired(files, now, days=7).select("relpath")
+    return corpus.expired(files, files.select(F.max("mtime_ns")).scalar(), days=7).select("relpath")
 
 
 @query("""SELECT (n <> 0 AND same) AS passed, CASE WHEN NOT same THEN 'committed,' ELSE '' END || CASE WHEN m > 0 THEN 'parity' ELSE '' END AS failed
 FROM (SELECT count(*) AS n, count(*) = count(quality) AS same, count(*) FILTER (WHERE quality IS NULL) AS m FROM documents LEFT JOIN labels USING (doc_id))""")
 def publication_gates(spark, sf_dir):
     """Documents against those with a label: counts, then the paths that are missing."""
-    d, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    n, committed = d.count(), d.join(labels, "doc_id", "left_semi").count()
-    missing = d.join(labels, "doc_id", "left_anti").count()
-    passed, failed = mirror.gates(**mirror.session_gate(n, 0, 0, n, committed), parity=missing == 0)
-    return spark.createDataFrame([(passed, ",".join(failed))], "passed boolean, failed string")
+    d, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(1))
+    counts = d.join(labels, "doc_id", "left").agg(F.count("*").alias("discovered"), F.count("there").alias("committed"))
+    discovered, missing = F.col("discovered"), F.col("discovered") - F.col("committed")
+    return counts.select(*mirror.gate_columns(discovered=discovered > 0, committed=missing == 0, parity=missing == 0))
 
 
 @query("""SELECT user_id::VARCHAR AS content_hash, max(strftime(ts, '%Y-%m-%dT%H')) AS at FROM events WHERE user_id = 7 GROUP BY user_id""")

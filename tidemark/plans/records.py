@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.jsonwalk import KEEP_KEYS
-from tidemark.operators import chunking, classify, leaves, mirror
+from tidemark.operators import audit, chunking, classify, leaves, mirror
 from tidemark.plans.catalog import query, table
 from tidemark.plans.files import _DIGEST_STAYS, _N, _PLACE, _PLANTED_SQL, _planted, _quoted
 from tidemark.sources import tree
@@ -109,3 +109,22 @@ def mirrored_files(spark, sf_dir):
     results, _, _ = mirror.build_mirror(spark, f"{root}/source", f"{root}/mirror")
     there = tree.read_files(tree.list_tree(spark, f"{root}/mirror"), f"{root}/mirror").select("relpath", "size", F.sha2("content", 256).alias("hash"))
     return results.select("relpath", F.coalesce(F.split("error", ":")[0], F.lit("none")).alias("error")).join(there, "relpath", "left").fillna({"size": -1, "hash": "none"})
+
+
+@query("""SELECT c_custkey, s_suppkey, CASE WHEN c_acctbal > s_acctbal THEN 'fail' ELSE 'warn' END AS state
+FROM customer JOIN supplier ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 1000 * (s_suppkey % 4) AND s_acctbal + 500""")
+def overlapping_bands(spark, sf_dir):
+    """Customers' balances in all the bands of their nation's suppliers; bands differ in length and overlap."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    values = c.select("c_custkey", F.col("c_nationkey").alias("item"), F.col("c_acctbal").alias("at"))
+    bands = s.select("s_suppkey", F.col("s_nationkey").alias("item"), "s_acctbal", (F.col("s_acctbal") - 1000 * (F.col("s_suppkey") % 4)).alias("low"), (F.col("s_acctbal") + 500).alias("high"))
+    met = audit.containing(values, bands, ["item"])
+    return met.select("c_custkey", "s_suppkey", F.when(F.col("at") > F.col("s_acctbal"), "fail").otherwise("warn").alias("state"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, c_acctbal AS lo, c_acctbal + 3 * (c_custkey % 5) AS hi FROM customer)
+SELECT x.k AS a, y.k AS b FROM r x JOIN r y ON x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
+def overlapping_ranges(spark, sf_dir):
+    """The pairs of customers whose ranges overlap, every fifth range being a point."""
+    r = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 3 * (F.col("c_custkey") % 5)).alias("hi"))
+    return audit.overlapping_pairs(r, "c_custkey", "lo", "hi")

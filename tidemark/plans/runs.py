@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import redaction, rules
 from tidemark.operators import audit, classify, mirror, state
-from tidemark.plans.catalog import query, table
+from tidemark.plans.catalog import _FOUND, _found, query, table
 from tidemark.plans.files import _PLANTED_SQL, _credential_sql, _file, _planted
 from tidemark.sources import corpus, scratch
 
@@ -62,9 +62,10 @@ def metric_rows(spark, sf_dir):
 @query("SELECT event_type AS rule, 'a/' || user_id || '.txt' AS file, count(*) AS n FROM events GROUP BY ALL")
 def findings_file(spark, sf_dir):
     """A scanner's report (an array of objects over several lines in each file) read again."""
-    e = table(spark, sf_dir, "events").select("event_type", F.to_json(F.struct(F.col("event_type").alias("RuleID"), F.concat(F.lit("a/"), "user_id", F.lit(".txt")).alias("File"))).alias("j"))
-    # an array for each line of a hashed part of the events, so that no array holds one whole rule
-    parts = e.groupBy("event_type", F.pmod(F.xxhash64("j"), F.lit(8)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    report = F.to_json(F.struct(F.col("event_type").alias("RuleID"), F.concat(F.lit("a/"), "user_id", F.lit(".txt")).alias("File")))
+    e = table(spark, sf_dir, "events").select("event_type", F.expr("event_id div 10000").alias("part"), report.alias("j"))
+    # at most ten thousand reports make an array
+    parts = e.groupBy("event_type", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
     path = scratch.scratch_folder(spark, "findings")
     parts.select("value", F.concat_ws("-", "event_type", "part").alias("of")).write.partitionBy("of").text(path)
     found = corpus.read_findings(spark, path)
@@ -145,9 +146,9 @@ AND regexp_matches(props, '[13579]') ORDER BY ts DESC, event_id DESC LIMIT 100""
 def selected_log(spark, sf_dir):
     """The newest hundred entries of a unit, from a day on, of a priority or more urgent, with an odd digit."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    start = e.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).cast("string")).first()[0]
+    start = e.select(F.min("ts") + F.expr("INTERVAL 1 DAY")).scalar()
     entries = e.select("ts", F.col("event_type").alias("unit"), (F.col("event_id") % 8).alias("priority"), F.col("props").alias("message"), F.col("event_id").alias("seq"))
-    out = audit.select_log(entries, F.lit(start).cast("timestamp_ntz"), unit="purchase", priority=4, matching="[13579]", last=100)
+    out = audit.select_log(entries, start, unit="purchase", priority=4, matching="[13579]", last=100)
     return out.select(F.col("seq").alias("event_id"), "ts")
 
 
@@ -163,8 +164,11 @@ def novel_and_spurious_by_arm(spark, sf_dir):
 _RULES = ", ".join(f"('{e}', {s})" for e, _, s in (*rules.PATTERNS, *rules.PERSONAL))
 
 
-@query(f"SELECT entity, count(*) AS patterns, max(score)::DOUBLE AS best, entity = 'ENV_ASSIGNMENT_SECRET' AS checked FROM (VALUES {_RULES}) t(entity, score) GROUP BY entity")
+@query(f"""SELECT entity, count(*) AS patterns, max(score)::DOUBLE AS best, entity = 'ENV_ASSIGNMENT_SECRET' AS checked, any_value(coalesce(n, 0))::BIGINT AS detections, any_value(coalesce(d, 0))::BIGINT AS documents
+FROM (VALUES {_RULES}) t(entity, score) LEFT JOIN (SELECT entity_type AS entity, count(*) AS n, count(DISTINCT doc_id) AS d FROM ({_FOUND}) GROUP BY ALL) USING (entity) GROUP BY entity""")
 def rule_registry(spark, sf_dir):
-    """The rules as built, by entity."""
+    """The rules as built, by entity, with what they find in the documents."""
     made = spark.createDataFrame([(r.entity, r.score, r.accepts is not None) for r in rules.build_rules()], "entity string, score double, checked boolean")
-    return made.groupBy("entity").agg(F.count("*").alias("patterns"), F.max("score").alias("best"), F.bool_or("checked").alias("checked"))
+    built = made.groupBy("entity").agg(F.count("*").alias("patterns"), F.max("score").alias("best"), F.bool_or("checked").alias("checked"))
+    counts = _found(spark, sf_dir).groupBy(F.col("entity_type").alias("entity")).agg(F.count("*").alias("detections"), F.count_distinct("doc_id").alias("documents"))
+    return built.join(counts, "entity", "left").fillna(0, ["detections", "documents"])

@@ -9,7 +9,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tree import SUFFIXES, UnsafeTargetError, assert_safe_target, list_tree, read_files  # noqa: F401
@@ -190,6 +190,7 @@ def delete_expired(root: str, now_ns: int, days: int = 30) -> list[str]:
     return gone
 
 
-def expired(files: DataFrame, now_ns: int, days: int = 30) -> DataFrame:
+def expired(files: DataFrame, now_ns: int | Column, days: int = 30) -> DataFrame:
     """Files last changed more than ``days`` before ``now_ns``."""
-    return files.where(F.col("mtime_ns") < F.lit(now_ns - days * 86_400 * 1_000_000_000))
+    now = now_ns if isinstance(now_ns, Column) else F.lit(now_ns)
+    return files.where(F.col("mtime_ns") < now - F.lit(days * 86_400 * 1_000_000_000))

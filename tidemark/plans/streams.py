@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.catalog import query, table
 from tidemark.sources.scratch import scratch_folder
-from tidemark.streaming import growth
+from tidemark.streaming import growth, tail
 
 
 @query("""WITH e AS (SELECT event_type AS host, ts, user_id::VARCHAR AS name, value, date_trunc('day', ts) AS day FROM events),
@@ -30,3 +30,17 @@ def growth_watch(spark, sf_dir):
     folder = scratch_folder(spark, "growth")
     out = growth.replayed(spark, checks, f"{folder}/checks", f"{folder}/state")
     return out.select("host", F.col("checked_at").cast("timestamp_ntz").alias("checked_at"), "entries", "size_mb", "flagged", "top")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS disk_pct, CASE WHEN event_id % 2 = 0 THEN event_id % 7 + 0.5 END::DOUBLE AS dimm2_temp FROM events""")
+def tailed_metrics(spark, sf_dir):
+    """The events as rows of metric logs in several files, followed as a stream by ranges of bytes; odd rows lack the last column."""
+    e = table(spark, sf_dir, "events")
+    disk = F.when(F.col("event_id") % 4 != 0, F.col("value").cast("string")).otherwise("unknown")
+    late = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 7 + 0.5).cast("string"))
+    line = F.concat_ws("\t", F.lit("2024-05-01T00:00:00"), disk, F.col("event_id"), *[F.lit("1")] * 7, late)
+    folder = scratch_folder(spark, "tail")
+    e.select(line.alias("value")).write.text(f"{folder}/log")
+    lines = tail.tail(spark, f"{folder}/log".removeprefix("file://"), taskBytes="100000")
+    rows = tail.metric_lines(lines).select(F.col("dimm1_temp").cast("long").alias("event_id"), "disk_pct", "dimm2_temp")
+    return growth.replayed(spark, rows, f"{folder}/rows", f"{folder}/state")

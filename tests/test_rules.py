@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.rules import CREDENTIALS, HINTS, PROFILES, build_rules, entities_for_profile, folded, may_match
+from tidemark.functions.rules import CREDENTIALS, HINTS, PROFILES, SHAPES, build_rules, entities_for_profile, folded
 from tidemark.shipping import ship
 
 Finding = tuple[str, int, int, float]
@@ -38,16 +39,15 @@ class Redactor:
     """All rules, compiled once."""
 
     def __init__(self) -> None:
-        self.rules = [(r, r.compiled()) for r in build_rules()]
+        self.rules = [(r, r.compiled(), re.compile(SHAPES[r.pattern]) if r.pattern in SHAPES else None) for r in build_rules()]
 
     def analyze(self, text: str, profile: str) -> list[Finding]:
         """All detections of the profile, overlapping ones included, in order of place."""
         wanted = set(entities_for_profile(profile))
         low = folded(text)
         found: dict[tuple[str, int, int], float] = {}
-        for rule, pattern in self.rules:
-            hints = HINTS.get(rule.entity)
-            if rule.entity in wanted and (hints is None or any(h in low for h in hints)):
+        for rule, pattern, shape in self.rules:
+            if rule.entity in wanted and (shape.search(text) if shape else any(h in low for h in HINTS[rule.entity])):
                 for m in pattern.finditer(text):
                     if m[0] and m[0] not in OWN_PLACEHOLDERS and (rule.accepts is None or rule.accepts(m[0])):
                         key = (rule.entity, m.start(), m.end())
@@ -82,12 +82,13 @@ class Redactor:
 def with_redaction(df: DataFrame, text_col: str, profile: str = "broad") -> DataFrame:
     """``df`` with redacted (string) and findings (array of entity_type, start, end, score).
 
-    Texts that the JVM's combined test rules out never reach Python. Null texts stay null without findings."""
+    All rules are tried in one pass; substrings and shapes that a match needs rule most of them out for a text. Null texts stay null
+    without findings."""
     entities_for_profile(profile)
     ship(df.sparkSession)
     kept = df.drop("redacted", "findings")
     text = F.col(f"`{text_col}`")
-    wide = df.select(*[df[f"`{c}`"] for c in kept.columns], F.when(may_match(text, profile), text).alias("__suspect"), text.alias("__text"))
+    wide = df.select(*[df[f"`{c}`"] for c in kept.columns], text.alias("__text"))
     schema = T.StructType([*kept.schema.fields, T.StructField("redacted", T.StringType()), T.StructField("findings", T.ArrayType(SPAN))])
     kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     names = schema.fieldNames()
@@ -96,15 +97,11 @@ def with_redaction(df: DataFrame, text_col: str, profile: str = "broad") -> Data
         redactor = Redactor()
         for b in batches:
             texts, spans = [], []
-            for suspect, text_ in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1), strict=True):
-                if suspect is None:
-                    texts.append(text_.as_py())
-                    spans.append([])
-                else:
-                    found = redactor.analyze(suspect, profile)
-                    texts.append(redactor.masked(suspect, found))
-                    spans.append([{"entity_type": e, "start": s, "end": t, "score": x} for e, s, t, x in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string()), pa.array(spans, kind)], names=names)
+            for text_ in b.column(b.num_columns - 1).to_pylist():
+                found = redactor.analyze(text_, profile) if text_ else []
+                texts.append(redactor.masked(text_, found) if found else text_)
+                spans.append([{"entity_type": e, "start": s, "end": t, "score": x} for e, s, t, x in found])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(spans, kind)], names=names)
 
     return wide.mapInArrow(run, schema)
 

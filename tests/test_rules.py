@@ -99,10 +99,17 @@ def test_dataframe_agrees_with_python(spark):
 
 
 def test_hints_never_hide_a_match():
-    for rule, pattern in R.rules:
-        for text in [*POSITIVES.values(), PEM, "jo@site.example", "AſIA" + "ABCDEFGH12345678", "TOKEN = 'Zx9kQ2mNv7Lp4Rt8'", "10.1.2.3"]:
-            if pattern.search(text) and rule.entity in rules.HINTS:
-                assert any(h in rules.folded(text) for h in rules.HINTS[rule.entity])
+    rng = random.Random(5)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [*POSITIVES.values(), PEM, "jo@site.example", "A\u017fIA" + "ABCDEFGH12345678", "TOKEN = 'Zx9kQ2mNv7Lp4Rt8'", "10.1.2.3"]
+    texts += [some("0123456789 .()+-", 24) for _ in range(4000)] + [some("09afAF::", 20) for _ in range(4000)] + [":".join(["0a"] * 8), "::", "a::", "call 555-010-1234 now"]
+    tried = set()
+    for rule, pattern, shape in R.rules:
+        for text in texts:
+            if pattern.search(text):
+                tried.add(rule.pattern)
+                assert shape.search(text) if shape else any(h in rules.folded(text) for h in rules.HINTS[rule.entity])
+    assert set(rules.SHAPES) <= tried
 
 
 @pytest.mark.parametrize("address", ["::1", "fe80::1", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7::", "1::8", "2001:db8:0:0:0:0:2:1", "FE80::A:B"])

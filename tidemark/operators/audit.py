@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.compare import differing_parts
+
 
 def recall(judged: DataFrame, items: int) -> DataFrame:
     """arm, rep, recomputed recall, whether all items were judged, and whether the judge's own count differs.
@@ -117,8 +119,9 @@ def drift(ours: DataFrame, documented: DataFrame) -> DataFrame:
 
 
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows (with repeats) on one side only."""
-    return before.exceptAll(after).withColumn("side", F.lit("before")).union(after.exceptAll(before).withColumn("side", F.lit("after")))
+    """Rows (with repeats) on one side only; parts of the tables whose digests are equal are not compared row by row."""
+    a, b = differing_parts(before, after, before.columns)
+    return a.exceptAll(b).withColumn("side", F.lit("before")).union(b.exceptAll(a).withColumn("side", F.lit("after")))
 
 
 def banded(values: DataFrame, thresholds: DataFrame) -> DataFrame:

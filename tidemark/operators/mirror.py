@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import jsonwalk
 from tidemark.functions.redaction import Redactor
 from tidemark.functions.text import content_hash
+from tidemark.operators.compare import differing_parts
 from tidemark.shipping import ship
 from tidemark.sources.corpus import read_corpus, write_file_atomically
 from tidemark.sources.scratch import written_table
@@ -180,16 +181,19 @@ def stale_files(mirror: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def hash_mismatches(mirror: DataFrame, published: DataFrame) -> DataFrame:
-    """Mirror files whose published copy (below projects/) differs or is missing."""
-    ours = mirror.select("relpath", F.concat(F.lit("projects/"), "relpath").alias("path"), content_hash(F.col("content")).alias("ours"))
-    theirs = published.select(F.col("relpath").alias("path"), content_hash(F.col("content")).alias("theirs"))
-    return ours.join(theirs, "path", "left").where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("relpath")
+    """Mirror files whose published copy (below projects/) differs or is missing. Only parts that differ are joined."""
+    ours = mirror.select(F.concat(F.lit("projects/"), "relpath").alias("path"), content_hash(F.col("content")).alias("hash"))
+    theirs = published.select(F.col("relpath").alias("path"), content_hash(F.col("content")).alias("hash"))
+    ours, theirs = differing_parts(ours, theirs, ["path"])
+    met = ours.join(theirs.withColumnRenamed("hash", "theirs"), "path", "left").where(~F.col("hash").eqNullSafe(F.col("theirs")))
+    return met.select(F.expr("substr(path, length('projects/') + 1)").alias("relpath"))
 
 
 def hash_changes(first: DataFrame, second: DataFrame, unchanged: DataFrame) -> DataFrame:
-    """Files of ``unchanged`` whose hashes differ between two runs."""
-    both = first.select("relpath", F.col("hash").alias("h1")).join(second.select("relpath", F.col("hash").alias("h2")), "relpath")
-    return both.join(unchanged, "relpath", "left_semi").where("h1 <> h2").select("relpath")
+    """Files of ``unchanged`` whose hashes differ between two runs. Only parts of the runs that differ are joined."""
+    one, two = differing_parts(first.select("relpath", "hash"), second.select("relpath", "hash"), ["relpath"])
+    both = one.withColumnRenamed("hash", "h1").join(two.withColumnRenamed("hash", "h2"), "relpath")
+    return both.where("h1 <> h2").join(unchanged, "relpath", "left_semi").select("relpath")
 
 
 def counts_by_file(results: DataFrame) -> DataFrame:

@@ -72,6 +72,29 @@ def test_cascade_parts_that_come_out_too_large_are_split_again(spark):
     assert keys.count() == 6000 and all((r.verdict == "block") == (r.page_id < 6000) for r in got)
 
 
+def test_cascades_of_several_passes_follow_each_other(spark, monkeypatch):
+    live, most, plans = set(), [], []
+    make = filter_cascade._judge
+
+    def watched(wide, passes):
+        plans.append(wide._jdf.queryExecution().executedPlan().toString())
+        df, shared = make(wide, passes)
+        live.add(shared)
+        most.append(len(live))
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (live.discard(shared), destroy()), raising=False)
+        return df, shared
+
+    monkeypatch.setattr(filter_cascade, "_judge", watched)
+    rules = [(f"h{i}.test", "/", "block") for i in range(2000)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.test/") for i in range(0, 3000, 7)], "page_id long, url string")
+    got = filter_cascade.filter_urls(pages, rules, max_filter_bytes=1200).collect()
+    assert all((r.verdict == "block") == (r.page_id < 2000) for r in got)
+    assert len(most) > 2
+    assert max(most) == 1
+    assert all("MapInArrow" not in plan for plan in plans)
+
+
 def test_url_filter_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert filter_cascade.filter_urls(none, registry.URL_RULES).count() == 0
@@ -433,6 +456,34 @@ def test_repeated_words_and_shared_passages(spark):
     assert time.perf_counter() - start < 3
 
 
+def test_benchmark_in_many_passes(spark, monkeypatch):
+    """Twenty blocks, each a pass: the results of one pass, one broadcast at a time, no chain of Python stages."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(100)]
+    docs = [(i, " ".join([rng.choice(words) for _ in range(30)] + [x for j in rng.sample(range(100), i % 4) for x in items[j][1].split()[5:40]])) for i in range(80)] + [(900, None), (900, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    live, most = set(), []
+    make = suffix_arrays._search
+
+    def watched(*args):
+        df, shared = make(*args)
+        live.add(shared)
+        most.append(len(live))
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (live.discard(shared), destroy()), raising=False)
+        return df, shared
+
+    one = suffix_arrays.decontaminate(documents(spark, docs), benchmark, pass_blocks=1000)
+    monkeypatch.setattr(suffix_arrays, "_search", watched)
+    many = suffix_arrays.decontaminate(documents(spark, docs), benchmark, block_bytes=900, pass_blocks=1)
+    assert len(most) >= 20
+    assert max(most) == 1
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+    row = lambda r: (r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.longest.words)
+    assert sorted(map(row, many.collect())) == sorted(map(row, one.collect()))
+
+
 def test_decontamination_empty(spark):
     docs, none = documents(spark, [(1, "a b")]), spark.createDataFrame([], "item_id long, text string")
     assert suffix_arrays.decontaminate(docs, none).first().n_words == 2

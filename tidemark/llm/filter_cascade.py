@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MASK, append_columns, materialize, mix, small_batches
+from .common import MASK, append_columns, materialize, mix, release, small_batches
 
 #: Bits per key and probes of the first level and of the later ones.
 FIRST, LATER = (12.0, 8), (2.9, 2)
@@ -179,37 +180,44 @@ def filter_urls(
 
     verdicts = sorted(shape.verdicts)
     parts = 1 << max(0, int(np.ceil(1.1 * shape.n * FIRST[0] / 8 / max_filter_bytes)) - 1).bit_length()
-    while True:
-        passes: list[tuple[int, int, list[Level]]] = []
-        try:
-            for v, verdict in enumerate(verdicts):
-                for part in range(parts):
-                    mine = F.pmod(F.col("b"), F.lit(parts)) == part
-                    listed = keyed.where((F.col("verdict") == verdict) & mine).select("key", "a", "b")
-                    passes.append((v, part, build_cascade(listed, universe.where(mine), max_filter_bytes)))
-            break
-        except LevelTooLarge:
-            if parts >= MOST_PARTS:
-                raise
-            parts *= 2
+    def cascades() -> Iterator[tuple[int, int, int, list[Level]]]:
+        """(verdict, part, parts, levels), one at a time; a part whose cascade is too large is split by itself."""
+        todo = [(v, part, parts) for v in range(len(verdicts)) for part in range(parts)]
+        while todo:
+            v, part, of = todo.pop(0)
+            mine = F.pmod(F.col("b"), F.lit(of)) == part
+            listed = keyed.where((F.col("verdict") == verdicts[v]) & mine).select("key", "a", "b")
+            try:
+                yield v, part, of, build_cascade(listed, universe.where(mine), max_filter_bytes)
+            except LevelTooLarge:
+                if of >= MOST_PARTS:
+                    raise
+                todo[:0] = [(v, part, 2 * of), (v, part + of, 2 * of)]
 
     wide = wide.withColumn("__hit", F.lit(-1).cast("long")).withColumn("__verdict", F.lit(-1).cast("long"))
-    together: list[tuple[int, int, list[Level]]] = []
+    together: list[tuple[int, int, int, list[Level]]] = []
     size = 0
-    for one in passes:
-        n = sum(level.bits.nbytes for level in one[2])
+    written = None
+    for one in cascades():
+        n = sum(level.bits.nbytes for level in one[3])
         if together and size + n > max_filter_bytes:
-            wide, together, size = _judge(wide, together, parts), [], 0
+            # what these cascades say is written, and they are gone before the next ones are built
+            judged, shared = _judge(wide, together)
+            wide = materialize(judged, "judged")
+            shared.destroy()
+            if written is not None:
+                release(written)
+            written, together, size = wide, [], 0
         together.append(one)
         size += n
-    wide = _judge(wide, together, parts)
+    wide, _ = _judge(wide, together)
     rule = F.when(F.col("__hit") >= 0, F.try_element_at("__keys", (F.col("__hit") + 1).cast("int")))
     named = F.when(F.col("__verdict") >= 0, F.element_at(F.array(*map(F.lit, verdicts)), (F.col("__verdict") + 1).cast("int"))).otherwise(default)
     return wide.select(*base.columns, "host", "path", rule.alias("rule"), named.alias("verdict"))
 
 
-def _judge(wide: DataFrame, passes: list[tuple[int, int, list[Level]]], parts: int) -> DataFrame:
-    """Take the url's first key in any of these cascades (verdict, part, levels) if it comes before the one found so far."""
+def _judge(wide: DataFrame, passes: list[tuple[int, int, int, list[Level]]]) -> tuple[DataFrame, Broadcast]:
+    """Take the url's first key in any of these cascades (verdict, part, parts, levels), which are broadcast, if it comes before the one found so far."""
     shared = wide.sparkSession.sparkContext.broadcast(passes)
     keys = F.col("__keys")
     pairs = (F.transform(keys, lambda k: F.xxhash64(k)), F.transform(keys, lambda k: F.xxhash64(F.lit("cascade"), k)))
@@ -219,9 +227,8 @@ def _judge(wide: DataFrame, passes: list[tuple[int, int, list[Level]]], parts: i
             hit, verdict = np.array(hit), np.array(verdict)
             ends = np.cumsum(np.array([len(x) for x in a]))
             av, bv = np.asarray(a.flatten()).view(np.uint64), np.asarray(b.flatten()).view(np.uint64)
-            of_part = bv.view(np.int64) % parts
-            for v, part, cascade in shared.value:
-                mine = np.flatnonzero(of_part == part)
+            for v, part, parts, cascade in shared.value:
+                mine = np.flatnonzero(bv.view(np.int64) % parts == part)
                 at = mine[depth(cascade, av[mine], bv[mine]) % 2 == 1]
                 row, first = np.unique(np.searchsorted(ends, at, "right"), return_index=True)
                 place = at[first] - np.concatenate([[0], ends])[row]
@@ -232,4 +239,4 @@ def _judge(wide: DataFrame, passes: list[tuple[int, int, list[Level]]], parts: i
         return run
 
     fields = [T.StructField("__hit", T.LongType()), T.StructField("__verdict", T.LongType())]
-    return append_columns(wide, [*pairs, F.col("__hit"), F.col("__verdict")], fields, make)
+    return append_columns(wide, [*pairs, F.col("__hit"), F.col("__verdict")], fields, make), shared

@@ -18,15 +18,18 @@ over the documents searches them, so the benchmark's total size is not limited:
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, mix, small_batches, text_bytes
+from .common import WordHash, materialize, mix, small_batches, text_bytes
 
 #: A-Z become a-z; other ASCII but digits and letters parts words.
 TO_WORDS = bytes(
@@ -275,8 +278,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: i
         yield TestBlock(block, window)
 
 
-def _search(docs: DataFrame, blocks: list[TestBlock], shard_words: int) -> DataFrame:
-    """Merge the hits of some blocks into the columns of ``docs`` that begin with __; texts are parted into words once."""
+def _search(docs: DataFrame, blocks: list[TestBlock], shard_words: int) -> tuple[DataFrame, Broadcast]:
+    """Merge the hits of some blocks, which are broadcast, into the columns of ``docs`` that begin with __; texts are parted into words once."""
     tests = docs.sparkSession.sparkContext.broadcast(blocks)
     schema = docs.schema
     at = {n: i for i, n in enumerate(schema.fieldNames())}
@@ -318,7 +321,7 @@ def _search(docs: DataFrame, blocks: list[TestBlock], shard_words: int) -> DataF
             k += b.num_rows
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for n, i in at.items()], names=list(at))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), tests
 
 
 def decontaminate(
@@ -355,15 +358,25 @@ def decontaminate(
         F.expr("cast(array() as array<string>)").alias("__items"),
         F.expr(empty).alias("__longest"),
     )
-    some: list[TestBlock] = []
-    searched = False
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        some.append(block)
-        if len(some) == pass_blocks:
-            wide, some, searched = _search(wide, some, shard_words), [], True
-    if some or not searched:  # without items each document still gets its number of words
-        wide = _search(wide, some, shard_words)
-    return _united(wide, kept.columns)
+    blocks = iter(benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes))
+    passes = iter(lambda: list(itertools.islice(blocks, pass_blocks)), [])
+    first, second = next(passes, []), next(passes, None)  # without items each document still gets its number of words
+    if second is None:
+        return _united(_search(wide, first, shard_words)[0], kept.columns)
+    # several passes: each is written by itself, and its blocks are gone before the next one's are broadcast
+    texts = materialize(wide.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    found = []
+    for i, some in enumerate(itertools.chain([first, second], passes)):
+        hits, shared = _search(texts, some, shard_words)
+        hits = hits.select("__row", F.lit(i).alias("__pass"), "__words", "__spans", "__items", "__longest")
+        found.append(materialize(hits.where("size(__spans) > 0") if i else hits, "hits"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, found)
+    best = F.max_by("__longest", F.struct(F.col("__longest.words"), -F.col("__pass")))
+    merged = every.groupBy("__row").agg(
+        F.max("__words").alias("__words"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.flatten(F.collect_list("__items")).alias("__items"), best.alias("__longest")
+    )  # as many arrays as passes found something
+    return _united(texts.drop("__words", "__spans", "__items", "__longest", "__text").join(merged, "__row"), kept.columns)
 
 
 def _united(wide: DataFrame, columns: list[str]) -> DataFrame:

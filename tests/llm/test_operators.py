@@ -363,7 +363,7 @@ def test_subtrees_are_counted_like_brute_force(spark):
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_counts_alone_find_the_article(spark, sf):
-    """With the word lists off, the counts change pages and leave their article, on all hosts with enough pages."""
+    """On all hosts with enough pages the counts leave the article; the query's text comes from them, and the marks find nothing more."""
     pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     found = {r["__thost"]: r["__template"] for r in site_templates.find_templates(pages, "url", "html", 5, 0.3).collect()}
@@ -373,11 +373,41 @@ def test_counts_alone_find_the_article(spark, sf):
     changed = 0
     for r in decided:
         alone = site_templates.extract(r.html, found[r.host], lists=False)
-        assert alone == site_templates.extract(r.html) == site_templates.extract(r.html, found[r.host])
-        changed += alone != site_templates.extract(r.html, None, lists=False)
+        text, deleted, marks = site_templates.extract_counted(r.html, found[r.host])
+        assert alone == text == site_templates.extract(r.html) and not marks
+        changed += deleted > 0 and alone != site_templates.extract(r.html, None, lists=False)
     assert changed > 0.9 * len(decided)
 
 
+def test_blocks_on_a_small_share_of_a_large_host(spark, monkeypatch):
+    """A box outside the content on a tenth of the pages goes, however its pages are marked; an equal list in the content stays."""
+    monkeypatch.setattr(site_templates, "MANY_PAGES", 6)
+    page = "<html><body><div id=top>Top line</div><div id=body><p>Story {i} has words {j} and more words of its own {i}, enough of them to hold the text of the page.</p>{list}</div><div id=b{k}>{box}</div></body></html>"
+    rows = []
+    for i in range(80):
+        said = "Watch this space for news" if i % 10 == 0 else f"Editor {i} asks {i * 7}"
+        rows.append((i, f"http://h.test/{i}", page.format(i=i, j=i * i, k="ox" if i % 10 == 0 else f"yz{chr(97 + i % 26)}", box=said, list="<ul><li>One rule</li></ul>" if i % 9 == 0 else "")))
+    got = {r.page_id: r for r in site_templates.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Watch" not in got[i].text and got[i].n_template for i in range(0, 80, 10))
+    assert all("One rule" in got[i].text for i in range(0, 80, 9)) and all(f"Story {i} has" in got[i].text for i in got)
+    assert not any("Top line" in r.text for r in got.values())
+
+
+def test_short_articles_keep_copied_parts():
+    """Shares of text are those of the article, not of a page with long menus; what holds the content stays."""
+    page = "<html><body><div><ul><li>" + "menu word " * 50 + "</li></ul><article><div>A copied story of some length.</div><p>End</p></article></div></body></html>"
+    root = site_templates.parse(page)
+    elements = {e.name: e for e in site_templates.measure(root)}
+    kind = site_templates._kind
+    outer = next(e for e in site_templates.measure(site_templates.parse(page)) if e.name == "div" and e.size > 100)
+    template = {kind(elements["article"].path, site_templates.PATH): 9, kind(outer.hash, site_templates.SUBTREE): 5}
+    for e in site_templates.measure(root):
+        if (e.name == "div" and e.size < 100) or e.name == "ul":
+            template[kind(e.hash, site_templates.SUBTREE)] = 9
+    # the list holds over two thirds of the page, so marks and article decide what the counts left open
+    assert site_templates.extract(page, template) == "A copied story of some length.\nEnd"
+
+
 HOSTILE = ["<a ", "<div>", '<a ">" ', "<b>", "</script", "<![CDATA[", "< ", "<p class='", "<li>", "<table><tr><td>", "<!--", "<svg><p>"]
 
 

@@ -29,7 +29,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return site_templates.extract_text(pages).select("page_id", "url", "text", "n_chars")
+    return site_templates.extract_text(pages).select("page_id", "url", "text", "n_chars", "n_template", "n_marks")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

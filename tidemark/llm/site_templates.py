@@ -9,9 +9,11 @@ pages that hold each hash and the text below it. What recurs on many of a host's
 - a subtree that recurs with its text is template and deleted, and so is a container outside the content
   whose outline recurs and holds little of the text (menus, adverts and footers whose words change).
 
-What the counts leave open, as on hosts with few pages, the page's own marks decide: its article, else
-its main element, and what is a menu, header, footer, sidebar, notice, advert, form or comment section
-by its tag, role, class or id.
+The counts come first: on a page with an element on its host's content path they go over the whole page, and
+what they delete no mark is asked about. Only what they leave open, all of it on hosts with few pages, the page's own
+marks decide: its article, else its main element, and what is a menu, header, footer, sidebar, notice, advert, form or
+comment section by its tag, role, class or id. On a host of many pages a container outside the content that recurs
+with its text on many of them goes even if these are a small share.
 
 Within the content paragraphs, headings and the like stay even if they recur (copies of an article,
 common sentences); only generic containers go. A recurring subtree with over two thirds of the text
@@ -40,8 +42,10 @@ from .filter_cascade import url_parts
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
 #: Of a host's text: the share that a content path has at least, and an outline of the template at most.
 CONTENT_SHARE, SLOT_SHARE = 0.5, 0.25
-#: Kinds of hashes, told apart by the last two bits.
-SUBTREE, OUTLINE, PATH = 0, 1, 2
+#: A subtree outside the content also goes if it is on so many pages and on this share of the host's.
+MANY_PAGES, MANY_SHARE = 100, 0.03
+#: Kinds of hashes, told apart by the last two bits; SOME: subtrees on many pages, but on less than the usual share.
+SUBTREE, OUTLINE, PATH, SOME = 0, 1, 2, 3
 #: How an element is marked: by the word lists, or as one that never holds text to read.
 LISTED, NO_TEXT = 1, 2
 
@@ -291,8 +295,8 @@ def named_hashes(elements: list[Element]) -> dict[int, int]:
     return out
 
 
-def article_roots(root: Element) -> list[Element]:
-    """The outermost articles that are not marked, else the outermost mains, else the whole page."""
+def article_roots(root: Element, gone: set[int] = frozenset()) -> list[Element]:
+    """The outermost articles that are neither marked nor deleted, else the outermost mains, else the whole page."""
     for names in (("article",), None):
         found, todo = [], [root]
         while todo:
@@ -300,7 +304,7 @@ def article_roots(root: Element) -> list[Element]:
             if e.article and (names is None or e.name in names):
                 found.append(e)
             else:
-                todo += [x for x in reversed(e.parts) if isinstance(x, Element) and not x.marked]
+                todo += [x for x in reversed(e.parts) if isinstance(x, Element) and not x.marked and id(x) not in gone]
         if found:
             return found
     return [root]
@@ -310,30 +314,41 @@ def _children(e: Element) -> list[Element]:
     return [x for x in e.parts if isinstance(x, Element) and x.marked != NO_TEXT]
 
 
-def content_elements(root: Element, template: dict[int, int]) -> set[int]:
-    """The elements, by identity, that lie on a path which carries the host's content, or below one."""
+def content_elements(root: Element, template: dict[int, int]) -> tuple[list[Element], set[int], set[int]]:
+    """The outermost elements on a path that carries the host's content; by identity, they with all below them, and all above them."""
+    tops: list[Element] = []
     found: set[int] = set()
+    above: set[int] = set()
+    parent: dict[int, Element] = {}
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
-        inside = inside or (e.name in CARRIERS and _kind(e.path, PATH) in template)
+        if not inside and e.name in CARRIERS and _kind(e.path, PATH) in template:
+            inside = True
+            tops.append(e)
+            up = parent.get(id(e))
+            while up is not None and id(up) not in above:
+                above.add(id(up))
+                up = parent.get(id(up))
         if inside:
             found.add(id(e))
-        todo += [(x, inside) for x in _children(e)]
-    return found
+        for x in _children(e):
+            parent[id(x)] = e
+            todo.append((x, inside))
+    return tops, found, above
 
 
-def template_parts(roots: list[Element], template: dict[int, int], content: set[int], explicit: bool, lists: bool) -> set[int]:
-    """Subtrees to delete, by identity."""
+def template_parts(roots: list[Element], template: dict[int, int], explicit: bool, lists: bool) -> set[int]:
+    """Subtrees to delete, by identity, on a page without an element on its host's content path."""
     size = (lambda e: e.clean) if lists else (lambda e: e.size)
     whole = sum(map(size, roots))
     gone, deleted = {}, 0
     todo: list[tuple[Element, int]] = [(r, 0) for r in roots]
     tops = {id(r) for r in roots}
+    names = CONTAINERS if explicit else BLOCK - WHOLE
     while todo:
         x, least = todo.pop()
         n = template.get(_kind(x.hash, SUBTREE), 0)
-        names = CONTAINERS if explicit or id(x) in content else BLOCK - WHOLE
         if n > least and x.name in names and id(x) not in tops:
             if 3 * size(x) <= 2 * whole:
                 gone[id(x)] = n
@@ -342,29 +357,83 @@ def template_parts(roots: list[Element], template: dict[int, int], content: set[
             least = n
         elif n > least and x.name in WHOLE:
             least = n
-        if content and not explicit and x.name in SLOTS and id(x) not in content and not x.article and (n := template.get(_kind(x.outline, OUTLINE), 0)):
-            gone[id(x)] = n
-            deleted += size(x)
-            continue
-        todo += [(p, least) for p in _children(x) if not (lists and p.marked and id(p) not in content)]
-    if gone and deleted == whole:
-        rarest = min(gone.values())
-        gone = {k: n for k, n in gone.items() if n > rarest}
-    return set(gone)
+        todo += [(p, least) for p in _children(x) if not (lists and p.marked)]
+    return _but_rarest(gone) if deleted == whole else set(gone)
+
+
+def _but_rarest(gone: dict[int, int]) -> set[int]:
+    least = min(gone.values(), default=0)
+    return {k for k, n in gone.items() if n > least}
+
+
+def decided_parts(root: Element, template: dict[int, int], tops: list[Element], content: set[int], above: set[int]) -> set[int]:
+    """Subtrees to delete, by identity, on a page with content. What holds the content stays; shares of text are those of
+    the content for what lies in it, else those of the page."""
+    core = sum(e.size for e in tops)
+    inside, deleted = {}, 0
+    gone: set[int] = set()
+    todo: list[tuple[Element, int]] = [(root, 0)]
+    while todo:
+        x, least = todo.pop()
+        n = template.get(_kind(x.hash, SUBTREE), 0)
+        if id(x) in content:
+            if n > least and x.name in CONTAINERS:
+                if 3 * x.size <= 2 * core:
+                    inside[id(x)] = n
+                    deleted += x.size
+                    continue
+                least = n
+        elif id(x) in above:
+            least = max(least, n)
+        else:
+            slot = x.name in SLOTS and not x.article
+            if (n > least and x.name in BLOCK and 3 * x.size <= 2 * root.size) or (slot and (_kind(x.hash, SOME) in template or _kind(x.outline, OUTLINE) in template)):
+                gone.add(id(x))
+                continue
+        todo += [(p, least) for p in _children(x)]
+    return gone | (_but_rarest(inside) if deleted == core else set(inside))
+
+
+def open_text(root: Element, content: set[int], gone: set[int]) -> bool:
+    """Whether text outside the content is left that the counts did not decide."""
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if id(e) not in content and id(e) not in gone and e.size:
+            if any(isinstance(x, str) and x.strip() for x in e.parts):
+                return True
+            todo += _children(e)
+    return False
 
 
 def extract(page: str, template: dict[int, int] | None = None, lists: bool = True) -> str:
+    """The page's text, as ``extract_counted`` gives it."""
+    return extract_counted(page, template, lists)[0]
+
+
+def extract_counted(page: str, template: dict[int, int] | None = None, lists: bool = True) -> tuple[str, int, int]:
     """The page's text, one line for each block, without what ``template`` (hash, number of pages) deletes
-    and, unless ``lists`` is off, without what the page's own marks leave out."""
+    and, unless ``lists`` is off, without what the page's own marks leave out; the number of subtrees that the
+    template deletes, and of the marks (of elements, or of articles chosen) that decided what it left open."""
     root = parse(page)
+    tops: list[Element] = []
     content: set[int] = set()
     gone: set[int] = set()
+    roots, marks = [root], 0
     if template:
         measure(root)
-        content = content_elements(root, template)
-    roots = article_roots(root) if lists else [root]
-    if template:
-        gone = template_parts(roots, template, content, roots[0] is not root, lists)
+        tops, content, above = content_elements(root, template)
+    if tops:  # counts first
+        gone = decided_parts(root, template, tops, content, above)
+        if lists and open_text(root, content, gone):
+            roots = article_roots(root, gone)
+    else:
+        if lists:
+            roots = article_roots(root)
+        if template:
+            gone = template_parts(roots, template, roots[0] is not root, lists)
+    if roots[0] is not root:
+        marks = len(roots)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -382,7 +451,11 @@ def extract(page: str, template: dict[int, int] | None = None, lists: bool = Tru
             line.append(entities.unescape(x))
         elif x.name == "br":
             line.append(" ")
-        elif x.marked != NO_TEXT and id(x) not in gone and not (lists and x.marked and not (x.name == "form" and id(x) in content)):
+        elif x.marked == NO_TEXT or id(x) in gone:
+            continue
+        elif lists and x.marked and not (x.name == "form" and id(x) in content):
+            marks += x.size > 0 or not template  # sizes are measured where there is a template
+        else:
             parts = x.parts
             if x.name == "header" and lists:  # an article's own header gives its headings
                 parts = [p for p in parts if isinstance(p, Element) and p.name in HEADINGS]
@@ -391,15 +464,15 @@ def extract(page: str, template: dict[int, int] | None = None, lists: bool = Tru
                 todo.append(None)
             todo += reversed(parts)
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), len(gone), marks
 
 
 def find_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: int, least_share: float) -> DataFrame:
     """(__thost, __template): for each host the hashes that decide, with their numbers of pages.
 
-    All are on at least ``least_pages`` pages and ``least_share`` of the host's pages. Pages of equal html count
-    once. A page names each of its hashes once, so a host's list has at most 1 / least_share times as many entries
-    as its pages have hashes on average."""
+    All are on at least ``least_pages`` pages and ``least_share`` of the host's pages, or, as SOME, on ``MANY_PAGES``
+    and ``MANY_SHARE``. Pages of equal html count once. A page names each of its hashes once, so a host's list has at
+    most 1 / MANY_SHARE times as many entries as its pages have hashes on average."""
     host, _ = url_parts(F.col(f"`{url_col}`"))
     some = pages.select(host.alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")).where("host <> ''")
     small_batches(pages.sparkSession)
@@ -429,33 +502,36 @@ def find_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: i
         .when(kind == OUTLINE, F.col("c") * F.col("pages") <= SLOT_SHARE * F.col("chars") * F.col("n"))
         .otherwise(F.col("c") >= CONTENT_SHARE * F.col("chars"))
     )
-    shared = counts.join(sizes, F.col("host") == F.col("of_host")).where((F.col("n") >= least_share * F.col("pages")) & decides)
+    usual = F.col("n") >= least_share * F.col("pages")
+    many = (kind == SUBTREE) & (F.col("n") >= MANY_PAGES) & (F.col("n") >= MANY_SHARE * F.col("pages"))
+    shared = counts.join(sizes, F.col("host") == F.col("of_host")).where((usual & decides) | many).withColumn("h", F.when(usual, F.col("h")).otherwise(F.col("h").bitwiseOR(F.lit(SOME))))
     return materialize(shared.groupBy(F.col("host").alias("__thost")).agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("__template")), "templates")
 
 
 def extract_text(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE
 ) -> DataFrame:
-    """``pages`` without the html, with text and n_chars (its code points).
+    """``pages`` without the html, with text, n_chars (its code points), n_template (subtrees that the host's counts
+    delete) and n_marks (marks of the page that decided what the counts left open).
 
     Character references are decoded, white space in a block becomes one space, blocks are joined by
     line feeds in page order. Null and empty html gives an empty text. Pages with a null url or none
     with "://" have no host and no template. Very long and hostile html is parsed whole, in linear time. Repeated rows
-    are extracted one by one but count as one page. An empty table stays empty. Input columns named text or n_chars are replaced.
+    are extracted one by one but count as one page. An empty table stays empty. Input columns named like an output column are replaced.
     """
     templates = find_templates(pages, url_col, html_col, least_pages, least_share)
     host, _ = url_parts(F.col(f"`{url_col}`"))
-    base = pages.drop("text", "n_chars")
+    fields = [T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_chars", "n_template", "n_marks")]]
+    base = pages.drop(*[f.name for f in fields])
     columns = [c for c in base.columns if c != html_col]
     slim = pages.select(*[pages[f"`{c}`"] for c in columns], pages[f"`{html_col}`"].alias("__html"), host.alias("__host"))
     met = slim.join(templates, F.col("__host") == F.col("__thost"), "left").drop("__host", "__thost")
 
     def make():
         def run(htmls: pa.Array, hashes: pa.Array, numbers: pa.Array) -> list:
-            texts = [extract(h.as_py() or "", dict(zip(t[0] or (), t[1] or (), strict=True))) for h, *t in zip(htmls, hashes.to_pylist(), numbers.to_pylist(), strict=True)]
-            return [texts, [len(x) for x in texts]]
+            found = [extract_counted(h.as_py() or "", dict(zip(t[0] or (), t[1] or (), strict=True))) for h, *t in zip(htmls, hashes.to_pylist(), numbers.to_pylist(), strict=True)]
+            return [[x[0] for x in found], [len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found]]
 
         return run
 
-    fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     return append_columns(met, [F.col("__html"), F.map_keys("__template"), F.map_values("__template")], fields, make).drop("__html", "__template")

@@ -766,6 +766,10 @@ def test_lm_counts_have_no_floor(spark, monkeypatch):
     assert model.filter.blocks > 1
     test = documents(spark, [(1, "seldom pair"), (2, "pair seldom"), (3, "never met"), (4, common)])
     got = {r.doc_id: r.score for r in log_bloom.score(test, model, table).collect()}
+    assert model.filter.held is not None
+    monkeypatch.setattr(log_bloom, "MAX_BROADCAST", 0)
+    beyond, table = log_bloom.train(documents(spark, rows))
+    assert beyond.filter.held is None and got == {r.doc_id: r.score for r in log_bloom.score(test, beyond, table).collect()}
     n = sum(len(t.split()) + 1 for _, t in rows)
     # a pair met 3 times of 6: far likelier than its words apart; its words far likelier than unmet ones
     assert got[1] > got[2] + 2 and got[2] > got[3] + 0.5

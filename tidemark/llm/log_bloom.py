@@ -7,9 +7,10 @@
    one is missing, then halves. Counts up to 7 have levels of their own; above, levels lie a factor of about 1.15
    apart, and a hash of the key decides between the two levels around a count in proportion to its place, so
    that counts are right on average and those after a word add up to the word's own count.
-   Each block has a filter of its own, sized by its n-grams, in the shared scratch folder.
-3. One pass over all texts scores them: a task gathers the tokens of many texts and reads block after
-   block, one in memory at a time. The word estimate is additive, P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), with
+   Each block has a filter of its own, sized by its n-grams. Blocks of ``MAX_BROADCAST`` bytes together are broadcast;
+   more than that stay in the shared scratch folder.
+3. One pass over all texts scores them: a task gathers the tokens of many texts and probes block after
+   block, those of the folder read one at a time. The word estimate is additive, P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), with
    one share for all words that training never met; the pair estimate is smoothed by it (Dirichlet prior),
    P(w | v) = (c(v, w) + ``PRIOR`` P(w)) / (c(v) + ``PRIOR`` + f), where f is the number of words that the filter is expected
    to take for followers of v by mistake. Over the whole vocabulary the probabilities after any word sum to one, but
@@ -47,8 +48,8 @@ FIRST, ABOVE = (22, 32), (8, 12)
 PRIOR, ADDED = 30.0, 0.1
 #: Tokens that a task gathers before it hands on their counts, and before it reads the filter.
 FLUSH, GROUP = 1_500_000, 900_000
-#: Training text for each block of the filter; size of the files the blocks lie in.
-BLOCK_TEXT, FILE_BYTES = 16_000_000, 128_000_000
+#: Training text for each block of the filter; size of the files the blocks lie in; largest filter that is broadcast.
+BLOCK_TEXT, FILE_BYTES, MAX_BROADCAST = 16_000_000, 128_000_000, 32_000_000
 END = xxhash.xxh64_intdigest(b"\n") & ~1  # no word is a line feed
 
 
@@ -236,26 +237,35 @@ class LogBloom:
 
 @dataclass
 class Filter:
-    """The filter's blocks, in files that all executors can read."""
+    """The filter's blocks (number, bits of level 1, bits of the levels above): in memory, or in files that all executors can read."""
 
-    path: str
     blocks: int
+    held: list[tuple[int, bytes, bytes]] | None = None
+    path: str = ""
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts of distinct keys; every block is read once."""
-        of = _block(keys, self.blocks)
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(self.blocks + 1))
-        out = np.zeros(len(keys))
+    def read(self) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """All blocks, those in files one in memory at a time."""
+        if self.held is not None:
+            yield from ((block, memoryview(first), memoryview(above)) for block, first, above in self.held)
+            return
         fs, path = pyarrow.fs.FileSystem.from_uri(self.path)
         for f in fs.get_file_info(pyarrow.fs.FileSelector(path)):
             if f.base_name.endswith(".parquet"):
                 with fs.open_input_file(f.path) as source:
                     for b in pq.ParquetFile(source, buffer_size=1 << 22).iter_batches(1, columns=["block", "first", "above"], use_threads=False):
                         for block, first, above in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                            at = order[ends[block] : ends[block + 1]]
-                            if len(at):
-                                out[at] = LogBloom(*(np.frombuffer(x.as_buffer(), np.uint64) for x in (first, above))).count(keys[at])
+                            yield block, first.as_buffer(), above.as_buffer()
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated counts of distinct keys; every block is gone through once."""
+        of = _block(keys, self.blocks)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(self.blocks + 1))
+        out = np.zeros(len(keys))
+        for block, first, above in self.read():
+            at = order[ends[block] : ends[block + 1]]
+            if len(at):
+                out[at] = LogBloom(np.frombuffer(first, np.uint64), np.frombuffer(above, np.uint64)).count(keys[at])
         return out
 
 
@@ -302,11 +312,15 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     filters = counted.where("block is not null").select("block", "first", "above")
     whole = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     bits = filters.agg(F.coalesce(F.sum(F.octet_length("first") + F.octet_length("above")), F.lit(0)).alias("n")).first().n
-    filters = materialize(filters.coalesce(max(1, int(np.ceil(bits / FILE_BYTES)))), "filters")
+    if bits <= MAX_BROADCAST:
+        shared = Filter(blocks, [(r.block, bytes(r.first), bytes(r.above)) for r in filters.collect()])
+    else:
+        filters = materialize(filters.coalesce(max(1, int(np.ceil(bits / FILE_BYTES)))), "filters")
+        shared = Filter(blocks, path=filters._tidemark_path)
     total = int(whole.total)
     least = max(1, int(np.ceil(FLOOR * total)))
     words, counts = _arrays(table.where(F.col("n") >= least))  # at most 1 / FLOOR rows
-    return Model(total, int(whole.distinct), words, counts, Filter(filters._tidemark_path, blocks), least), table
+    return Model(total, int(whole.distinct), words, counts, shared, least), table
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame, text_col: str = "text") -> DataFrame:

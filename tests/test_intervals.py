@@ -44,3 +44,23 @@ def test_more_ranges_than_a_report_of_all_pairs(spark):
         audit.range_overlaps(ranges, "k", "lo", "hi")
     assert audit.overlapping_pairs(ranges, "k", "lo", "hi").count() == n - 1
     assert audit.overlapping_pairs(ranges.limit(0), "k", "lo", "hi").count() == 0
+
+
+def test_cells_are_not_broadcast(spark):
+    """The planner knows the tables' sizes, not that of the cells, which are many times as many rows."""
+    ranges = spark.range(50).selectExpr("id as k", "id * 1.0D as lo", "id + 3.0D as hi")
+    plan = audit.overlapping_pairs(ranges, "k", "lo", "hi")
+    assert plan.count() == 49 + 48 + 47
+    executed = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in executed and "Broadcast" not in executed
+
+
+def test_values_and_endless_ranges(spark):
+    """Ranges without length have one level together; ends may be infinite or NaN, which is greater than all numbers."""
+    inf, nan = float("inf"), float("nan")
+    intervals = [(0, 0.0, inf), (1, -inf, 0.0), (2, -inf, inf), (3, 2.0, nan), (4, inf, inf), (5, -0.0, 0.0), (6, 1e-7, 1e-7), (7, 4e8, 4e8), (8, -1e300, 1e300), (9, nan, nan)]
+    points = [-inf, -5.0, 0.0, -0.0, 1e-7, 2.0, 4e8, 1e301, inf, nan]
+    rank = lambda x: (x != x, 0 if x != x else x)
+    got = audit.containing(spark.createDataFrame(list(enumerate(points)), "i int, at double"), spark.createDataFrame(intervals, "j int, low double, high double"))
+    want = sorted((i, j) for i, at in enumerate(points) for j, low, high in intervals if rank(low) <= rank(at) <= rank(high))
+    assert sorted((r.i, r.j) for r in got.collect()) == want

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidemark.operators import audit
+from tidemark.plans import catalog
 
 
 def number(rng):
@@ -64,3 +65,11 @@ def test_values_and_endless_ranges(spark):
     got = audit.containing(spark.createDataFrame(list(enumerate(points)), "i int, at double"), spark.createDataFrame(intervals, "j int, low double, high double"))
     want = sorted((i, j) for i, at in enumerate(points) for j, low, high in intervals if rank(low) <= rank(at) <= rank(high))
     assert sorted((r.i, r.j) for r in got.collect()) == want
+
+
+def test_bands_are_spread(spark):
+    """The bands' query is dealt by cells: with the bands broadcast, the matches are made in as few tasks as the customers' file has."""
+    met = catalog.QUERIES["overlapping_bands"](spark, "/root/testdata/sf0.01")
+    assert met.count() == 940
+    executed = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in executed and "Broadcast" not in executed

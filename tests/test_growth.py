@@ -4,6 +4,7 @@ import collections
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from tidemark.streaming import growth
@@ -62,3 +63,39 @@ def test_both_limits_are_strict(spark, tmp_path, entries, size, flagged):
     checks = growth.watch_growth(stream, hour, most_entries=3, most_mb=10.0)
     out = growth.replayed(spark, checks, str(tmp_path / "out"), str(tmp_path / "state")).orderBy("checked_at").collect()
     assert [(r.entries, r.size_mb, r.flagged, r.top) for r in out] == [(entries, size, flagged, f"n:{entries}" if flagged else None), (0, size, size > 10, "" if size > 10 else None)]
+
+
+class Calls:
+    """A state's or a handle's methods; map states are dicts, and calls are counted by name."""
+
+    def __init__(self):
+        self.n, self.held = collections.Counter(), {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n[name] += 1
+            if name == "updateValue":
+                self.held[args[0]] = args[1]
+            return {"exists": bool(self.held), "getValue": self.held.get(args[0] if args else None), "containsKey": bool(args) and args[0] in self.held}.get(name)
+
+        return call
+
+
+@pytest.mark.parametrize("held", [7, 200_000])
+def test_state_is_asked_once_for_a_place(monkeypatch, held):
+    """Calls to the state grow with the identifiers and intervals of a batch, not with its rows."""
+    monkeypatch.setattr(growth, "HELD", held)
+    watch = growth.GrowthWatch(1000, 1, 1.0)
+    watch.handle, watch.plan, watch.counts, watch.sizes = Calls(), Calls(), Calls(), Calls()
+    rng, want, last = random.Random(3), collections.Counter(), {}
+    for _ in range(2):
+        frames = [[(rng.randrange(4000), rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(50))])) for _ in range(500)] for _ in range(6)]
+        for t, name, s in (row for f in frames for row in f):
+            want[t // 1000, name] += 1
+            last[t // 1000] = max(last.get(t // 1000, (-1, 0)), (t, s)) if s is not None else last.get(t // 1000, (-1, 0))
+        list(watch.handleInputRows(("h",), iter([pd.DataFrame(f, columns=["ms", "name", "size_mb"]) for f in frames]), None))
+        assert watch.counts.held == {k: (n,) for k, n in want.items()}
+        assert watch.sizes.held == {(i,): x for i, x in last.items()}
+    if held > 12:
+        assert watch.counts.n == {"exists": 2, "updateValue": 24, "getValue": 12}
+        assert sum(watch.sizes.n.values()) <= 24

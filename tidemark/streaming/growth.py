@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.shipping import ship
 
 MOST_ENTRIES, MOST_MB, TOP = 20_000, 6554.0, 5
+#: Counts that a task gathers, about, before it adds them to the state.
+HELD = 200_000
 REPORT = "host string, checked_at timestamp, entries long, size_mb double, flagged boolean, top string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,6 +39,9 @@ class GrowthWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seed, following, size = self.plan.get() if self.plan.exists() else (None, None, None)
+        counts: dict[tuple, int] = defaultdict(int)
+        sizes: dict[int, tuple] = {}
+        new = not self.counts.exists()
         for frame in rows:
             at = frame["ms"]
             interval = at // self.cadence
@@ -45,16 +50,27 @@ class GrowthWatch(StatefulProcessor):
                 self.handle.registerTimer((seed + 1) * self.cadence)
             open_ = interval >= following
             for (i, name), n in frame[open_].groupby([interval[open_], "name"], dropna=False).size().items():
-                place = (int(i), None if pd.isna(name) else str(name))
-                before = self.counts.getValue(place)
-                self.counts.updateValue(place, ((before[0] if before else 0) + int(n),))
-            told = open_ & frame["size_mb"].notna()
-            for i, t, s in zip(interval[told], at[told], frame["size_mb"][told], strict=True):
-                if not self.sizes.containsKey((int(i),)) or self.sizes.getValue((int(i),)) <= (int(t), float(s)):
-                    self.sizes.updateValue((int(i),), (int(t), float(s)))
+                counts[int(i), None if pd.isna(name) else str(name)] += int(n)
+            told = frame[open_ & frame["size_mb"].notna()].assign(interval=interval).sort_values(["ms", "size_mb"])
+            for i, t, s in told.groupby("interval").tail(1)[["interval", "ms", "size_mb"]].itertuples(index=False):
+                sizes[int(i)] = max(sizes.get(int(i), (int(t), float(s))), (int(t), float(s)))
+            if len(counts) > HELD:
+                self._keep(counts, new)
+                new = False
+        self._keep(counts, new)
+        for i, last in sizes.items():
+            if not self.sizes.containsKey((i,)) or self.sizes.getValue((i,)) <= last:
+                self.sizes.updateValue((i,), last)
         self.plan.update((seed, following, size))
         yield from ()
 
+    def _keep(self, counts: dict[tuple, int], new: bool) -> None:
+        """Add ``counts`` to the state's, which has none if it is ``new``, and empty them. Each call to the state is a message to the JVM."""
+        for place, n in counts.items():
+            before = None if new else self.counts.getValue(place)
+            self.counts.updateValue(place, ((before[0] if before else 0) + n,))
+        counts.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seed, following, size = self.plan.get()
         out, ended = [], timerValues.getCurrentWatermarkInMs() // self.cadence

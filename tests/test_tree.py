@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tidemark.operators import mirror, state
+from tidemark.plans import records
 from tidemark.sources import tree
 from tidemark.sources.corpus import list_files
 
@@ -126,3 +127,23 @@ def test_redaction_log(tmp_path):
     entries = [json.loads(x) for x in open(path, encoding="utf-8")]
     assert [e["counts"] for e in entries] == [{"EMAIL_ADDRESS": 2}, {}]
     assert all(set(e) == {"at", "counts"} for e in entries)
+
+
+@pytest.mark.parametrize(("most", "parts"), [(1_000_000, 10), (3_000_000_000, 1)])
+def test_a_tree_in_parts(spark, monkeypatch, most, parts):
+    """All notes are mirrored, part by part, and a part's files are gone before the next one is written."""
+    count = lambda at: sum(len(names) for _, _, names in os.walk(at))
+    roots, held, build = [], [], mirror.build_mirror
+
+    def counted(spark, source, target):
+        assert all(count(root) == 0 for root in roots)
+        roots.append(os.path.dirname(source))
+        held.append(count(source))
+        return build(spark, source, target)
+
+    monkeypatch.setattr(mirror, "build_mirror", counted)
+    monkeypatch.setattr(records, "_PART_BYTES", most, raising=False)
+    rows = records.mirrored_files(spark, "/root/testdata/sf0.001").collect()
+    assert (len(held), sum(held), len({r.relpath for r in rows}), len(rows)) == (parts, 150, 150, 150)
+    assert [(r.relpath, r["size"], r.hash) for r in rows if r.error == "OversizeTextError"] == [("d0/0.txt", -1, "none")]
+    assert all(count(root) == 0 for root in roots)

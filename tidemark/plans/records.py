@@ -94,6 +94,8 @@ def classified_files(spark, sf_dir):
     return classify.classify_lines(lines, cached, most=600).files
 
 
+#: Bytes of disk that a part of the tree of notes takes with its mirror, about.
+_PART_BYTES = 3_000_000_000
 _MASKED = " ".join(f"WHEN {i} THEN {_quoted(p)}" + (" || md5(c_custkey::VARCHAR)" if i in _DIGEST_STAYS else "") for i, p in enumerate(_PLACE))
 
 
@@ -101,14 +103,27 @@ _MASKED = " ".join(f"WHEN {i} THEN {_quoted(p)}" + (" || md5(c_custkey::VARCHAR)
   CASE WHEN c_custkey % 500 <> 0 THEN strlen('note ' || CASE c_custkey % {_N} {_MASKED} END || ' end') ELSE -1 END::BIGINT AS size,
   CASE WHEN c_custkey % 500 <> 0 THEN sha256('note ' || CASE c_custkey % {_N} {_MASKED} END || ' end') ELSE 'none' END AS hash FROM customer""")
 def mirrored_files(spark, sf_dir):
-    """A tree of notes, written, listed and mirrored; every five-hundredth is over the size limit. The mirror is listed and read again."""
-    root = scratch_folder(spark, "tree").removeprefix("file://")
+    """A tree of notes, written, listed and mirrored; every five-hundredth is over the size limit. The mirror is listed and read again.
+
+    The tree is made in parts of about ``_PART_BYTES``, each deleted with its mirror before the next, so the disk holds one of them."""
+    large, block = F.col("c_custkey") % 500 == 0, 4096
+    notes = _planted(spark, sf_dir)
+    total = notes.agg(F.sum(F.when(large, mirror.MOST_TEXT_BYTES + block).otherwise(2 * block))).first()[0] or 0
+    parts = max(1, -(-total // _PART_BYTES))
     name = F.concat(F.lit("d"), F.col("c_custkey") % 7, F.lit("/"), "c_custkey", F.lit(".txt"))
-    large = F.when(F.col("c_custkey") % 500 == 0, F.rpad("text", mirror.MOST_TEXT_BYTES + 1, " ")).otherwise(F.col("text"))
-    tree.write_tree(_planted(spark, sf_dir).select(name.alias("relpath"), large.cast("binary").alias("output")), f"{root}/source")
-    results, _, _ = mirror.build_mirror(spark, f"{root}/source", f"{root}/mirror")
-    there = tree.read_files(tree.list_tree(spark, f"{root}/mirror"), f"{root}/mirror").select("relpath", "size", F.sha2("content", 256).alias("hash"))
-    return results.select("relpath", F.coalesce(F.split("error", ":")[0], F.lit("none")).alias("error")).join(there, "relpath", "left").fillna({"size": -1, "hash": "none"})
+    text = F.when(large, F.rpad("text", mirror.MOST_TEXT_BYTES + 1, " ")).otherwise(F.col("text"))
+    table_of_all = scratch_folder(spark, "mirrored")
+    for part in range(parts):
+        root = scratch_folder(spark, "tree").removeprefix("file://")
+        mine = notes.where(F.pmod(F.xxhash64("c_custkey"), F.lit(parts)) == part).repartition(max(1, -(-total // parts // tree.TASK_BYTES)))
+        tree.write_tree(mine.select(name.alias("relpath"), text.cast("binary").alias("output")), f"{root}/source")
+        results, _, _ = mirror.build_mirror(spark, f"{root}/source", f"{root}/mirror")
+        there = tree.read_files(tree.list_tree(spark, f"{root}/mirror"), f"{root}/mirror").select("relpath", "size", F.sha2("content", 256).alias("hash"))
+        met = results.select("relpath", F.coalesce(F.split("error", ":")[0], F.lit("none")).alias("error")).join(there, "relpath", "left").fillna({"size": -1, "hash": "none"})
+        met.write.mode("append").parquet(table_of_all)
+        for side in ("source", "mirror"):
+            tree.delete_files(tree.list_tree(spark, f"{root}/{side}", None), f"{root}/{side}")
+    return spark.read.schema(met.schema).parquet(table_of_all)
 
 
 @query("""SELECT c_custkey, s_suppkey, CASE WHEN c_acctbal > s_acctbal THEN 'fail' ELSE 'warn' END AS state

@@ -757,6 +757,21 @@ def test_log_bloom_counts():
     assert (f.count(rng.integers(0, 1 << 63, 20000, dtype=np.uint64)) == 0).all()
 
 
+def test_lm_counts_go_to_their_blocks_in_few_rows(spark):
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    sent = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    texts = spark.range(400).selectExpr("cast(concat_ws(' ', transform(sequence(0, 99), i -> concat('w', id * 50 + i))) as binary) as __text")
+    before = sent()
+    rows = log_bloom._counted(texts, 3).collect()
+    known = {(r.h, r.n) for r in rows if r.block is None}
+    hasher = WordHash()
+    count = collections.Counter(h for r in texts.collect() for h in log_bloom.token_hashes(bytes(r[0]), hasher).view(np.int64).tolist())
+    assert known == set(count.items()) and len(known) > 20_000
+    assert sorted(r.block for r in rows if r.block is not None) == [0, 1, 2]
+    assert 0 < sent() - before < 100  # for over 40,000 words and pairs
+
+
 def test_lm_counts_have_no_floor(spark, monkeypatch):
     monkeypatch.setattr(log_bloom, "BLOCK_TEXT", 400_000)
     monkeypatch.setattr(log_bloom, "GROUP", 30_000)

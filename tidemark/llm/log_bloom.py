@@ -1,7 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 1. Words and word pairs of the training texts are counted in one pass: pre-aggregated within tasks,
-   then brought together by block (a remainder of the key's hash) and summed there.
+   then brought together by block (a remainder of the key's hash) and summed there. A row on the way holds the
+   keys and counts of one block, ``ROW_KEYS`` at most, as two byte strings.
 2. The filter holds the quantised count of every word and every pair: for a count of level q it
    contains the n-gram once for each level up to q. A reader probes levels further and further apart until
    one is missing, then halves. Counts up to 7 have levels of their own; above, levels lie a factor of about 1.15
@@ -48,6 +49,8 @@ FIRST, ABOVE = (22, 32), (8, 12)
 PRIOR, ADDED = 30.0, 0.1
 #: Tokens that a task gathers before it hands on their counts, and before it reads the filter.
 FLUSH, GROUP = 1_500_000, 900_000
+#: Keys in a row of counts that goes to a block.
+ROW_KEYS = 20_000
 #: Training text for each block of the filter; size of the files the blocks lie in; largest filter that is broadcast.
 BLOCK_TEXT, FILE_BYTES, MAX_BROADCAST = 16_000_000, 128_000_000, 32_000_000
 END = xxhash.xxh64_intdigest(b"\n") & ~1  # no word is a line feed
@@ -62,7 +65,7 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+    return ((keys >> np.uint64(33)) % np.uint64(blocks)).astype(np.uint16 if blocks <= 1 << 16 else np.int64)  # 16 bits are sorted faster
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +99,24 @@ def _counted(texts: DataFrame, blocks: int) -> DataFrame:
         before = np.append(words[-1:], words[:-1])  # a text's end precedes the next text, the last one's the first
         for keys in (words, pair_hashes(before, words)):
             h, n = np.unique(keys, return_counts=True)
-            for s in range(0, len(h), 100_000):
-                part = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(_block(h[part], blocks).astype(np.int32)), pa.array(h[part].view(np.int64)), pa.array(n[part])], names=["block", "h", "n"])
+            yield from packed(h, n.astype(np.uint32))  # at most the tokens held
+
+    def packed(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = _block(h, blocks)
+        order = np.argsort(of, kind="stable")
+        of, h, n = of[order], h[order], n[order]
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        rows = [(int(of[a]), h[i : min(i + ROW_KEYS, b)].tobytes(), n[i : min(i + ROW_KEYS, b)].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(of)), strict=True) for i in range(a, b, ROW_KEYS)]
+        for i in range(0, len(rows), 50):
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows[i : i + 50], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "h", "n"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, size, least = [], [], 0, FLUSH
         for b in batches:
-            keys.append(np.array(b.column(1)).view(np.uint64))
-            n.append(np.array(b.column(2)))
-            size += b.num_rows
+            for hs, ns in zip(b.column(1), b.column(2), strict=True):
+                keys.append(np.frombuffer(hs.as_py(), np.uint64))
+                n.append(np.frombuffer(ns.as_py(), np.uint32).astype(np.int64))
+                size += len(keys[-1])
             if size >= least:
                 h, k = _summed(keys, n)
                 keys, n, size, least = [h], [k], len(h), max(FLUSH, 2 * len(h))
@@ -126,7 +137,7 @@ def _counted(texts: DataFrame, blocks: int) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     names = ["h", "n", "block", "first", "above"]
-    counts = texts.mapInArrow(count, "block int, h long, n long").repartitionById(blocks, F.col("block"))
+    counts = texts.mapInArrow(count, "block int, h binary, n binary").repartitionById(blocks, F.col("block"))
     return counts.mapInArrow(build, "h long, n long, block int, first binary, above binary")
 
 
